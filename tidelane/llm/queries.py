@@ -5,13 +5,14 @@ from __future__ import annotations
 from .byte_bpe import op8_byte_bpe
 from .language_id import op3_language_id
 from .packing import op6_packing
+from .pii import op9_pii
 from .quality_rules import OP2_SQL, op2_quality_rules
 from .simhash import op1_simhash
 from .token_files import op7_token_files
 
 
 def queries() -> dict:
-    found = [op1_simhash, op2_quality_rules, op3_language_id, op6_packing, op7_token_files, op8_byte_bpe]
+    found = [op1_simhash, op2_quality_rules, op3_language_id, op6_packing, op7_token_files, op8_byte_bpe, op9_pii]
     return {f.__name__: f for f in found}
 
 

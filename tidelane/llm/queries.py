@@ -5,6 +5,7 @@ from __future__ import annotations
 from .byte_bpe import op8_byte_bpe
 from .html_text import op5_html_text
 from .language_id import op3_language_id
+from .nearest import op4_nearest
 from .packing import op6_packing
 from .pii import op9_pii
 from .quality_rules import OP2_SQL, op2_quality_rules
@@ -13,7 +14,7 @@ from .token_files import op7_token_files
 
 
 def queries() -> dict:
-    found = [op1_simhash, op2_quality_rules, op3_language_id, op5_html_text, op6_packing, op7_token_files, op8_byte_bpe, op9_pii]
+    found = [op1_simhash, op2_quality_rules, op3_language_id, op4_nearest, op5_html_text, op6_packing, op7_token_files, op8_byte_bpe, op9_pii]
     return {f.__name__: f for f in found}
 
 

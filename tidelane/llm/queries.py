@@ -8,13 +8,14 @@ from .language_id import op3_language_id
 from .nearest import op4_nearest
 from .packing import op6_packing
 from .pii import op9_pii
+from .pitman_yor import op10_pitman_yor
 from .quality_rules import OP2_SQL, op2_quality_rules
 from .simhash import op1_simhash
 from .token_files import op7_token_files
 
 
 def queries() -> dict:
-    found = [op1_simhash, op2_quality_rules, op3_language_id, op4_nearest, op5_html_text, op6_packing, op7_token_files, op8_byte_bpe, op9_pii]
+    found = [op1_simhash, op2_quality_rules, op3_language_id, op4_nearest, op5_html_text, op6_packing, op7_token_files, op8_byte_bpe, op9_pii, op10_pitman_yor]
     return {f.__name__: f for f in found}
 
 

@@ -31,7 +31,7 @@ from .shared import fold_of, read_table
 FOLDS = 5
 MAX_DOCS, MAX_WORDS, MAX_GRAMS, ORDERS, SMOOTH = 12_000, 60_000, 30_000, 5, 0.5
 MAX_CACHED = 400_000
-UNKNOWN = "und"
+UNKNOWN, LEAST_SCORE = "und", 0.5
 
 
 def letters_only(token: str) -> list[str]:
@@ -163,20 +163,27 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS) -> Model:
     return Model(sorted({lang for t in tables for x in t.values() for lang in x}), tables)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """The columns of ``docs`` with lang_pred and score."""
+def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns of ``docs`` with the predicted language and its score under ``names``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = docs.columns
 
     def run(batches):
         for batch in batches:
             found = [shared.value.predict(t) for t in batch.column(columns.index("text")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*columns, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*columns, *names])
 
-    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
     return docs.mapInArrow(run, schema)
 
 
+def keep_identified(docs: DataFrame, least: float = LEAST_SCORE, max_docs: int = MAX_DOCS) -> DataFrame:
+    """Documents with a language, predicted with a score of at least ``least`` by a model of the labelled ones."""
+    model = fit(docs.where(fold_of(F.col("doc_id"), FOLDS) != 0), max_docs)
+    rows = predict(docs, model, ("_language", "_language_score"))
+    return rows.where((F.col("_language") != UNKNOWN) & (F.col("_language_score") >= least)).select(docs.columns)
+
+
 def identify(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document; learns from the folds that are not held out."""
     held = fold_of(F.col("doc_id"), FOLDS) == 0

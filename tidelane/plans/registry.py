@@ -1,6 +1,6 @@
 """All queries of the library but those of the training-data operators, and their SQL."""
 
-from . import series_queries
+from . import dimension_queries, series_queries
 
-QUERIES = {**series_queries.Q}
-SQL = {**series_queries.SQL}
+QUERIES = {**series_queries.Q, **dimension_queries.Q}
+SQL = {**series_queries.SQL, **dimension_queries.SQL}

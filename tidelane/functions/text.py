@@ -26,9 +26,9 @@ def decimals(number: Column) -> Column:
 
 def close_gaps(line: Column) -> Column:
     """Numbers torn by the layout: ``4 .8`` and ``4. 8`` are 4.8, ``- 0.1`` is -0.1."""
-    out = F.regexp_replace(line, r"(?<=\d) +(?=\.\d)", "")
-    out = F.regexp_replace(out, r"(?<=\d\.) +(?=\d)", "")
-    return F.regexp_replace(out, r"(?<![\w.])([+-]) +(?=\d+\.\d)", "$1")
+    out = F.regexp_replace(line, r"(?<=\d)\s+(?=\.)", "")
+    out = F.regexp_replace(out, r"(?<=\.)\s+(?=\d)", "")
+    return F.regexp_replace(out, r"(?<!\S)-\s+(?=\d)", "-")
 
 
 def split_joined_diff(line: Column) -> Column:
@@ -38,7 +38,7 @@ def split_joined_diff(line: Column) -> Column:
 
 def recover_dotted_diff(line: Column) -> Column:
     """``+0.05`` as ``+0 05``, for a line that failed as it stands."""
-    return F.regexp_replace(line, r"(?<![\w.])([+-]\d)\.(\d{2})(?!\d)", "$1 $2")
+    return F.regexp_replace(line, r"(?<!\d)([+-]\d)\.(\d{2})(?!\S)", "$1 $2")
 
 
 def time_diff(raw: Column) -> Column:

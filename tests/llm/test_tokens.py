@@ -18,7 +18,8 @@ ODD = ["", " ", "  a", "a  b", "it's we'll they've 're x'", "''s 's'' ' s", "a\n
 def random_texts(n=400):
     rng = random.Random(5)
     alphabet = "abstmdrvel'' \n\t1²é!?$.  日ß\x1c\x85"
-    return ODD + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(n)]
+    plain = [" ".join(rng.choice("The the J̌ab ǰ Straße, ÉTÉ. end. a,b word 漢字 Ǆ K ª ⅷ".split()) for _ in range(30)) for _ in range(40)]
+    return ODD + plain + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(n)]
 
 
 @pytest.fixture(scope="module")

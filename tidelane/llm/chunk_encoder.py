@@ -2,7 +2,8 @@
 
 Both vocabularies split texts so that no piece crosses from a non-space to a space character. A text's ids are
 therefore the concatenation of the ids of its chunks (a run of white space and the word behind it), and chunks repeat
-far more often than texts. A bounded cache keeps the ids of chunks met before by this Python worker.
+far more often than texts. A bounded cache keeps the ids of chunks met before by this Python worker. New words of
+letters alone go to the library many at a time, and are told apart again by the vocabulary's own marks of words.
 """
 
 from __future__ import annotations
@@ -14,8 +15,9 @@ import numpy as np
 
 #: Unicode White_Space, as the tokenizers' own patterns see it (fixed values).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-MAX_CACHED = 600_000
+MAX_CACHED = 1_000_000
 LONGEST_CACHED = 256
+JOINED_WORDS = 2_000
 
 _encoders: dict[tuple[str, bool], "ChunkEncoder"] = {}
 
@@ -27,29 +29,78 @@ class ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.spaces = Tokenizer.from_file(path), spaces
         self.tokenizer.encode_special_tokens = True
         self.find = re.compile(rf"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+" if spaces else rf"[^{SPACE}]+").findall
         self.cache: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        # A token with the mark of a space begins a word, or one with the mark of an end closes it.
+        self.marks = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.marks[[i for t, i in vocabulary.items() if (t.startswith("\u0120") if spaces else t.endswith("</w>"))]] = True
 
     def _library(self, chunks: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
         return [np.asarray(e.ids, "<u4").tobytes() for e in found]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters alone (each behind a space, with ``spaces``), many to a library call."""
+        joint = "" if self.spaces else " "
+        groups = [words[i : i + JOINED_WORDS] for i in range(0, len(words), JOINED_WORDS)]
+        out: list[bytes] = []
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([joint.join(g) for g in groups], add_special_tokens=False)):
+            ids = np.asarray(found.ids, "<u4")
+            cuts = np.flatnonzero(self.marks[ids]) + (0 if self.spaces else 1)
+            if len(cuts) != len(group):  # a letter that the library does not know as one
+                out += self._library(group)
+                continue
+            bounds = (np.append(cuts, len(ids)) if self.spaces else np.append(0, cuts)) * 4
+            raw, at = ids.tobytes(), bounds.tolist()
+            out += [raw[a:b] for a, b in zip(at, at[1:])]
+        return out
+
+    def _split(self, chunk: str) -> tuple[str, str] | None:
+        """A chunk as a word of letters and the full stop or comma behind it, which are pieces of their own."""
+        body = chunk
+        if self.spaces:
+            if chunk[0] != " ":
+                return None
+            body = chunk[1:]
+        tail = body[-1:] if body[-1:] in (".", ",") else ""
+        body = body[: len(body) - len(tail)]
+        if not body.isalpha():
+            return None
+        if self.spaces:
+            return " " + body, tail
+        return (body.lower() if body.isascii() else body), tail
+
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """Put the chunks' ids into the cache; returns those of chunks too long for it."""
+        known, rare = self.cache, {}
+        parts = {c: self._split(c) for c in chunks}
+        whole = [c for c, p in parts.items() if p is None]
+        whole += [t for t in {p[1] for p in parts.values() if p} if t and t not in known]
+        words = list({p[0] for p in parts.values() if p} - known.keys())
+        for new, ids in ((words, self._words(words) if words else []), (whole, self._library(whole) if whole else [])):
+            for chunk, i in zip(new, ids):
+                (known if len(chunk) <= LONGEST_CACHED else rare)[chunk] = i
+        for chunk, p in parts.items():
+            if p:
+                ids = (rare[p[0]] if p[0] in rare else known[p[0]]) + (known[p[1]] if p[1] else b"")
+                (known if len(chunk) <= LONGEST_CACHED else rare)[chunk] = ids
+        return rare
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.cache) > MAX_CACHED:
             self.cache = {}
+        get = self.cache.get
         cut = [self.find(t) if t else [] for t in texts]
-        known = self.cache
-        new = {c for chunks in cut for c in chunks if c not in known}
-        rare = {}
-        if new:
-            new = list(new)
-            for chunk, ids in zip(new, self._library(new)):
-                (known if len(chunk) <= LONGEST_CACHED else rare)[chunk] = ids
-        if rare:
-            return [b"".join([known[c] if c in known else rare[c] for c in chunks]) for chunks in cut]
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in cut]
+        found = [list(map(get, chunks)) for chunks in cut]
+        open_ = [i for i, ids in enumerate(found) if None in ids]
+        new = {c for i in open_ for c, ids in zip(cut[i], found[i]) if ids is None}
+        rare = self._learn(new) if new else {}
+        for i in open_:
+            found[i] = [rare[c] if ids is None and c in rare else ids or get(c) for c, ids in zip(cut[i], found[i])]
+        return [b"".join(ids) for ids in found]
 
 
 def encoder(path: str, spaces: bool) -> ChunkEncoder:

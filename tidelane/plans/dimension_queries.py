@@ -334,3 +334,22 @@ def manifest(spark, sf_dir):
     o = A.table(spark, sf_dir, "orders")
     ranges = o.groupBy(F.year("o_orderdate").alias("year")).agg(F.min(micros(F.col("o_orderdate"))).alias("first_us"), F.max(micros(F.col("o_orderdate"))).alias("last_us"))
     return publish.manifest(made, ranges, PRIORITIES).withColumnsRenamed({p: "p" + p[0] for p in PRIORITIES})
+
+
+@query("""WITH s AS (SELECT c_custkey AS row, CASE c_custkey % 4 WHEN 0 THEN 'tide-primary' WHEN 1 THEN 'tide-secondary' WHEN 2 THEN 'current-primary' ELSE 'current-secondary' END AS kind, c_custkey % 7 = 0 AS us, c_custkey % 59 <> 58 AS located FROM customer),
+  v AS (SELECT *, kind LIKE '%-secondary' OR us AS secondary FROM s)
+  SELECT zoom, kind, count_if(located AND (NOT secondary OR zoom >= CASE WHEN kind LIKE 'tide%' THEN 9 ELSE 8 END)) AS shown, count_if(located) AS located FROM v, (VALUES (7), (8), (9)) z(zoom) GROUP BY 1, 2""")
+def visible_stations(spark, sf_dir):
+    """Stations shown at three zoom levels, of those that have coordinates."""
+    from ..operators import stations as rules
+
+    k = F.col("k")
+    kind = F.element_at(F.array(*map(F.lit, ("tide-primary", "tide-secondary", "current-primary", "current-secondary"))), (k % 4 + 1).cast("int"))
+    located, _ = rules.split_located(stations(spark, sf_dir).withColumn("k", F.col("row")).withColumn("kind", kind).withColumn("us_secondary", k % 7 == 0))
+    totals = located.groupBy("kind").agg(F.count("*").alias("located"))
+    shown = None
+    for zoom in (7, 8, 9):
+        part = rules.visible(located, zoom).groupBy("kind").agg(F.count("*").alias("shown")).withColumn("zoom", F.lit(zoom))
+        shown = part if shown is None else shown.unionByName(part)
+    every = totals.crossJoin(F.broadcast(spark.createDataFrame([(z,) for z in (7, 8, 9)], "zoom int")))  # three rows
+    return every.join(shown, ["kind", "zoom"], "left").select("zoom", "kind", F.coalesce("shown", F.lit(0)).alias("shown"), "located")

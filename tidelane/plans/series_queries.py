@@ -300,3 +300,28 @@ def merged_series(spark, sf_dir):
 def extreme_range_rollup(spark, sf_dir):
     rows = merge.merged(A.tide_series(spark, sf_dir).select("year", "t_us").withColumn("kind", F.lit("tidal_primary")), A.current_series(spark, sf_dir).select("year", "t_us").withColumn("kind", F.lit("current_primary")))
     return merge.extreme_ranges(rows)
+
+
+@query(f"""WITH {A.SERIES_SQL}, {A.PRIMARIES_SQL}, {A.SECONDARIES_SQL}, ref AS (SELECT *, {HILO_SQL} AS hi FROM tide WHERE user_id < 20 WINDOW w AS (PARTITION BY station_id, year ORDER BY t_us, ord)),
+  made AS (SELECT 'sec:' || sec_id AS station_id, e.year, CASE WHEN hi THEN t_us + hw_us ELSE t_us + lw_us END AS t_us, ord, CASE WHEN hi THEN v + hw_dh_mean + (v - hw_mean) * CASE WHEN hw_large = hw_mean THEN 0 ELSE (hw_dh_large - hw_dh_mean) / (hw_large - hw_mean) END ELSE v + lw_dh_mean + (v - lw_mean) * CASE WHEN lw_large = lw_mean THEN 0 ELSE (lw_dh_large - lw_dh_mean) / (lw_large - lw_mean) END END AS v, false AS weak
+    FROM res r JOIN prim p ON r.ref_id = p.station_id JOIN ref e ON e.station_id = r.ref_id AND e.year = r.year),
+  ser AS (SELECT station_id, year, t_us, ord, v, weak FROM tide WHERE user_id < 20 UNION ALL SELECT * FROM made), {A.segments_sql('ser')}, q AS (SELECT DISTINCT station_id, unnest({list(SNAPS)}) AS t_us FROM ser),
+  found AS (SELECT q.station_id, q.t_us, CASE WHEN q.t_us <= t2 THEN t1 END AS t1, CASE WHEN q.t_us <= t2 THEN t2 END AS t2, v1, v2 FROM q ASOF LEFT JOIN (SELECT * FROM seg WHERE t1 < t2) seg ON q.station_id = seg.station_id AND q.t_us >= seg.t1)
+  SELECT station_id, t_us, CASE WHEN t1 IS NULL THEN NULL ELSE {R6(A.TIDE_VALUE)} END AS value, {A.TIDE_STATE} AS state FROM found""")
+def station_states(spark, sf_dir):
+    """The whole first workload: references classed, secondaries derived, series merged, states looked up."""
+    from . import jobs
+
+    own = A.tide_series(spark, sf_dir).where("user_id < 20")
+    ids = own.select("station_id").distinct().unionByName(_resolved(spark, sf_dir).select(F.concat(F.lit("sec:"), F.col("sec_id").cast("string")).alias("station_id")))
+    asked = ids.select("station_id", F.explode(F.array(*map(F.lit, SNAPS))).alias("t_us"))
+    rows = jobs.tide_states(own, A.primaries(spark, sf_dir), A.secondaries(spark, sf_dir), asked)
+    return rows.select("station_id", "t_us", r6(F.col("value")).alias("value"), "state")
+
+
+@query(f"WITH {A.SERIES_SQL} SELECT station_id, year, {R6('max(v) + 0.3')} AS high_m, {R6('min(v) - 0.3')} AS low_m FROM tide GROUP BY 1, 2")
+def service_bounds(spark, sf_dir):
+    from ..operators import stations
+
+    rows = stations.service_tide_bounds(A.tide_series(spark, sf_dir))
+    return rows.select("station_id", "year", r6(F.col("high_m")).alias("high_m"), r6(F.col("low_m")).alias("low_m"))

@@ -109,7 +109,7 @@ def apply_rules(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MA
         left = F.filter(pairs, lambda x: x["h"].isNull() | ~F.array_contains(bad, x["h"]))
         return F.array_join(F.transform(left, lambda x: x["line"]), "\n")
 
-    clean = F.when(F.col("_frequent").isNull(), F.col("text")).otherwise(let(F.col("_frequent"), cleaned))
+    clean = F.when(F.col("_frequent").isNull() | F.col("text").isNull(), F.col("text")).otherwise(let(F.col("_frequent"), cleaned))
     rows = joined.withColumn("_base", base_struct(F.col("text"))).withColumn("_clean", clean).drop("_frequent")
     n, same = F.col("_base.n_words"), F.col("_clean").isNull() | (F.col("_clean") == F.col("text"))
     left = F.when(same, n).otherwise(F.size(words_of(F.col("_clean"))).cast("long"))

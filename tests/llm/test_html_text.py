@@ -33,6 +33,17 @@ def test_held_out_pages(chain, body, least):
     assert sum(ht.main_text(h, chain) == want for h, want in made) >= least * len(made)
 
 
+def test_plain_containers(chain):
+    """Main text in unnamed divisions, learned from pages with articles alone."""
+    rng = random.Random(11)
+    hits = 0
+    for _ in range(40):
+        paragraphs = [sentence(rng) for _ in range(4)]
+        html = "<body>" + NOISE[0] + NOISE[1] + "<div id=wrap><div>" + "</div><div>".join(paragraphs) + "</div></div><footer>&copy; me</footer></body>"
+        hits += ht.main_text(html, chain) == "\n\n".join(paragraphs)
+    assert hits >= 36
+
+
 def test_blocks():
     html = "<p>a <b>b</b>\n c&amp;d&nbsp;e<br>f<p>g<!-- <p>x -->h<ul><li>i<li><a href='>'>j</a></ul><script>if (a<b) '</p>'</script>k &#233;<td>l"
     assert [b[0] for b in ht.blocks(html)] == ["a b c&d e f", "gh", "i", "j", "k é", "l"]

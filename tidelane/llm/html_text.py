@@ -33,6 +33,7 @@ SAMPLE, EPOCHS, RATE, DECAY, LEFT_OUT = 400, 10, 0.2, 1e-3, 0.35
 
 # HTML's elements by kind, and words of class and id by group.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
+GENERIC = frozenset("html body div section center table tbody tr td dd dl dt".split())  # say nothing of what is inside
 VOID = frozenset("hr br img input link meta area base col embed source track wbr param".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table menu".split())
@@ -56,7 +57,7 @@ ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|style)\s*=\s*(\"[^\"]*\"|'[^'
 @lru_cache(20_000)
 def element(tag: str, attributes: str) -> tuple[str, ...]:
     """Feature names that an element gives to the blocks inside it."""
-    out = {f"in={tag}"}
+    out = set() if tag in GENERIC else {f"in={tag}"}
     if tag in NOT_MAIN:
         out.add("group=other")
     if tag in ("article", "main"):
@@ -146,7 +147,7 @@ def blocks(html: str) -> list[tuple[str, str, frozenset, float]]:
 def own_features(text: str, tag: str, links: float, place: float) -> list[str]:
     n = len(text)
     return [
-        f"tag={tag}",
+        f"tag={'block' if tag in GENERIC else tag}",
         f"long={min(7, n.bit_length())}",
         f"links={'none' if links == 0 else 'some' if links < 0.5 else 'most'}",
         f"links={links >= 0.5}&long={min(7, n.bit_length())}",

@@ -147,7 +147,7 @@ def test_streams_give_the_batch_result(spark, tmp_path):
     q = spark.createDataFrame([("a", t * 7 * 3_600_000_000 + 1) for t in range(-2, 25)] + [("z", 1)], "station_id string, t_us long")
     q.repartition(2).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(q.schema).parquet(str(tmp_path / "in"))
-    instants.run_available(instants.stream_snapshot(stream, instants.bucketed_segments(e)), str(tmp_path / "out"), str(tmp_path / "cp"))
+    instants.run_available(instants.stream_snapshot(stream, segments.bucketed_segments(e)), str(tmp_path / "out"), str(tmp_path / "cp"))
     from tidelane.operators import interpolate
 
     want = segments.as_of(e, q).where("t1 is not null").select("station_id", "t_us", interpolate.current_value().alias("value"), interpolate.current_state().alias("state"))

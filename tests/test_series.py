@@ -41,6 +41,10 @@ def test_equal_instants(spark):
     """The later of equal events decides, but at the very end the one before the last."""
     got = at(spark, [(0, 1.0, False), (10, 2.0, False), (10, 5.0, False), (20, 3.0, False), (20, 7.0, False)], [10, 20, 5])
     assert got[10][0] == 5.0 and got[20] == (3.0, "slack", False) and got[5][0] == 1.5
+    e = spark.createDataFrame([("a", t, i, float(v), False) for i, (t, v) in enumerate([(0, 1), (10, 2), (10, 5), (20, 3), (20, 7)])], EVENTS)
+    q = spark.createDataFrame([("a", t) for t in (-1, 0, 10, 20, 21)] + [("b", 1)], "station_id string, t_us long")
+    both = [sorted(map(repr, map(tuple, f.select("station_id", "t_us", *segments.SEGMENT).collect()))) for f in (segments.as_of(e, q), segments.as_of_bucketed(e, q, 7))]
+    assert both[0] == both[1]
     assert at(spark, [(0, 1.0, False)], [0]) == {0: (None, None, False)}
 
 
@@ -50,7 +54,7 @@ def test_grid_and_snapshot_agree_with_lookup(spark):
     want = {(r.station_id, r.t_us): r.v for r in grid.select("station_id", "t_us", interpolate.tide_value().alias("v")).collect()}
     assert len(want) == 45
     times = grid.select("t_us").distinct()
-    for found in (segments.as_of(e, grid.select("station_id", "t_us")), segments.snapshot(e, times), segments.snapshot(e, times, limit=3)):
+    for found in (segments.as_of(e, grid.select("station_id", "t_us")), segments.snapshot(e, times), segments.snapshot(e, times, limit=3), segments.as_of_bucketed(e, grid.select("station_id", "t_us"), 60 * MINUTE)):
         got = {(r.station_id, r.t_us): r.v for r in found.where("t1 is not null").select("station_id", "t_us", interpolate.tide_value().alias("v")).collect()}
         assert got == want
 

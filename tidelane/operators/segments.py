@@ -6,11 +6,12 @@ end too. Lookups never go beyond the first or last event.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEGMENT = ("t1", "v1", "w1", "t2", "v2", "w2")
 BROADCAST_INSTANTS = 5_000
+BUCKET_US = 24 * 3_600_000_000
 
 
 def segments(events: DataFrame, key: str = "station_id") -> DataFrame:
@@ -40,6 +41,26 @@ def as_of(events: DataFrame, instants: DataFrame, key: str = "station_id") -> Da
     return found.select(key, "t_us", *(F.col(f"_extra.{c}") for c in extra), *(F.when(inside, F.col(f"_seg.{c}")).alias(c) for c in SEGMENT))
 
 
+def bucketed_segments(events: DataFrame, bucket_us: int = BUCKET_US, key: str = "station_id") -> DataFrame:
+    """Segments with a row for each time bucket that they touch, so that a lookup is an equi-join on station and bucket."""
+    first, last = (F.floor(F.col(c) / bucket_us).cast("long") for c in ("t1", "t2"))
+    return segments(events, key).withColumn("bucket", F.explode(F.sequence(first, last)))
+
+
+def holds() -> Column:
+    """Whether a segment holds ``t_us``; at most one of a station does."""
+    return (F.col("t_us") >= F.col("t1")) & ((F.col("t_us") < F.col("t2")) | (F.col("is_last") & (F.col("t_us") == F.col("t2"))))
+
+
+def as_of_bucketed(events: DataFrame, instants: DataFrame, bucket_us: int = BUCKET_US, key: str = "station_id") -> DataFrame:
+    """The same as ``as_of`` by an equi-join on station and time bucket, which spreads a station that most instants ask
+    for over many tasks. The bucket should hold a few events; a segment costs a row for each bucket that it touches."""
+    asked = instants.withColumn("bucket", F.floor(F.col("t_us") / bucket_us).cast("long")).alias("q")
+    seg = bucketed_segments(events, bucket_us, key).alias("s")
+    rows = asked.join(seg, (F.col(f"q.{key}") == F.col(f"s.{key}")) & (F.col("q.bucket") == F.col("s.bucket")) & holds(), "left")
+    return rows.select(*(F.col(f"q.{c}") for c in instants.columns), *SEGMENT)
+
+
 def snapshot(events: DataFrame, instants: DataFrame, key: str = "station_id", limit: int = BROADCAST_INSTANTS) -> DataFrame:
     """Every station at every one of a few instants (t_us), in one scan of the segments; no row outside the events.
 
@@ -48,8 +69,4 @@ def snapshot(events: DataFrame, instants: DataFrame, key: str = "station_id", li
     if few.limit(limit + 1).count() > limit:
         return as_of(events, events.select(key).distinct().crossJoin(few), key).where("t1 is not null")
     seg = segments(events, key).alias("s")
-    here = (F.col("t_us") >= F.col("t1")) & ((F.col("t_us") < F.col("t2")) | (F.col("is_last") & (F.col("t_us") == F.col("t2"))))
-    rows = seg.join(F.broadcast(few), here)
-    # Only two segments that end in one instant can both hold it; the later one does.
-    by = Window.partitionBy(key, "t_us").orderBy(F.desc("t1"), F.desc("ord"))
-    return rows.withColumn("_n", F.row_number().over(by)).where("_n = 1").select(key, "t_us", *SEGMENT)
+    return seg.join(F.broadcast(few), holds()).select(key, "t_us", *SEGMENT)

@@ -6,25 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import interpolate
-from ..operators.segments import segments
-
-BUCKET_US = 24 * 3_600_000_000
-
-
-def bucketed_segments(events: DataFrame, bucket_us: int = BUCKET_US) -> DataFrame:
-    """Segments with a row for each time bucket that they touch, so that a lookup is an equi-join on station and bucket."""
-    seg = segments(events)
-    first, last = (F.floor(F.col(c) / bucket_us).cast("long") for c in ("t1", "t2"))
-    return seg.withColumn("bucket", F.explode(F.sequence(first, last)))
-
+from ..operators.segments import BUCKET_US, holds
 
 def stream_snapshot(instants: DataFrame, static_segments: DataFrame, current: bool = True, bucket_us: int = BUCKET_US) -> DataFrame:
-    """value and state at each (station_id, t_us) of a stream; instants outside the events give no row. Stateless."""
+    """value and state at each (station_id, t_us) of a stream, from ``bucketed_segments``; instants outside the events give
+    no row. Stateless."""
     asked = instants.withColumn("bucket", F.floor(F.col("t_us") / bucket_us).cast("long"))
-    found = asked.join(static_segments, ["station_id", "bucket"])
-    here = (F.col("t_us") >= F.col("t1")) & ((F.col("t_us") < F.col("t2")) | (F.col("is_last") & (F.col("t_us") == F.col("t2"))))
+    found = asked.join(static_segments, ["station_id", "bucket"]).where(holds())
     value, state = (interpolate.current_value(), interpolate.current_state()) if current else (interpolate.tide_value(), interpolate.tide_state())
-    return found.where(here & ((F.col("t1") < F.col("t2")) | F.col("is_last"))).select("station_id", "t_us", value.alias("value"), state.alias("state"))
+    return found.select("station_id", "t_us", value.alias("value"), state.alias("state"))
 
 
 def conflate(rows: DataFrame, width: str = "1 minute", late: str = "5 minutes") -> DataFrame:

@@ -49,7 +49,7 @@ def secondary_tides(resolved: DataFrame, reference_events: DataFrame, heights: D
 
     The height difference goes from the mean tide's to the large tide's along the reference's own height. Secondaries
     are the small side and are broadcast, so the events of a reference that many share stay where they are."""
-    s = broadcast_if_small(resolved.join(broadcast_if_small(heights), "ref_id"))
+    s = broadcast_if_small(resolved.join(heights, "ref_id"))
     e = reference_events.withColumnRenamed("station_id", "ref_id")
     hi = F.col("is_high")
     pick = lambda c: F.when(hi, F.col(f"hw_{c}")).otherwise(F.col(f"lw_{c}"))

@@ -28,13 +28,13 @@ def as_of(events: DataFrame, instants: DataFrame, key: str = "station_id") -> Da
     """Columns of ``instants`` (key, t_us, any more) with the segment that holds each, or nulls outside the events.
 
     Segments and instants are sorted together by station and time, and the last segment before an instant is carried
-    forward: one shuffle, linear in both sides. A station's events and instants are one sorted run of a task, which
+    forward: each side is shuffled once, by station, and the union keeps that partitioning. A station's events and instants are one sorted run of a task, which
     spills; split the longest series by a period key first if one station holds most rows."""
     seg = segments(events, key)
     extra = [c for c in instants.columns if c not in (key, "t_us")]
     left = seg.select(key, F.col("t1").alias("t_us"), F.lit(0).alias("_tag"), "ord", F.struct(*SEGMENT).alias("_seg"))
     right = instants.select(key, "t_us", F.lit(1).alias("_tag"), F.lit(None).cast("long").alias("ord"), F.struct(*extra, F.lit(True).alias("_")).alias("_extra"))
-    both = left.unionByName(right, allowMissingColumns=True)
+    both = left.unionByName(right.repartition(key), allowMissingColumns=True)
     by = Window.partitionBy(key).orderBy("t_us", "_tag", "ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = both.withColumn("_seg", F.last("_seg", ignorenulls=True).over(by)).where("_tag = 1")
     inside = F.col("t_us") <= F.col("_seg.t2")

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from .chunk_encoder import slices
 from .shared import fold_of, read_table
 
 FOLDS = 5
 MAX_DOCS, MAX_WORDS, MAX_GRAMS, ORDERS, SMOOTH = 12_000, 60_000, 30_000, 5, 0.5
-MAX_CACHED = 400_000
+MAX_CACHED = 600_000
 UNKNOWN, LEAST_SCORE = "und", 0.5
 
 
@@ -107,41 +109,64 @@ class Model:
         self.langs, self.index, self.scores = state
         self._clear()
 
-    def word_score(self, word: str) -> np.ndarray:
-        row = self.index[0].get(word)
-        if row is not None:
-            return self.scores[0][row]
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """A row a word: its own scores, or the mean over its known n-grams of the longest order that has any."""
+        out = np.zeros((len(words), len(self.langs)))
+        look = self.index[0].get
+        own = [look(w) for w in words]
+        known = [i for i, r in enumerate(own) if r is not None]
+        out[known] = self.scores[0][[own[i] for i in known]]
+        left = [i for i, r in enumerate(own) if r is None]
         for order in range(ORDERS, 0, -1):
-            look = self.index[order]
-            known = [look[g] for g in grams(word, order) if g in look]
-            if known:
-                return self.scores[order][known].mean(0)
-        return np.zeros(len(self.langs))
-
-    def _row(self, token: str) -> int:
-        words = letters_only(token)
-        row = 0
-        if words:
-            row = self.used
-            if row == len(self.cached):
-                self.cached = np.concatenate((self.cached, np.zeros_like(self.cached)))
-            self.cached[row] = sum(map(self.word_score, words))
-            self.used += 1
-        self.rows[token] = row
-        return row
-
-    def predict(self, text: str | None) -> tuple[str, float]:
+            look, rest, at, sizes, flat = self.index[order].get, [], [], [], []
+            for i in left:
+                found = [r for r in map(look, grams(words[i], order)) if r is not None]
+                if found:
+                    at.append(i)
+                    sizes.append(len(found))
+                    flat += found
+                else:
+                    rest.append(i)
+            if at:
+                n = np.array(sizes)
+                out[at] = np.add.reduceat(self.scores[order][flat], np.cumsum(n) - n) / n[:, None]
+            left = rest
+        return out
+
+    def word_score(self, word: str) -> np.ndarray:
+        return self.word_scores([word])[0]
+
+    def _learn(self, tokens: list[str]) -> None:
+        """Put the rows of new tokens into the cache."""
+        split = [letters_only(t) for t in tokens]
+        place = {w: i for i, w in enumerate({w for words in split for w in words})}
+        scores = self.word_scores(list(place))
+        while self.used + len(tokens) > len(self.cached):
+            self.cached = np.concatenate((self.cached, np.zeros_like(self.cached)))
+        for token, words in zip(tokens, split):
+            row = 0
+            if words:
+                row = self.used
+                self.cached[row] = scores[place[words[0]]] if len(words) == 1 else scores[[place[w] for w in words]].sum(0)
+                self.used += 1
+            self.rows[token] = row
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
         if self.used > MAX_CACHED:
             self._clear()
-        get, tokens = self.rows.get, (text or "").split()
-        found = [get(t) for t in tokens]
-        rows = np.array([self._row(t) if r is None else r for t, r in zip(tokens, found)], np.int64)
-        rows = np.unique(rows, return_counts=True) if len(rows) else (rows, rows)
-        if not self.langs or not rows[0].any():
-            return UNKNOWN, 0.0
-        total = rows[1] @ self.cached[rows[0]]
-        best = int(total.argmax())
-        return self.langs[best], float(1 / np.exp(total - total[best]).sum())
+        cut = [t.split() if t else [] for t in texts]
+        if new := set(chain.from_iterable(cut)).difference(self.rows):
+            self._learn(list(new))
+        out, look = [], self.rows.__getitem__
+        for tokens in cut:
+            rows = np.fromiter(map(look, tokens), np.int64, len(tokens))
+            if not self.langs or not rows.any():
+                out.append((UNKNOWN, 0.0))
+                continue
+            total = self.cached[rows].sum(0)
+            best = int(total.argmax())
+            out.append((self.langs[best], float(1 / np.exp(total - total[best]).sum())))
+        return out
 
 
 def fit(docs: DataFrame, max_docs: int = MAX_DOCS) -> Model:
@@ -170,7 +195,8 @@ def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred"
 
     def run(batches):
         for batch in batches:
-            found = [shared.value.predict(t) for t in batch.column(columns.index("text")).to_pylist()]
+            texts = batch.column(columns.index("text")).to_pylist()
+            found = [x for a, b in slices(texts) for x in shared.value.predict_all(texts[a:b])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*columns, *names])
 
     schema = StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])

@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
 #: Unicode White_Space, as the tokenizers' own patterns see it (fixed values).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-MAX_CACHED = 1_000_000
+NOT_SPACE = "\x1c\x1d\x1e\x1f"  # white space to str.split() only
+MAX_CACHED = 800_000
 LONGEST_CACHED = 256
 JOINED_WORDS = 2_000
 
@@ -89,18 +91,22 @@ class ChunkEncoder:
                 (known if len(chunk) <= LONGEST_CACHED else rare)[chunk] = ids
         return rare
 
+    def _cut(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        if self.spaces or any(c in text for c in NOT_SPACE):
+            return self.find(text)
+        return text.split()  # the same characters, but for NOT_SPACE
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.cache) > MAX_CACHED:
             self.cache = {}
-        get = self.cache.get
-        cut = [self.find(t) if t else [] for t in texts]
-        found = [list(map(get, chunks)) for chunks in cut]
-        open_ = [i for i, ids in enumerate(found) if None in ids]
-        new = {c for i in open_ for c, ids in zip(cut[i], found[i]) if ids is None}
+        cut = [self._cut(t) for t in texts]
+        new = set(chain.from_iterable(cut)).difference(self.cache)
         rare = self._learn(new) if new else {}
-        for i in open_:
-            found[i] = [rare[c] if ids is None and c in rare else ids or get(c) for c, ids in zip(cut[i], found[i])]
-        return [b"".join(ids) for ids in found]
+        if rare:
+            return [b"".join([rare[c] if c in rare else self.cache[c] for c in chunks]) for chunks in cut]
+        return [b"".join(map(self.cache.__getitem__, chunks)) for chunks in cut]
 
 
 def encoder(path: str, spaces: bool) -> ChunkEncoder:

@@ -6,8 +6,9 @@ and the nearest open cell is split until enough leaves have been visited. How ma
 ``CALIBRATION`` vectors the true neighbours over all rows are found by one linear pass, and visits widen until the
 recall that the tree gives on them reaches ``RECALL``. A query also goes on until the leaves visited hold k others.
 
-Scale: candidates move once to their leaf, queries once per leaf visited. A leaf of more than ``BLOCK`` rows is salted,
-and queries go to all salts of a leaf, so no group is larger. Of rows with exactly the same vector only the k + 1
+Scale: leaves are dealt to shards of about ``BLOCK`` rows. Candidates move once, to their leaf's shard; a query moves once
+to each shard that holds a leaf it visits, with the list of those leaves, and brings back k rows from there at most. A
+leaf of more than ``BLOCK`` rows is salted over several shards, and queries go to all of them. Of rows with exactly the same vector only the k + 1
 smallest ids can be among anyone's k nearest (ties go to smaller ids, and one may be the query itself), so the others
 are set aside before anything is grouped, by a rank limit that Spark applies before the shuffle too. The tree, the leaf
 counts and the calibration's neighbours are on the driver; all are bounded by parameters.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .shared import read_table, written
 
 SAMPLE, BRANCH, LEAF_ROWS, ROUNDS = 20_000, 8, 96, 12
-CALIBRATION, RECALL, BLOCK = 128, 0.97, 50_000
+CALIBRATION, RECALL, BLOCK, LEAST_SHARDS = 128, 0.95, 50_000, 16
 NEIGHBOURS = 10
 
 
@@ -173,34 +174,48 @@ def search(vectors: DataFrame, query_step: int = 100, k: int = NEIGHBOURS, sampl
     visits = calibrate(indexed, tree, k, recall=recall)
     counts = {r.leaf: r.n for r in indexed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # one row a leaf
     salts = {leaf: -(-n // block) for leaf, n in counts.items() if n > block}
+    shards = max(LEAST_SHARDS, -(-sum(counts.values()) // block))
 
     def walk(batches):
         for batch in batches:
             out = []
             for at, q in enumerate(matrix(batch.column(1))):
-                held = 0
+                held, chosen = 0, {}
                 for i, leaf in enumerate(tree.visit(q)):
                     if i >= visits and held > k:
                         break
                     held += counts.get(leaf, 0)
                     if leaf in counts:
-                        out += [(leaf, salt, at) for salt in range(salts.get(leaf, 1))]
+                        for salt in range(salts.get(leaf, 1)):
+                            chosen.setdefault((leaf + salt) % shards, []).append(leaf)
+                out += [(shard, at, leaves) for shard, leaves in chosen.items()]
             if out:
-                leaf, salt, at = (pa.array(x, pa.int64()) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays([leaf, salt, batch.column(0).take(at), batch.column(1).take(at)], names=["leaf", "salt", "query_id", "vector"])
+                shard, at, leaves = zip(*out)
+                at = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), batch.column(0).take(at), batch.column(1).take(at), pa.array(leaves, pa.list_(pa.int64()))], names=["shard", "query_id", "vector", "leaves"])
 
-    queries = rows.where(F.col("vec_id") % query_step == 0).mapInArrow(walk, "leaf long, salt long, query_id long, vector array<float>")
+    queries = rows.where(F.col("vec_id") % query_step == 0).mapInArrow(walk, "shard long, query_id long, vector array<float>, leaves array<long>")
     number = F.lit(1) if not salts else F.coalesce(F.create_map(*[F.lit(int(x)) for p in salts.items() for x in p])[F.col("leaf")], F.lit(1))
-    members = indexed.withColumn("salt", F.pmod(F.xxhash64("vec_id"), number).cast("long")).select("leaf", "salt", "vec_id", "embedding")
+    shard = F.pmod(F.col("leaf") + F.pmod(F.xxhash64("vec_id"), number), F.lit(shards)).cast("long")
+    members = indexed.select(shard.alias("shard"), "leaf", "vec_id", "embedding")
 
     def compare(asked: pa.Table, held: pa.Table) -> pa.Table:
-        ids, c = held.column("vec_id").to_numpy(), matrix(held.column("embedding").combine_chunks())
-        qs = matrix(asked.column("vector").combine_chunks())
-        got = [(own, i, d) for own, q in zip(asked.column("query_id").to_pylist(), qs) for i, d in (nearest_in(c, ids, q, own, k) if len(ids) else [])]
+        got = []
+        if held.num_rows and asked.num_rows:
+            held = held.sort_by("leaf")
+            ids, leaf, c = held.column("vec_id").to_numpy(), held.column("leaf").to_numpy(), matrix(held.column("embedding").combine_chunks())
+            first = np.flatnonzero(np.concatenate(([True], leaf[1:] != leaf[:-1])))
+            span = {int(leaf[a]): (a, b) for a, b in zip(first, [*first[1:], len(leaf)])}
+            qs = matrix(asked.column("vector").combine_chunks())
+            for own, q, leaves in zip(asked.column("query_id").to_pylist(), qs, asked.column("leaves").to_pylist()):
+                at = [np.arange(*span[x]) for x in leaves if x in span]
+                if at:
+                    at = np.concatenate(at)
+                    got += [(own, i, d) for i, d in nearest_in(c[at], ids[at], q, own, k)]
         columns = list(zip(*got)) or [(), (), ()]
         return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
 
-    found = queries.groupBy("leaf", "salt").cogroup(members.groupBy("leaf", "salt")).applyInArrow(compare, "query_id long, vec_id long, score double")
+    found = queries.groupBy("shard").cogroup(members.groupBy("shard")).applyInArrow(compare, "query_id long, vec_id long, score double")
     return top(found, k)
 
 

@@ -22,8 +22,7 @@ def _with_text(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules: rejected documents go; lines above their host's limit are taken out of the rest."""
-    kept = quality_rules.apply_rules(docs).where("quality.kept").withColumn("text", F.col("quality.clean_text"))
-    return _with_text(docs, kept)
+    return _with_text(docs, quality_rules.keep(docs))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

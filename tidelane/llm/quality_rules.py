@@ -120,6 +120,16 @@ def apply_rules(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MA
     return rows.withColumn("quality", verdict).drop("_base", "_clean", "_left")
 
 
+def keep(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+    """The documents that the rules keep, with the lines above their host's limit taken out of ``text``.
+
+    The filter also reads a row number, which the optimiser does not move: a filter on the verdict alone would be pushed
+    below it, and the rules worked out again for each of its terms."""
+    rows = apply_rules(docs, min_docs, max_share, min_left).withColumn("_row", F.monotonically_increasing_id())
+    kept = rows.where(F.col("quality.kept") & (F.col("_row") >= 0))
+    return kept.select([F.col("quality.clean_text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     fields = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]

@@ -116,7 +116,7 @@ def encoder(path: str, spaces: bool) -> ChunkEncoder:
     return _encoders[path, spaces]
 
 
-def slices(texts: list, chars: int = 4_000_000):
+def slices(texts: list, chars: int = 2_000_000):
     """Index ranges of at most ``chars`` characters each (a longer text alone), which bounds what is in memory at once."""
     start = size = 0
     for i, t in enumerate(texts):

@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelane.llm import language_id, packing, pii, quality_rules, simhash
+from tidelane.llm import language_id, near_copies, packing, pii, quality_rules
 from tidelane.llm.shared import read_table, written
 
 
@@ -31,8 +31,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash groups: the document with the smallest doc_id of each stays."""
-    return simhash.keep_one(docs)
+    """Groups of five-word shingle similarity 0.8 and more: the document with the smallest doc_id of each stays."""
+    return near_copies.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -95,3 +95,28 @@ def test_documents(spark, model):
     assert {r.doc_id: r.text for r in pii.redact(docs, model).collect()}[1] == "mail [email] or [phone]"
     assert pii.detect(docs.limit(0), model).count() == 0
     assert pii.fit(docs.limit(0)).names == {}
+
+
+@pytest.mark.parametrize("count", [12, 400])
+@pytest.mark.parametrize("gap", [" ", " - ", "   "])
+def test_long_runs_are_one_window(model, count, gap):
+    numbers = [f"415-555-{1234 + i}" for i in range(count)]
+    line = "list " + gap.join(numbers) + " end"
+    assert [line[a:b].strip() for a, b in pii.windows(line)] == [gap.join(numbers)]
+    found = [line[a:b] for _, a, b in sorted(pii.find(line, model)[1], key=lambda s: s[1])]
+    digits = lambda parts: re.sub("[^0-9]", "", "".join(parts))
+    if count == 12:  # the model may take parts of two neighbours as a card, which leaves single groups in longer lists
+        assert digits(found) == digits(numbers)
+
+
+def test_windows_of_short_runs_are_as_by_pattern():
+    pattern = re.compile(r"[(+]?[0-9][0-9 ().+-]{5,60}|[^\s@]{1,64}@[^\s@]{1,255}")
+    rng = random.Random(2)
+    for _ in range(20_000):
+        t = "".join(rng.choice("12+(@a. \n-é") for _ in range(rng.randrange(40)))
+        assert pii.windows(t) == [m.span() for m in pattern.finditer(t)]
+
+
+def test_long_mail_words_are_whole_windows():
+    word = "a" * 200 + "@" + "b." * 300 + "com"
+    assert pii.windows(f"x {word} y @ z@ @w") == [(2, 2 + len(word))]

@@ -2,7 +2,8 @@
 
 Base spans come from four fixed patterns with their checks (address of mail, of a machine, card, phone). A semi-Markov
 model adds spans in other writings, such as a phone number without its plus or a card with dots. A text is cut into
-tokens (digit runs, letter runs, single other characters); the model looks at windows around digits and at-signs. A
+tokens (digit runs, letter runs, single other characters); the model looks at whole runs of digits and separators and at
+whole words around at-signs, however long. A
 segment is a background token or an entity of at most ``MAX_TOKENS`` tokens; its score is a weight vector over features
 of the whole span (digits, groups, separators, checksum, neighbours), plus a weight for two neighbouring types. Dynamic
 programming over segment ends picks boundaries and types together. Base spans stay, and a model span that touches one is
@@ -37,7 +38,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 DIGIT = re.compile(r"[0-9]")
 TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|.", re.S)
-WINDOW = re.compile(r"[(+]?[0-9][0-9 ().+-]{5,60}|[^\s@]{1,64}@[^\s@]{1,255}")
+RUN = re.compile(r"[(+]?[0-9][0-9 ().+-]{5,}")
+GAP = re.compile(r"[\s@]")
 MAX_TOKENS, SAMPLE, EPOCHS, RATE, DECAY = 14, 1_500, 12, 0.3, 1e-3
 
 
@@ -105,12 +107,12 @@ def span_features(text: str, a: int, b: int, kind: str) -> list[str]:
 
 
 class Lattice:
-    """Candidate segments of one window, by the token at which they end."""
+    """Candidate segments of one window, by the token at which they end; ``weigh`` keeps a number for their features."""
 
-    def __init__(self, text: str, start: int, stop: int):
+    def __init__(self, text: str, start: int, stop: int, weigh=lambda features: features):
         tokens = [(start + m.start(), start + m.end()) for m in TOKEN.finditer(text[start:stop])]
         self.n, self.tokens = len(tokens), tokens
-        self.ends: list[list] = [[] for _ in range(self.n + 1)]  # (first token, kind index from 1, features)
+        self.ends: list[list] = [[] for _ in range(self.n + 1)]  # (first token, kind index from 1, features or score)
         for i in range(self.n):
             head = text[tokens[i][0]]
             if not (head.isalnum() or head in "(+"):
@@ -121,7 +123,7 @@ class Lattice:
                     continue
                 for k, kind in enumerate(KINDS, 1):
                     if plausible(text[a:b], kind):
-                        self.ends[j + 1].append((i, k, span_features(text, a, b, kind)))
+                        self.ends[j + 1].append((i, k, weigh(span_features(text, a, b, kind))))
 
     def any(self) -> bool:
         return any(self.ends)
@@ -151,7 +153,7 @@ class SemiMarkov:
             for i, k, features in [(j - 1, 0, ()), *lattice.ends[j]]:
                 come = best[i] + self.next[:, k]
                 p = int(come.argmax())
-                s = come[p] + (self.score(features) if k else 0.0)
+                s = come[p] + ((features if isinstance(features, float) else self.score(features)) if k else 0.0)
                 if s > best[j, k]:
                     best[j, k], back[j, k] = s, (i, p)
         out, j, k = [], n, int(best[n].argmax())
@@ -209,8 +211,31 @@ def rewritten(text: str, span: tuple, rng) -> tuple[str, tuple] | None:
     return text[:a] + new + text[b:], (kind, a, a + len(new))
 
 
+def mail_window(text: str, at: int) -> tuple[int, int] | None:
+    """From ``at`` on, the first at-sign with all that touches it on both sides."""
+    mark = text.find("@", at)
+    while mark >= 0:
+        a, gap = mark, GAP.search(text, mark + 1)
+        while a > at and not GAP.match(text[a - 1]):
+            a -= 1
+        b = gap.start() if gap else len(text)
+        if a < mark and mark + 1 < b:
+            return a, b
+        mark = text.find("@", mark + 1)
+    return None
+
+
 def windows(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in WINDOW.finditer(text)] if "@" in text or DIGIT.search(text) else []
+    """Whole runs of digits and separators, and whole words around at-signs, from left to right without overlaps."""
+    out, at, end = [], 0, (len(text) + 1, 0)
+    next_run = lambda: m.span() if (m := RUN.search(text, at)) else end
+    run, mail = next_run(), mail_window(text, 0) or end
+    while min(run, mail) != end:
+        out.append(run if run[0] <= mail[0] else mail)
+        at = out[-1][1]
+        run = run if run[0] >= at else next_run()
+        mail = mail if mail[0] >= at else mail_window(text, at) or end
+    return out
 
 
 def train(texts: list[str], seed: int = 5) -> SemiMarkov:
@@ -251,7 +276,7 @@ def find(text: str | None, model: SemiMarkov) -> tuple[list, list]:
         for a, b in windows(text):
             if any(s[1] <= a and s[2] >= b for s in base):
                 continue
-            lattice = Lattice(text, a, b)
+            lattice = Lattice(text, a, b, model.score)
             if lattice.any():
                 more += [s for s in model.decode(lattice) if all(s[2] <= x[1] or s[1] >= x[2] for x in base)]
     every = sorted(base + more, key=lambda s: (KINDS.index(s[0]), s[1]))

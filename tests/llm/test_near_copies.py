@@ -62,3 +62,18 @@ def test_buckets_that_one_representative_does_not_join():
     ids = np.arange(4)
     assert near_copies.link(ids, ids, sets, 0.8) == [(1, 2)]
     assert near_copies.link(ids, np.array([0, 1, 1, 3]), sets, 0.8) == []
+
+
+def test_rows_that_share_an_id(spark):
+    """Unlike texts of one id both stay, and do not join the groups of their copies; exact repeats are one."""
+    rng = random.Random(6)
+    a, b, c = (" ".join(words(rng, 80)) for _ in range(3))
+    rows = [(7, a, "x"), (7, b, "x"), (7, a, "x"), (8, a + " end", "y"), (9, b + " end", "y"), (3, c, "p"), (3, c.upper(), "q"), (None, c, "r")]
+    found = []
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(1 + seed)
+        found.append(sorted(map(tuple, near_copies.keep_one(docs).collect()), key=repr))
+    assert found[0] == found[1] == found[2]
+    assert [r for r in found[0] if r[0] == 7] == sorted([(7, a, "x"), (7, b, "x")], key=repr)
+    assert [r[0] for r in found[0]].count(3) == 1 and len(found[0]) == 4

@@ -5,8 +5,8 @@ import zlib
 from collections import Counter
 
 import duckdb
-import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -72,7 +72,7 @@ def test_stages(spark, documents):
     assert any("[phone] or [email]" in r.text for r in kept.collect())
 
     coder = ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"), True)
-    want = {r.doc_id: np.concatenate([np.frombuffer(coder.encode([r.text])[0], "<u4"), [1]]) for r in kept.collect()}
+    want = {r.doc_id: coder.encode(pa.array([r.text]), 1)[0] for r in kept.collect()}
     pieces = corpus_pipeline.pack(spark, kept, documents).collect()
     assert Counter({d: len(x) for d, x in want.items()}) == sum((Counter({p.doc_id: p.length}) for p in pieces), Counter())
     assert all(p.ids_crc32 == zlib.crc32(want[p.doc_id][p.start : p.start + p.length].astype("<u4").tobytes()) for p in pieces)

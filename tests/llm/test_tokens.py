@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import public_tokenizers as P
@@ -15,6 +16,11 @@ from tidelane.llm.chunk_encoder import ChunkEncoder
 ODD = ["", " ", "  a", "a  b", "it's we'll they've 're x'", "''s 's'' ' s", "a\n\n b\t\tc  ", "x y  z", "é ê̂ ", "1 2²½ 3", "日本 語", "<|endoftext|> a", "!\x1c!\x1cb", " 's", "don't've'll", "\r\n\r\n", "a" * 300 + "!" * 150, "Σας ΣΑΣ", "<|startoftext|>Hi", "\x00\x00 a"]
 
 
+def encoded(coder: ChunkEncoder, texts: list, end_id: int = 1) -> list[list[int]]:
+    ids, bounds = coder.encode(pa.array(texts, pa.string()), end_id)
+    return [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+
+
 def random_texts(n=400):
     rng = random.Random(5)
     alphabet = "abstmdrvel'' \n\t1²é!?$.  日ß\x1c\x85"
@@ -32,8 +38,13 @@ def frame(spark):
 def test_chunks_give_the_library_ids(name, spaces):
     own = ChunkEncoder(P.path(name), spaces)
     texts = random_texts()
-    want = [np.asarray(e.ids, "<u4").tobytes() for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert own.encode(texts) == want == own.encode(texts)
+    want = [e.ids + [1] for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert encoded(own, texts) == want == encoded(own, texts)
+    few = ["b" * 300 + " a", None, "a\u00a0  b\u3000\u2003c", "LaİX. שׁ.", "", "\n\n\nab\n\ncd,\nef!!", None]
+    assert encoded(own, few) == [own.tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for t in few]
+    assert encoded(own, []) == [] and encoded(own, [None, ""]) == [[1], [1]]
+    part = pa.array(["x y", *few, "z"]).slice(1, len(few))
+    assert own.encode(part, 7)[0].tolist() == own.encode(pa.array(few), 7)[0].tolist()
 
 
 def test_byte_bpe_is_tiktoken():
@@ -83,7 +94,7 @@ def test_best_fill_is_the_best():
 def test_packing_is_whole(frame):
     got = packing.pack(frame, P.path("byte_bpe_50k.json"), pool=50).toPandas()
     coder = ChunkEncoder(P.path("byte_bpe_50k.json"), True)
-    want = {r.doc_id: np.concatenate([np.frombuffer(coder.encode([r.text])[0], "<u4"), [1]]).astype("<u4") for r in frame.collect()}
+    want = {r.doc_id: np.array(encoded(coder, [r.text])[0], "<u4") for r in frame.collect()}
     assert set(got.doc_id) == set(want)
     for (doc, start, length), n in got.groupby(["doc_id", "start", "length"]).size().items():
         assert n == (2 if doc == 9001 else 1)
@@ -102,7 +113,7 @@ def test_token_files(spark, frame, tmp_path):
     rows = sorted(frame.collect(), key=lambda r: r.doc_id)
     assert len(rows) == len(got)
     for want, row in zip(rows, got.itertuples()):
-        ids = coder.encode([want.text])[0] + np.asarray([1], "<u4").tobytes()
+        ids = np.array(encoded(coder, [want.text])[0], "<u4").tobytes()
         assert (row.doc_id, row.start, row.n_tokens, row.ids_crc32) == (want.doc_id, at, len(ids) // 4, zlib.crc32(ids))
         at += len(ids) // 4
 

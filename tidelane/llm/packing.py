@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import zlib
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,8 +77,8 @@ class _Packer:
     def __init__(self, window: int, first_id: int):
         self.window, self.next_id, self.pool, self.held = window, first_id, {}, 0
 
-    def add(self, doc_id, ids: bytes) -> list[tuple]:
-        """Rows of the full windows of a document; its rest goes to the pool."""
+    def add(self, doc_id, ids) -> list[tuple]:
+        """Rows of the full windows of a document, whose ids are given as bytes; its rest goes to the pool."""
         n, out = len(ids) // 4, []
         for start in range(0, n, self.window):
             part = ids[4 * start : 4 * (start + self.window)]
@@ -114,18 +113,20 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = E
         from pyspark import TaskContext
 
         packer = _Packer(window, TaskContext.get().partitionId() << 33)
-        tail, schema = np.asarray([end_id], "<u4").tobytes(), pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])
+        schema = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])
 
         def table(rows):
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], schema=schema)
 
         encode = encoder(vocabulary, True).encode
         for batch in batches:
-            keys, texts = (batch.column(i).to_pylist() for i in (0, 1))
+            keys, texts = batch.column(0).to_pylist(), batch.column(1)
             for a, b in slices(texts):
                 rows = []
-                for key, ids in zip(keys[a:b], encode(texts[a:b])):
-                    rows += packer.add(key, ids + tail)
+                ids, bounds = encode(texts.slice(a, b - a), end_id)
+                ids, ends = memoryview(ids.astype("<u4", copy=False).tobytes()), (4 * bounds).tolist()
+                for key, start, stop in zip(keys[a:b], ends, ends[1:]):
+                    rows += packer.add(key, ids[start:stop])
                 if packer.held > pool:
                     rows += packer.flush(pool // 4)
                 if rows:

@@ -6,8 +6,9 @@ delta pages of the format's second version where a dictionary grows too large; r
 carry page indexes, so that a reader can take the metadata columns alone, or the ids of a few documents, without
 reading the rest.
 
-Documents are range partitioned by doc_id, so that part numbers ascend with doc_id; only one small row a part is
-gathered to turn ``part_start`` into the place in the whole corpus.
+Documents are range partitioned by doc_id into parts of about ``PART_BYTES`` of text, so that part numbers ascend with
+doc_id. Texts are shuffled for that once; ids are never. One small row a part (some 800,000 at 100 TB) is summed up to
+turn ``part_start`` into the place in the whole corpus, and handed to the readers of the files.
 
 Defined cases: a null or empty text is the end id alone; repeated doc_ids keep all their rows, in an order by text
 hash; null doc_ids come first; an empty table gives an empty result.
@@ -29,6 +30,7 @@ from .shared import read_table, scratch_root
 END_ID = 1
 SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 2_000
+PART_BYTES, LEAST_PARTS = 128 << 20, 24
 
 
 def encode_sorted(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
@@ -38,20 +40,21 @@ def encode_sorted(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> Dat
     def run(batches):
         from pyspark import TaskContext
 
-        part, at, tail = TaskContext.get().partitionId(), 0, np.asarray([end_id], "<u4").tobytes()
+        part, at = TaskContext.get().partitionId(), 0
         encode = encoder(vocabulary, False).encode
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
+            keys, texts = batch.column(0), batch.column(1)
             for a, b in slices(texts):
-                found = [x + tail for x in encode(texts[a:b])]
-                n = np.asarray([len(x) // 4 for x in found], np.int64)
-                ends = np.cumsum(n)
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4")))
-                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), pa.array(np.full(b - a, part, np.int32)), pa.array(at + ends - n), pa.array(n), ids], schema=arrow)
-                at += int(ends[-1])
+                ids, bounds = encode(texts.slice(a, b - a), end_id)
+                n = np.diff(bounds)
+                listed = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), pa.array(np.full(b - a, part, np.int32)), pa.array(at + bounds[:-1]), pa.array(n), listed], schema=arrow)
+                at += len(ids)
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(run, SCHEMA)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(LEAST_PARTS, -(-size // PART_BYTES))
+    return rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(run, SCHEMA)
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_ID) -> None:
@@ -69,12 +72,14 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int =
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """The files' rows with ``start``, the ids of all documents before; columns that are not selected are not read."""
+    """The files' rows with ``start``, the ids of all documents before; columns that are not selected are not read.
+
+    The broadcast side has one row a part, so it is bounded by the number of tasks that wrote the files."""
     rows = spark.read.schema(SCHEMA).parquet(path)
     parts = rows.groupBy("part").agg(F.max(F.col("part_start") + F.col("n_tokens")).alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return rows.join(base, "part").select("doc_id", (F.col("base") + F.col("part_start")).alias("start"), "n_tokens", "ids")
+    return rows.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("part_start")).alias("start"), "n_tokens", "ids")
 
 
 def ids_crc32(rows: DataFrame) -> DataFrame:

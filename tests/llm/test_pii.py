@@ -1,10 +1,12 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
 from tidelane.llm import pii
+from tidelane.llm.shared import distinct_sample
 
 
 def card(rng):
@@ -45,7 +47,9 @@ def plain_base(t):
 
 def test_base_spans_stay(model):
     rng = random.Random(9)
-    texts = [text(rng, i) for i in range(200)] + ["".join(rng.choice("12.+@-( )a4x") for _ in range(80)) for _ in range(300)] + ["", "0001.2.3.4", "999999999999.1.1.1"]
+    texts = [text(rng, i) for i in range(200)] + ["".join(rng.choice("12.+@-( )a4x") for _ in range(80)) for _ in range(300)] + ["", "0001.2.3.4", "999999999999.1.1.1", "0000000300.1.1.1", "0000000255.1.1.1", "1.2.3.000256", "1.2.3.4.5.6.7.8.9", "256.1.1.1.1.1.1.1", "a@b@c.d.e@f.g", "x@y. z@.w a@b.c@d.e", "@@a@b.c"]
+    texts += [f"{'0' * rng.randrange(12)}{rng.randrange(250, 999)}.{rng.randrange(300)}.{'0' * rng.randrange(4)}{rng.randrange(300)}.7" for _ in range(200)]
+    texts += ["".join(rng.choice("ab@@..-c %") for _ in range(40)) for _ in range(500)]
     for t in texts:
         base, every = pii.find(t, model)
         assert base == plain_base(t)
@@ -74,8 +78,8 @@ def test_decoding_is_the_best_segmentation(model):
         if at == lattice.n:
             yield 0.0, []
             return
-        for j, segments in enumerate(lattice.ends):
-            for i, k, f in [*segments, *([(j - 1, 0, ())] if j == at + 1 else [])]:
+        for j in range(1, lattice.n + 1):
+            for i, k, f in [*lattice.ends.get(j, ()), *([(j - 1, 0, ())] if j == at + 1 else [])]:
                 if i == at and j > at:
                     for s, rest in every(j, k):
                         yield s + model.next[last, k] + (model.score(f) if k else 0), [(k, i, j), *rest]
@@ -120,3 +124,38 @@ def test_windows_of_short_runs_are_as_by_pattern():
 def test_long_mail_words_are_whole_windows():
     word = "a" * 200 + "@" + "b." * 300 + "com"
     assert pii.windows(f"x {word} y @ z@ @w") == [(2, 2 + len(word))]
+
+
+def test_a_phone_behind_a_long_run_is_found_whole(model):
+    line = " ".join(map(str, range(1, 22))) + " (415) 555-1234"
+    assert ("phone", line.index("("), len(line)) in pii.find(line, model)[1]
+
+
+@pytest.mark.parametrize("unit", ["1", "ab9Z", "1.", "@", "a@", "1 2 3 ", "a.b@c.de ", "+", "(", "1-"])
+def test_a_megabyte_of_one_kind_is_linear(model, unit):
+    """Twice the text takes about twice the time, and a megabyte takes seconds."""
+    t = "me@x.example.com " + unit * (1_000_000 // len(unit)) + " a@b.cd"
+    start = time.process_time()
+    base, every = pii.find(t, model)
+    assert time.process_time() - start < 12 and set(base) <= set(every)
+
+
+def test_one_text_many_times_does_not_crowd_out_the_sample(spark):
+    rng = random.Random(2)
+    other = [text(rng, i) for i in range(40)]
+    rows = spark.range(20_000).selectExpr("id AS doc_id", "'copied 12 times' AS text").unionByName(spark.createDataFrame(list(enumerate(other)), "doc_id long, text string"))
+    found = [r.text for r in distinct_sample(rows, ["text"], 30)]
+    assert len(found) == len(set(found)) == 30
+    assert sorted(distinct_sample(rows.repartition(7), ["text"], 30)) == sorted(distinct_sample(rows, ["text"], 30))
+    assert len(distinct_sample(rows, ["text"], 1)) == 1 and distinct_sample(rows.where("false"), ["text"], 5) == []
+
+
+def test_query_columns_of_a_plain_version(spark, model):
+    rng = random.Random(12)
+    rows = [(i, text(rng, i), "x") for i in range(80)] + [(7, None, "y"), (None, "", "z")]
+    for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string, spans string"), model).collect():
+        mine = [t for i, t, _ in rows if i == r.doc_id and (i != 7 or t is None or r.spans)]
+        base = plain_base((mine[0] if len(mine) == 1 else next(t for t in mine if t)) or "")
+        written = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert r.base_sha256 == hashlib.sha256(written.encode()).hexdigest()
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s[0] == k for s in base) for k in ("email", "ip", "card", "phone"))

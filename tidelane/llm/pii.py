@@ -6,11 +6,11 @@ tokens (digit runs, letter runs, single other characters); the model looks at wh
 whole words around at-signs, however long. A
 segment is a background token or an entity of at most ``MAX_TOKENS`` tokens; its score is a weight vector over features
 of the whole span (digits, groups, separators, checksum, neighbours), plus a weight for two neighbouring types. Dynamic
-programming over segment ends picks boundaries and types together. Base spans stay, and a model span that touches one is
-dropped.
+programming over segment ends picks boundaries and types together. Base spans stay, and a model span may not touch one.
 
-The model is fitted on a bounded sample of ``SAMPLE`` documents with digits: base spans are the labels, in their own
-writing and rewritten in others that keep their digits. Training maximises the conditional likelihood by gradient steps
+The model is fitted on a bounded sample: the ``SAMPLE`` different texts with a digit or an at-sign, of at most
+``SAMPLE_CHARS`` characters, whose hashes are smallest, and their windows of at most ``SAMPLE_TOKENS`` tokens. Base spans
+are the labels, in their own writing, rewritten in others that keep their digits, and among up to ``NUMBER_LINES`` lines of plain numbers. Training maximises the conditional likelihood by gradient steps
 over forward and backward sums. All texts are then searched whole, where they lie; nothing is shuffled.
 
 Defined cases: a null or empty text has no spans; repeated rows get equal results; a null doc_id stays null; other
@@ -21,13 +21,15 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import read_table
+from .shared import distinct_sample, read_table
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns (fixed values).
@@ -36,11 +38,16 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
+# Pieces of the first two, by which they are found in one pass over any text.
+LOCAL, DOMAIN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"), re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+DOTTED, PART = re.compile(r"[0-9]+(?:\.[0-9]+)*"), re.compile(r"[0-9]+")
+
 DIGIT = re.compile(r"[0-9]")
 TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|.", re.S)
 RUN = re.compile(r"[(+]?[0-9][0-9 ().+-]{5,}")
 GAP = re.compile(r"[\s@]")
-MAX_TOKENS, SAMPLE, EPOCHS, RATE, DECAY = 14, 1_500, 12, 0.3, 1e-3
+MAX_TOKENS, MAX_DIGITS, SAMPLE, SAMPLE_CHARS, SAMPLE_TOKENS, NUMBER_LINES, EPOCHS, RATE, DECAY = 14, 19, 1_500, 100_000, 400, 120, 12, 0.3, 1e-3
+PLAIN = frozenset("0123456789 ().+-")
 
 
 def luhn(digits: str) -> bool:
@@ -55,13 +62,37 @@ def digits_of(text: str) -> str:
     return "".join(DIGIT.findall(text))
 
 
+def mail_spans(text: str) -> list[tuple[int, int]]:
+    """What EMAIL finds, from each at-sign outwards."""
+    out, end, mark = [], 0, text.find("@")
+    while mark >= 0:
+        start = mark
+        while start > end and text[start - 1] in LOCAL:
+            start -= 1
+        if start < mark and (m := DOMAIN.match(text, mark + 1)):
+            end = m.end()
+            out.append((start, end))
+        mark = text.find("@", max(end, mark + 1))
+    return out
+
+
+def ip_spans(text: str) -> list[tuple[int, int]]:
+    """What IP finds, four by four parts of each run of dotted numbers, where no part is above 255."""
+    out = []
+    for m in DOTTED.finditer(text):
+        if m[0].count(".") >= 3:
+            parts = [(p.start(), p.end()) for p in PART.finditer(text, m.start(), m.end())]
+            for i in range(0, len(parts) - 3, 4):
+                if all(int(text[a:b].lstrip("0")[:4] or 0) <= 255 for a, b in parts[i : i + 4]):
+                    out.append((parts[i][0], parts[i + 3][1]))
+    return out
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of the four patterns, by kind and then start."""
-    out = []
-    if "@" in text:
-        out += [("email", *m.span()) for m in EMAIL.finditer(text)]
+    out = [("email", *span) for span in mail_spans(text)]
     if DIGIT.search(text):
-        out += [("ip", *m.span()) for m in IP.finditer(text) if all(int(x) <= 255 for x in m[0].split(".") if len(x) < 9) and all(len(x.lstrip("0")) < 4 for x in m[0].split("."))]
+        out += [("ip", *span) for span in ip_spans(text)]
         for m in CARD.finditer(text):
             d = digits_of(m[0])
             if 13 <= len(d) <= 19 and luhn(d):
@@ -107,26 +138,54 @@ def span_features(text: str, a: int, b: int, kind: str) -> list[str]:
 
 
 class Lattice:
-    """Candidate segments of one window, by the token at which they end; ``weigh`` keeps a number for their features."""
+    """Candidate segments of one window, by the token at which they end; ``weigh`` keeps a number for their features.
+
+    A candidate is of digits and separators alone, with at most MAX_DIGITS digits, or holds an at-sign, and its place is
+    ``free``; others are not looked at."""
 
-    def __init__(self, text: str, start: int, stop: int, weigh=lambda features: features):
+    def __init__(self, text: str, start: int, stop: int, weigh=lambda features: features, free=lambda a, b: True):
         tokens = [(start + m.start(), start + m.end()) for m in TOKEN.finditer(text[start:stop])]
         self.n, self.tokens = len(tokens), tokens
-        self.ends: list[list] = [[] for _ in range(self.n + 1)]  # (first token, kind index from 1, features or score)
+        self.ends: dict[int, list] = {}  # end token: (first token, kind index from 1, features or score)
+        digits = [b - a if text[a].isdecimal() else 0 if text[a] in PLAIN else -1 for a, b in tokens]
+        marks = [i for i, (a, _) in enumerate(tokens) if text[a] == "@"]
         for i in range(self.n):
             head = text[tokens[i][0]]
             if not (head.isalnum() or head in "(+"):
                 continue
+            at = bisect_left(marks, i)
+            mail = marks[at] if at < len(marks) else self.n + MAX_TOKENS
+            if digits[i] < 0 and mail >= i + MAX_TOKENS:
+                continue
+            count, dots, plain = 0, 0, True
             for j in range(i, min(self.n, i + MAX_TOKENS)):
+                plain = plain and digits[j] >= 0
+                count += max(0, digits[j])
+                dots += text[tokens[j][0]] == "."
+                kinds = (1,) if j > mail else ()
+                if plain:
+                    kinds = (2,) * (dots == 3 and 4 <= count <= 12) + (3,) * (13 <= count <= MAX_DIGITS) + (4,) * (9 <= count <= 15)
+                if not plain and mail >= i + MAX_TOKENS or plain and count > MAX_DIGITS and mail >= i + MAX_TOKENS:
+                    break
                 a, b = tokens[i][0], tokens[j][1]
-                if b - a < 6 or not text[b - 1].isalnum():
+                if not kinds or b - a < 6 or not text[b - 1].isalnum() or not free(a, b):
                     continue
-                for k, kind in enumerate(KINDS, 1):
-                    if plausible(text[a:b], kind):
-                        self.ends[j + 1].append((i, k, weigh(span_features(text, a, b, kind))))
+                for k in kinds:
+                    if plausible(text[a:b], KINDS[k - 1]):
+                        self.ends.setdefault(j + 1, []).append((i, k, weigh(span_features(text, a, b, KINDS[k - 1]))))
 
     def any(self) -> bool:
-        return any(self.ends)
+        return bool(self.ends)
+
+    def clusters(self) -> list[tuple[int, int]]:
+        """Stretches of tokens that candidates cover; all others are background."""
+        out: list[list[int]] = []
+        for j in sorted(self.ends):
+            i = min(x[0] for x in self.ends[j])
+            while out and i < out[-1][1]:
+                i = min(i, out.pop()[0])
+            out.append([i, j])
+        return [(a, b) for a, b in out]
 
 
 class SemiMarkov:
@@ -145,19 +204,25 @@ class SemiMarkov:
         return sum([get(f, -1.0) for f in features])  # a feature never seen speaks against the span
 
     def decode(self, lattice: Lattice) -> list[tuple[str, int, int]]:
-        """The best segmentation's entities."""
-        size, n = len(KINDS) + 1, lattice.n
-        best, back = np.full((n + 1, size), -np.inf), {}
+        """The best segmentation's entities, stretch by stretch: a background token between two makes them independent."""
+        out = []
+        for first, last in lattice.clusters():
+            out += self._decode(lattice, first, last)
+        return out
+
+    def _decode(self, lattice: Lattice, first: int, last: int) -> list[tuple[str, int, int]]:
+        size = len(KINDS) + 1
+        best, back = np.full((last - first + 1, size), -np.inf), {}
         best[0, 0] = 0.0
-        for j in range(1, n + 1):
-            for i, k, features in [(j - 1, 0, ()), *lattice.ends[j]]:
-                come = best[i] + self.next[:, k]
+        for j in range(first + 1, last + 1):
+            for i, k, features in [(j - 1, 0, ()), *lattice.ends.get(j, ())]:
+                come = best[i - first] + self.next[:, k]
                 p = int(come.argmax())
                 s = come[p] + ((features if isinstance(features, float) else self.score(features)) if k else 0.0)
-                if s > best[j, k]:
-                    best[j, k], back[j, k] = s, (i, p)
-        out, j, k = [], n, int(best[n].argmax())
-        while j:
+                if s > best[j - first, k]:
+                    best[j - first, k], back[j, k] = s, (i, p)
+        out, j, k = [], last, int((best[-1] + (self.next[:, 0] if last < lattice.n else 0.0)).argmax())
+        while j > first:
             i, p = back[j, k]
             if k:
                 out.append((KINDS[k - 1], lattice.tokens[i][0], lattice.tokens[j - 1][1]))
@@ -167,7 +232,7 @@ class SemiMarkov:
     def step(self, lattice: Lattice, gold: set, rate: float) -> None:
         """One gradient step of the conditional log likelihood."""
         size, n = len(KINDS) + 1, lattice.n
-        segments = [(j, i, k, [self.names[f] for f in features if f in self.names]) for j in range(1, n + 1) for i, k, features in [(j - 1, 0, ()), *lattice.ends[j]]]
+        segments = [(j, i, k, [self.names[f] for f in features if f in self.names]) for j in range(1, n + 1) for i, k, features in [(j - 1, 0, ()), *lattice.ends.get(j, ())]]
         values = [self.weights[f].sum() if k else 0.0 for _, _, k, f in segments]
         ahead, behind = np.full((n + 1, size), -np.inf), np.full((n + 1, size), -np.inf)
         ahead[0, 0], behind[n] = 0.0, 0.0
@@ -238,25 +303,44 @@ def windows(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def among_numbers(piece: str, kind: str, rng) -> tuple[str, set]:
+    """A line of plain numbers around a piece (none, where it is empty), and the piece's span."""
+    lists = [" ".join(str(rng.integers(0, 10 ** rng.integers(1, 6))) for _ in range(rng.integers(0, 9))) for _ in range(2)]
+    if rng.random() < 0.3:
+        lists[0] = " ".join(map(str, range(rng.integers(1, 20), rng.integers(20, 36))))
+    a = len(lists[0]) + 1 if lists[0] else 0
+    line = " ".join(x for x in (lists[0], piece, lists[1]) if x)
+    return line, {(kind, a, a + len(piece))} if piece else set()
+
+
 def train(texts: list[str], seed: int = 5) -> SemiMarkov:
     """Fit on texts labelled by their base spans."""
     rng, examples = np.random.default_rng(seed), []
+    lists: list[tuple] = []
     for text in texts:
         spans = base_spans(text)
         for other in [None, *spans]:
             if other and not (changed := rewritten(text, other, rng)):
                 continue
             now, gold = (text, set(spans)) if other is None else (changed[0], {changed[1]})
+            if len(lists) < NUMBER_LINES:
+                lists.append(among_numbers(now[changed[1][1] : changed[1][2]] if other else "", changed[1][0] if other else "", rng))
             for a, b in windows(now):
                 near = {s for s in gold if s[1] >= a and s[2] <= b}
                 if other and not near:
                     continue
                 lattice = Lattice(now, a, b)
-                if lattice.any():
+                if lattice.any() and lattice.n <= SAMPLE_TOKENS:
                     examples.append((lattice, near))
+    for line, gold in lists:
+        if not set(base_spans(line)) - gold:
+            for a, b in windows(line):
+                lattice = Lattice(line, a, b)
+                if lattice.any():
+                    examples.append((lattice, gold))
     names: dict[str, int] = {}
     for lattice, _ in examples:
-        for segments in lattice.ends:
+        for segments in lattice.ends.values():
             for _, _, features in segments:
                 for f in features:
                     names.setdefault(f, len(names))
@@ -273,23 +357,22 @@ def find(text: str | None, model: SemiMarkov) -> tuple[list, list]:
     base = base_spans(text)
     more = []
     if model.names:
+        by_start = sorted((a, b) for _, a, b in base)
+        starts, reach = [a for a, _ in by_start], [0, *accumulate((b for _, b in by_start), max)]  # furthest end of the first n
         for a, b in windows(text):
-            if any(s[1] <= a and s[2] >= b for s in base):
+            if reach[bisect_right(starts, a)] >= b:
                 continue
-            lattice = Lattice(text, a, b, model.score)
+            lattice = Lattice(text, a, b, model.score, lambda x, y: reach[bisect_left(starts, y)] <= x)
             if lattice.any():
-                more += [s for s in model.decode(lattice) if all(s[2] <= x[1] or s[1] >= x[2] for x in base)]
+                more += model.decode(lattice)
     every = sorted(base + more, key=lambda s: (KINDS.index(s[0]), s[1]))
     return base, every
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> SemiMarkov:
-    """Fit on about ``sample`` documents that hold a digit or an at-sign, picked by a hash of the text."""
-    rows = docs.where(F.col("text").rlike("[0-9@]"))
-    share = sample / max(1, rows.count())
-    if share < 1:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))
-    return train([r.text for r in rows.select("text").orderBy(F.xxhash64("text")).collect()])
+    """Fit on at most ``sample`` different texts that hold a digit or an at-sign, of at most SAMPLE_CHARS characters each."""
+    rows = docs.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= SAMPLE_CHARS)).select("text")
+    return train([r.text for r in distinct_sample(rows, ["text"], sample)])
 
 
 def written_out(spans: list) -> str:

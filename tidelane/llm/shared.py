@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,14 +9,25 @@ from pyspark.sql import functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` of the session, or one made here where it is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir`` of the session. Without one there is no place that
+    every executor can read, so that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tidelane-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return root.rstrip("/")
 
 
+def distinct_sample(rows: DataFrame, content: list[str], size: int) -> list:
+    """At most ``size`` rows of distinct ``content`` on the driver: those with the smallest hashes, so that the sample is
+    the same however the rows lie, never empty while there are rows, and holds a text once however often it occurs."""
+    hashed = rows.select(F.xxhash64(*content).alias("_hash"), *content)
+    top = hashed.select("_hash").distinct().orderBy("_hash").limit(size).agg(F.max("_hash")).first()[0]
+    if top is None:
+        return []
+    found = hashed.where(F.col("_hash") <= top).groupBy("_hash").agg(F.first(F.struct(*content)).alias("_row"))
+    return found.orderBy("_hash").select("_row.*").collect()
+
+
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the table read back: lineage ends there, and a lost executor loses nothing."""
     path = f"{scratch_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

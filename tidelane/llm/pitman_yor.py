@@ -38,7 +38,7 @@ from .seating import draw_tables
 from .shared import fold_of, read_table, scratch_root, written
 
 FOLDS, SWEEPS, BURN_IN, GROUPS, STRENGTH = 10, 5, 2, 4, 1.0
-BLOCK_TOKENS, PART_BYTES, SPLIT, ENDINGS = 6_000_000, 12 << 20, 1_000_000, 256
+BLOCK_TOKENS, PART_BYTES, SPLIT, ENDINGS = 1_500_000, 12 << 20, 1_000_000, 256
 END = b"\n"  # no word holds white space
 ROWS = "part int, kind string, source long, payload binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"

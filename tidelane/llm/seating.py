@@ -10,11 +10,11 @@ law holds for every n, and a draw costs the same for a thousand customers as for
 from __future__ import annotations
 
 from functools import lru_cache
-from math import ceil, lgamma, log
+from math import exp, expm1, lgamma, log, sqrt
 
 import numpy as np
 
-EXACT, FEW, TERMS = 512, 32, 200
+EXACT, FEW, TERMS, POINTS = 1024, 32, 200, 256
 
 
 def _lgamma(x) -> np.ndarray:
@@ -50,7 +50,7 @@ def _few_tables(d: float, n: int, t: np.ndarray) -> np.ndarray:
 def _many_tables(d: float, n: int, t: np.ndarray) -> np.ndarray:
     """log S(n, t) at the saddle point of the Sibuya sum's generating function (1 - (1 - z) ** d) ** t."""
     low, high = np.full(len(t), -80.0), np.full(len(t), -1e-12)  # bounds of log(1 - z)
-    for _ in range(70):
+    for _ in range(50):
         v = (low + high) / 2
         y, gap = np.exp(v), -np.expm1(d * v)
         mean = d * (1 - y) * np.exp((d - 1) * v) / gap
@@ -92,29 +92,32 @@ def log_odds(d: float, strength: float, n: int, base: float, others: float, t: n
     return log_stirling(d, n, t) + _lgamma(a + t) - lgamma(a) + t * (log(d) + log(base))
 
 
+def _mode(d: float, strength: float, n: int, base: float, others: float) -> int:
+    """About the most probable number of tables: where one more changes nothing, at the saddle point that goes with it."""
+    a, low, high = strength / d + others, -80.0, -1e-12
+    for _ in range(60):
+        v = (low + high) / 2
+        f = -expm1(d * v)
+        t = n * f / (d * -expm1(v) * exp((d - 1) * v))
+        low, high = (v, high) if f * base * (a + t) > t else (low, v)
+    return min(n, max(1, round(t)))
+
+
 def _draw_large(d: float, strength: float, n: int, base: float, others: float, rng) -> int:
-    """One draw for a dish of many customers: find the mode on ever finer grids, then draw among all t that matter."""
-    low, high = 1, n
-    while high - low > 64:
-        grid = np.unique(np.round(np.geomspace(low, high, 33)).astype(np.int64))
-        best = int(log_odds(d, strength, n, base, others, grid).argmax())
-        low, high = int(grid[max(0, best - 1)]), int(grid[min(len(grid) - 1, best + 1)])
-        if high - low + 1 >= grid[-1] - grid[0]:
-            break
-    near = np.arange(low, min(high, low + 1024) + 1)
-    mode = int(near[log_odds(d, strength, n, base, others, near).argmax()])
-    width = 16
+    """One draw for a dish of many customers, among all numbers of tables whose odds matter."""
+    mode = _mode(d, strength, n, base, others)
+    width = 16 + int(4 * sqrt(mode))
     while True:
         a, b = max(1, mode - width), min(n, mode + width)
-        ends = log_odds(d, strength, n, base, others, np.array([a, mode, b]))
-        if (a == 1 or ends[0] < ends[1] - 30) and (b == n or ends[2] < ends[1] - 30):
+        t = np.unique(np.linspace(a, b, POINTS).astype(np.int64)) if b - a >= POINTS else np.arange(a, b + 1)
+        odds = log_odds(d, strength, n, base, others, t)
+        top = odds.max()
+        if (a == 1 or odds[0] < top - 25) and (b == n or odds[-1] < top - 25):
             break
-        width *= 2
-    step = max(1, ceil((b - a) / 1024))
-    t = np.arange(a, b + 1, step)
-    odds = log_odds(d, strength, n, base, others, t)
-    t = int(t[(odds + rng.gumbel(size=len(t))).argmax()])
-    return int(rng.integers(t, min(b, t + step - 1) + 1))
+        mode, width = int(t[odds.argmax()]), 2 * width
+    share = np.exp(odds - top) * np.diff(t, append=b + 1)  # a point stands for the numbers up to the next
+    at = int(np.searchsorted(np.cumsum(share), rng.random() * share.sum()))
+    return int(rng.integers(t[at], t[at + 1] if at + 1 < len(t) else b + 1))
 
 
 def draw_tables(n: np.ndarray, base: np.ndarray, others: np.ndarray, discount: float, strength: float, rng, chunk: int = 1 << 20) -> np.ndarray:

@@ -5,13 +5,13 @@ characters. A word that it knows is scored by its own frequencies. Any other is
 the longest order of which at least one is known, so each order is tried only where the longer ones know nothing. A
 text's language has the largest sum over its words; the score is that language's posterior under equal priors.
 
-The classifier is fitted on a bounded sample: at most about ``max_docs`` labelled documents, picked by a hash of
-doc_id, the ``MAX_WORDS`` most frequent words and ``MAX_GRAMS`` n-grams of each order. Every document is predicted,
-where it lies, from its whole text; lang, source and doc_id are no inputs. Each worker keeps the scores of tokens it has
-met in a bounded cache.
+The classifier is fitted on a bounded sample: the ``max_docs`` different labelled texts of at most ``MAX_CHARS``
+characters whose hashes are smallest. All their words and n-grams are learned. Every document is predicted, where it
+lies, from its whole text; lang, source and doc_id are no inputs. Each worker keeps the scores of tokens it has met in a
+bounded cache.
 
-Defined cases: a null text or one without a letter is ``und`` with score 0, and so is every text where nothing could be
-learned; ties go to the language first in the alphabet; a null doc_id counts as held out; repeated rows get equal
+Defined cases: a null text or one without a letter is ``und`` with score 0 (combining marks are part of a word, but no
+letters), and so is every text where nothing could be learned; ties go to the language first in the alphabet; a null doc_id counts as held out; repeated rows get equal
 results; other columns are ignored; an empty table gives no rows.
 """
 
@@ -28,18 +28,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .chunk_encoder import slices
-from .shared import fold_of, read_table
+from .shared import fold_of, fresh, read_table, smallest
 
 FOLDS = 5
-MAX_DOCS, MAX_WORDS, MAX_GRAMS, ORDERS, SMOOTH = 12_000, 60_000, 30_000, 5, 0.5
+MAX_DOCS, MAX_CHARS, ORDERS, SMOOTH = 3_000, 100_000, 5, 0.5
 MAX_CACHED = 600_000
 UNKNOWN, LEAST_SCORE = "und", 0.5
 
 
 def letters_only(token: str) -> list[str]:
-    """Lower-case words of letters and combining marks in a token."""
+    """Lower-case words of letters and combining marks in a token; each holds a letter."""
     token = token.lower()
-    return [token] if token.isalpha() else "".join(c if c.isalpha() or unicodedata.combining(c) else " " for c in token).split()
+    if token.isalpha():
+        return [token]
+    words = "".join(c if c.isalpha() or unicodedata.combining(c) else " " for c in token).split()
+    return [w for w in words if any(map(str.isalpha, w))]
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -171,19 +174,13 @@ class Model:
 
 def fit(docs: DataFrame, max_docs: int = MAX_DOCS) -> Model:
     """Learn from text and lang of ``docs``, whose rows the caller has chosen."""
-    labelled = docs.where("lang is not null and text is not null").select("lang", "text", "doc_id")
-    share = max_docs / max(1, labelled.count())
-    if share < 1:
-        labelled = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    words = _count_words(labelled.select("lang", "text")).cache()
-    many = words.groupBy("word").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"))
-    top = many.where("total > 1").orderBy(F.desc("total"), "word").limit(MAX_WORDS).select("word", "by_lang").collect()
-    parts = _count_grams(words).groupBy("order", "item").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang")).cache()
-    tables = [{r.word: r.by_lang for r in top}]
-    for order in range(1, ORDERS + 1):
-        rows = parts.where(F.col("order") == order).orderBy(F.desc("total"), "item").limit(MAX_GRAMS).select("item", "by_lang").collect()
-        tables.append({r.item: r.by_lang for r in rows})
-    parts.unpersist()
+    labelled = docs.where(F.col("lang").isNotNull() & (F.length("text") <= MAX_CHARS)).select("lang", "text")
+    words = _count_words(smallest(labelled, ["lang", "text"], max_docs).select("lang", "text")).cache()
+    items = words.select("lang", F.lit(0).alias("order"), F.col("word").alias("item"), "n").unionByName(_count_grams(words))
+    by_item = items.groupBy("order", "item").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"))
+    tables: list[dict] = [{} for _ in range(ORDERS + 1)]
+    for order, item, by_lang in by_item.orderBy("order", "item").collect():
+        tables[order][item] = by_lang
     words.unpersist()
     return Model(sorted({lang for t in tables for x in t.values() for lang in x}), tables)
 
@@ -206,8 +203,9 @@ def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred"
 def keep_identified(docs: DataFrame, least: float = LEAST_SCORE, max_docs: int = MAX_DOCS) -> DataFrame:
     """Documents with a language, predicted with a score of at least ``least`` by a model of the labelled ones."""
     model = fit(docs.where(fold_of(F.col("doc_id"), FOLDS) != 0), max_docs)
-    rows = predict(docs, model, ("_language", "_language_score"))
-    return rows.where((F.col("_language") != UNKNOWN) & (F.col("_language_score") >= least)).select(docs.columns)
+    lang, score = fresh(docs.columns, "_language"), fresh(docs.columns, "_language_score")
+    rows = predict(docs, model, (lang, score))
+    return rows.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).select(docs.columns)
 
 
 def identify(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:

@@ -17,15 +17,26 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def distinct_sample(rows: DataFrame, content: list[str], size: int) -> list:
-    """At most ``size`` rows of distinct ``content`` on the driver: those with the smallest hashes, so that the sample is
+def smallest(rows: DataFrame, content: list[str], size: int) -> DataFrame:
+    """At most ``size`` rows of distinct ``content``, with ``_hash``: those with the smallest hashes, so that the sample is
     the same however the rows lie, never empty while there are rows, and holds a text once however often it occurs."""
     hashed = rows.select(F.xxhash64(*content).alias("_hash"), *content)
     top = hashed.select("_hash").distinct().orderBy("_hash").limit(size).agg(F.max("_hash")).first()[0]
-    if top is None:
-        return []
-    found = hashed.where(F.col("_hash") <= top).groupBy("_hash").agg(F.first(F.struct(*content)).alias("_row"))
-    return found.orderBy("_hash").select("_row.*").collect()
+    found = hashed.where(F.col("_hash") <= F.lit(top)).groupBy("_hash").agg(F.first(F.struct(*content)).alias("_row"))
+    return found.select("_hash", "_row.*")
+
+
+def distinct_sample(rows: DataFrame, content: list[str], size: int) -> list:
+    """The rows of ``smallest`` on the driver, in the order of their hashes."""
+    return smallest(rows, content, size).orderBy("_hash").select(*content).collect()
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, or the first of it with underscores behind that none of ``columns`` has (in any case of letters)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:

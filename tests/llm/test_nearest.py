@@ -49,3 +49,42 @@ def test_copies_go_by_id(spark):
     rows = [(i, [1.0, 2.0]) for i in range(400)] + [(i, [float(i), 1.0]) for i in range(400, 460)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert answers(nearest.search(frame, leaf_rows=16)) == brute(rows, 100, 10)
+
+
+def test_repeated_rows_and_ids(spark):
+    rows = [(100, [0.0, 1.0]), (100, [0.0, 1.0]), (100, [9.0, 1.0]), (1, [0.0, 2.0]), (1, [0.0, 2.0]), (1, [5.0, 5.0])] + [(i, [float(i), 0.5]) for i in range(2, 30)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    others = sorted({(math.dist([0.0, 1.0], v), i) for i, v in map(lambda r: (r[0], tuple(r[1])), rows) if i != 100})
+    assert answers(nearest.search(frame)) == {100: [(i, d) for d, i in others[:10]]}
+    assert nearest.search(frame).count() == 10
+
+
+def test_doubles_are_compared_in_double_precision(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(c) for c in 1e6 + rng.normal(size=4) * 1e-3]) for i in range(300)]
+    got = answers(nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), leaf_rows=400))
+    assert got == brute(rows, 100, 10)
+
+
+def test_big_leaves_have_trees_of_their_own(spark):
+    rng = np.random.default_rng(2)
+    x = (rng.normal(size=(6000, 8)) + 3 * rng.normal(size=(20, 8))[rng.integers(0, 20, 6000)]).astype(np.float32)
+    inner = nearest.Inner(np.arange(6000), x.astype(float), 10, 1_000)
+    compared = [len(inner.near(q)) for q in x[:200].astype(float)]
+    assert inner.tree is not None and max(compared) < 4_000
+    found = [{int(inner.ids[inner.near(q)[i]]) for i, _ in nearest.nearest_in(inner.c[inner.near(q)], inner.ids[inner.near(q)], q, n, 10)} for n, q in enumerate(x[:200].astype(float))]
+    true = [{i for i, _ in nearest.nearest_in(x.astype(float), np.arange(6000), q, n, 10)} for n, q in enumerate(x[:200].astype(float))]
+    assert sum(len(a & b) for a, b in zip(found, true)) >= 0.95 * 2000
+    frame = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    got = answers(nearest.search(frame, 100, sample=300, leaf_rows=100, inner=500))
+    want = {q: [i for i, _ in nearest.nearest_in(x.astype(float), np.arange(6000), x[q].astype(float), q, 10)] for q in range(0, 6000, 100)}
+    assert sum(len({i for i, _ in got[q]} & set(want[q])) for q in want) >= 0.9 * 10 * len(want)
+
+
+def test_recall_on_the_given_table_whole(spark):
+    """The query as registered, against all distances; 0.9 is asked for."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, c = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
+    got = answers(nearest.op4_nearest(spark, "/root/testdata/sf0.1"))
+    want = {int(ids[i]): {int(ids[j]) for j, _ in nearest.nearest_in(c, ids, c[i], int(ids[i]), 10)} for i in np.flatnonzero(ids % 100 == 0)}
+    assert got.keys() == want.keys() and sum(len({i for i, _ in got[q]} & want[q]) for q in want) >= 0.9 * 10 * len(want)

@@ -1,21 +1,26 @@
 """Approximate nearest neighbours with a hierarchical k-means tree (operator 4).
 
-A tree of k-means cells is fitted on a bounded sample of vectors (``SAMPLE``). Every vector is then put into its leaf,
+A tree of k-means cells is fitted on a bounded sample (the ``SAMPLE`` different vectors whose hashes are smallest). Every vector is then put into its leaf,
 wherever it lies. A query walks the tree best bin first: a priority queue holds cells by the distance of their centre,
 and the nearest open cell is split until enough leaves have been visited. How many are enough is calibrated: for
 ``CALIBRATION`` vectors the true neighbours over all rows are found by one linear pass, and visits widen until the
 recall that the tree gives on them reaches ``RECALL``. A query also goes on until the leaves visited hold k others.
 
-Scale: leaves are dealt to shards of about ``BLOCK`` rows. Candidates move once, to their leaf's shard; a query moves once
+Scale: leaves are dealt to shards of about ``BLOCK`` rows. Candidates move once to their leaf's shard; a query moves once
 to each shard that holds a leaf it visits, with the list of those leaves, and brings back k rows from there at most. A
-leaf of more than ``BLOCK`` rows is salted over several shards, and queries go to all of them. Of rows with exactly the same vector only the k + 1
-smallest ids can be among anyone's k nearest (ties go to smaller ids, and one may be the query itself), so the others
-are set aside before anything is grouped, by a rank limit that Spark applies before the shuffle too. The tree, the leaf
-counts and the calibration's neighbours are on the driver; all are bounded by parameters.
+leaf of more than ``BLOCK`` rows is salted over several shards, and queries go to all of them. The sample bounds the
+number of leaves, so leaves grow with the table; inside a shard a leaf of more than ``INNER`` rows is cut by a tree of its
+own, which is walked and calibrated in the same way, so that a query compares a few thousand rows there and not all. What
+is left to grow with the table is the number of shards that hold a query's leaves. Of rows with exactly the same vector
+only the k + 1 smallest ids can be among anyone's k nearest (ties go to smaller ids, and one may be the query itself), so
+the others are set aside before anything is grouped, by a rank limit that Spark applies before the shuffle too. The tree,
+the leaf counts and the calibration's neighbours are on the driver; all are bounded by parameters.
 
 Defined cases: vectors that are null, empty or zero or hold a null or non-finite component take no part, nor do those
-whose length is not the most common one, nor null ids; repeated rows are each a candidate; an empty table gives no rows;
-fewer than k candidates are all returned; other columns are ignored.
+whose length is not the most common one, nor null ids. Exact repeats of a row are one row. Rows that share an id with
+different vectors are each a candidate of other ids; as a query such an id is answered once, for its smallest vector, and
+none of its own rows is a candidate then. An empty table gives no rows; fewer than k candidates are all returned; vectors of
+doubles and of floats are compared in double precision; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,10 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import read_table, written
+from .shared import distinct_sample, read_table, written
 
 SAMPLE, BRANCH, LEAF_ROWS, ROUNDS = 20_000, 8, 96, 12
 CALIBRATION, RECALL, BLOCK, LEAST_SHARDS = 128, 0.95, 50_000, 16
+INNER, INNER_LEAF, INNER_PROBES, INNER_RECALL = 4_000, 128, 24, 0.99
 NEIGHBOURS = 10
 
 
@@ -103,16 +109,17 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding of the rows that take part."""
+    """vec_id and embedding of the rows that take part, repeats once."""
     v = F.col("embedding")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.where(F.col("vec_id").isNotNull() & v.isNotNull()).where(fine).select(F.col("vec_id").cast("long"), "embedding")
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.where(F.col("vec_id").isNotNull() & v.isNotNull()).select(F.col("vec_id").cast("long"), v.cast(kind).alias("embedding")).where(fine)
     size = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("embedding") == (size.n if size else 0))
+    return rows.where(F.size("embedding") == (size.n if size else 0)).dropDuplicates(["vec_id", "embedding"])
 
 
 def nearest_in(c: np.ndarray, ids: np.ndarray, q: np.ndarray, own: int, k: int) -> list[tuple[int, float]]:
-    """The k rows of ``c`` nearest to ``q`` but its own, ties to smaller ids."""
+    """(place, distance) of the k rows of ``c`` nearest to ``q`` but its own, ties to smaller ids."""
     d = np.sqrt(((c - q) ** 2).sum(1))
     d[ids == own] = np.inf
     if len(d) > 4 * k:
@@ -121,7 +128,40 @@ def nearest_in(c: np.ndarray, ids: np.ndarray, q: np.ndarray, own: int, k: int)
     else:
         keep = np.arange(len(d))
     order = keep[np.lexsort((ids[keep], d[keep]))][:k]
-    return [(int(ids[i]), float(d[i])) for i in order if d[i] < np.inf]
+    return [(int(i), float(d[i])) for i in order if d[i] < np.inf]
+
+
+class Inner:
+    """One leaf's rows in a shard, behind a tree of their own where they are many."""
+
+    def __init__(self, ids: np.ndarray, c: np.ndarray, k: int, limit: int):
+        self.ids, self.c, self.k, self.tree = ids, c, k, None
+        if len(ids) <= limit:
+            return
+        rng = np.random.default_rng(3)
+        self.tree = Tree(c[np.sort(rng.choice(len(c), min(len(c), SAMPLE), replace=False))], INNER_LEAF)
+        cell = self.tree.assign(c)
+        order = np.argsort(cell, kind="stable")
+        self.ids, self.c = ids[order], c[order]
+        self.bounds = np.searchsorted(cell[order], np.arange(self.tree.leaves + 1))
+        needed = []
+        for i in rng.choice(len(c), INNER_PROBES, replace=False):
+            q, own = self.c[i], int(self.ids[i])
+            place = {leaf: n + 1 for n, leaf in enumerate(self.tree.visit(q))}
+            needed += [place[int(np.searchsorted(self.bounds, j, "right")) - 1] for j, _ in nearest_in(self.c, self.ids, q, own, k)]
+        self.visits = sorted(needed)[int(np.ceil(INNER_RECALL * len(needed))) - 1] if needed else 1
+
+    def near(self, q: np.ndarray) -> np.ndarray:
+        """Places of the rows to compare with ``q``."""
+        if self.tree is None:
+            return np.arange(len(self.ids))
+        out, held = [], 0
+        for n, leaf in enumerate(self.tree.visit(q)):
+            if n >= self.visits and held > self.k:
+                break
+            out.append(np.arange(self.bounds[leaf], self.bounds[leaf + 1]))
+            held += len(out[-1])
+        return np.concatenate(out)
 
 
 def top(found: DataFrame, k: int) -> DataFrame:
@@ -131,19 +171,16 @@ def top(found: DataFrame, k: int) -> DataFrame:
 
 def calibrate(indexed: DataFrame, tree: Tree, k: int, wanted: int = CALIBRATION, recall: float = RECALL) -> int:
     """Leaves to visit so that the tree finds ``recall`` of the true neighbours of the calibration vectors."""
-    total = indexed.count()
-    share = min(1.0, 2 * wanted / max(1, total))
-    picked = indexed.where(F.pmod(F.xxhash64("vec_id", F.lit("calibration")), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    rows = picked.orderBy(F.xxhash64("vec_id")).limit(wanted).collect()
+    rows = indexed.orderBy(F.xxhash64("vec_id", F.lit("calibration")), "vec_id", "leaf").limit(wanted).collect()
+    rows = list({r.vec_id: r for r in rows}.values())
     if not rows:
         return 1
     queries, own = np.array([r.embedding for r in rows], np.float64), [r.vec_id for r in rows]
 
     def scan(batches):
         for batch in batches:
-            ids, c = batch.column(0).to_numpy(), matrix(batch.column(1))
-            leaf = dict(zip(ids.tolist(), batch.column(2).to_pylist()))
-            got = [(q, i, d, leaf[i]) for q in range(len(own)) for i, d in nearest_in(c, ids, queries[q], own[q], k)]
+            ids, c, leaf = batch.column(0).to_numpy(), matrix(batch.column(1)), batch.column(2).to_pylist()
+            got = [(q, int(ids[i]), d, leaf[i]) for q in range(len(own)) for i, d in nearest_in(c, ids, queries[q], own[q], k)]
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*got)], names=["query_id", "vec_id", "score", "leaf"])
 
@@ -155,22 +192,21 @@ def calibrate(indexed: DataFrame, tree: Tree, k: int, wanted: int = CALIBRATION,
     return needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)] if needed else 1
 
 
-def search(vectors: DataFrame, query_step: int = 100, k: int = NEIGHBOURS, sample: int = SAMPLE, leaf_rows: int = LEAF_ROWS, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """query_id, rank, vec_id and score: neighbours of every row whose id ``query_step`` divides."""
-    rows = usable(vectors)
+def search(vectors: DataFrame, query_step: int = 100, k: int = NEIGHBOURS, sample: int = SAMPLE, leaf_rows: int = LEAF_ROWS, recall: float = RECALL, block: int = BLOCK, inner: int = INNER) -> DataFrame:
+    """query_id, rank, vec_id and score: neighbours of every id that ``query_step`` divides."""
+    rows = written(usable(vectors), "vectors")
+    kind = rows.schema["embedding"].dataType.simpleString()
     same = Window.partitionBy(F.xxhash64("embedding"), "embedding").orderBy("vec_id")
     candidates = rows.withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k + 1).drop("copy")
     total = rows.count()
-    share = sample / max(1, total)
-    picked = rows if share >= 1 else rows.where(F.pmod(F.xxhash64("vec_id", F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000))
-    fitted = np.unique(np.array([r.embedding for r in picked.select("embedding").collect()], np.float64), axis=0)
-    tree = Tree(fitted, max(4, int(leaf_rows * min(1.0, share)))) if len(fitted) else Tree(np.zeros((1, 1)), 4)
+    fitted = np.array([r.embedding for r in distinct_sample(rows, ["embedding"], sample)], np.float64)
+    tree = Tree(fitted, max(4, int(leaf_rows * min(1.0, sample / max(1, total))))) if len(fitted) else Tree(np.zeros((1, 1)), 4)
 
     def assign(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tree.assign(matrix(batch.column(1))))], names=["vec_id", "embedding", "leaf"])
 
-    indexed = written(candidates.mapInArrow(assign, "vec_id long, embedding array<float>, leaf long"), "leaves")
+    indexed = written(candidates.mapInArrow(assign, f"vec_id long, embedding {kind}, leaf long"), "leaves")
     visits = calibrate(indexed, tree, k, recall=recall)
     counts = {r.leaf: r.n for r in indexed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # one row a leaf
     salts = {leaf: -(-n // block) for leaf, n in counts.items() if n > block}
@@ -194,7 +230,8 @@ def search(vectors: DataFrame, query_step: int = 100, k: int = NEIGHBOURS, sampl
                 at = pa.array(at, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), batch.column(0).take(at), batch.column(1).take(at), pa.array(leaves, pa.list_(pa.int64()))], names=["shard", "query_id", "vector", "leaves"])
 
-    queries = rows.where(F.col("vec_id") % query_step == 0).mapInArrow(walk, "shard long, query_id long, vector array<float>, leaves array<long>")
+    asking = rows.where(F.col("vec_id") % query_step == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    queries = asking.mapInArrow(walk, f"shard long, query_id long, vector {kind}, leaves array<long>")
     number = F.lit(1) if not salts else F.coalesce(F.create_map(*[F.lit(int(x)) for p in salts.items() for x in p])[F.col("leaf")], F.lit(1))
     shard = F.pmod(F.col("leaf") + F.pmod(F.xxhash64("vec_id"), number), F.lit(shards)).cast("long")
     members = indexed.select(shard.alias("shard"), "leaf", "vec_id", "embedding")
@@ -205,13 +242,13 @@ def search(vectors: DataFrame, query_step: int = 100, k: int = NEIGHBOURS, sampl
             held = held.sort_by("leaf")
             ids, leaf, c = held.column("vec_id").to_numpy(), held.column("leaf").to_numpy(), matrix(held.column("embedding").combine_chunks())
             first = np.flatnonzero(np.concatenate(([True], leaf[1:] != leaf[:-1])))
-            span = {int(leaf[a]): (a, b) for a, b in zip(first, [*first[1:], len(leaf)])}
+            cells = {int(leaf[a]): Inner(ids[a:b], c[a:b], k, inner) for a, b in zip(first, [*first[1:], len(leaf)])}
             qs = matrix(asked.column("vector").combine_chunks())
             for own, q, leaves in zip(asked.column("query_id").to_pylist(), qs, asked.column("leaves").to_pylist()):
-                at = [np.arange(*span[x]) for x in leaves if x in span]
-                if at:
-                    at = np.concatenate(at)
-                    got += [(own, i, d) for i, d in nearest_in(c[at], ids[at], q, own, k)]
+                near = [(cells[x], cells[x].near(q)) for x in leaves if x in cells]
+                if near:
+                    near_ids, near_c = np.concatenate([x.ids[at] for x, at in near]), np.concatenate([x.c[at] for x, at in near])
+                    got += [(own, int(near_ids[i]), d) for i, d in nearest_in(near_c, near_ids, q, own, k)]
         columns = list(zip(*got)) or [(), (), ()]
         return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
 

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tidelane.llm import near_copies, simhash
+from tidelane.llm import near_copies
 
 
 def words(rng, n):
@@ -50,8 +50,6 @@ def test_groups_are_those_of_brute_force(spark, chunk, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = sorted(r.doc_id for r in near_copies.keep_one(docs).collect())
     assert got == sorted(set(brute(texts)))
-    if chunk == 2_000:
-        assert len(got) < simhash.keep_one(docs).count()  # radius 3 leaves near copies
 
 
 def test_buckets_that_one_representative_does_not_join():
@@ -76,4 +74,22 @@ def test_rows_that_share_an_id(spark):
         found.append(sorted(map(tuple, near_copies.keep_one(docs).collect()), key=repr))
     assert found[0] == found[1] == found[2]
     assert [r for r in found[0] if r[0] == 7] == sorted([(7, a, "x"), (7, b, "x")], key=repr)
-    assert [r[0] for r in found[0]].count(3) == 1 and len(found[0]) == 4
+    assert [r[0] for r in found[0]].count(3) == 1 and len(found[0]) == 3  # the null id goes with its group
+
+
+def test_empty_tables_null_ids_and_columns_of_any_name(spark):
+    rng = random.Random(1)
+    t = " ".join(words(rng, 60))
+    docs = spark.createDataFrame([(None, t, 1, 2), (None, t, 1, 2), (4, "x " + t, 3, 4), (None, "alone here", 5, 6), (None, None, 7, 8)], "doc_id long, text string, near_class int, row int")
+    kept = near_copies.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=repr) == sorted([(4, "x " + t, 3, 4), (None, "alone here", 5, 6), (None, None, 7, 8)], key=repr)
+    assert near_copies.keep_one(docs.limit(0)).count() == 0
+
+
+def test_trees_give_candidates_too(spark):
+    """Without any band in common, texts of close fingerprints are still found."""
+    rng = random.Random(3)
+    t = words(rng, 400)
+    docs = spark.createDataFrame([(1, " ".join(t)), (2, " ".join(t[:-1])), (3, " ".join(words(rng, 400)))], "doc_id long, text string")
+    classes = near_copies.with_classes(docs).select("near_class", "near_fp")
+    assert near_copies._close_fingerprints(classes).count() == 1

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from tidelane.llm import pii, quality_rules, simhash
+from tidelane.llm import pii, quality_rules
 from tidelane.llm.chunk_encoder import ChunkEncoder
 
 VOCABULARY = {"en": "the and of water house tide river stone over under wind".split(), "de": "der und die wasser haus gezeit fluss stein über unter wehen".split()}
@@ -57,11 +57,11 @@ def test_stages(spark, documents):
     assert {r.doc_id for r in kept.collect()} == {d for d, _ in want} - {503}
 
     texts = {r.doc_id: r.text for r in kept.collect()}
-    prints = {d: simhash.fingerprint(t) for d, t in texts.items()}
-    component = {d: d for d in prints}
-    for a in sorted(prints):
-        for b in sorted(prints):
-            if a < b and bin(prints[a] ^ prints[b]).count("1") <= 3 and component[a] != component[b]:
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, t in texts.items() for w in [t.lower().split()]}
+    component = {d: d for d in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and component[a] != component[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 low, high = sorted((component[a], component[b]))
                 component = {d: low if c == high else c for d, c in component.items()}
     kept = corpus_pipeline.near_duplicates(spark, kept, documents)

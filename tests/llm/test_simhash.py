@@ -35,8 +35,8 @@ def brute(fps, radius=3):
     return label
 
 
-@pytest.mark.parametrize("shard", [40, 10_000])
-def test_links_are_those_of_brute_force(spark, shard):
+@pytest.mark.parametrize("shard,most", [(40, 8), (40, 1), (10_000, 4)])
+def test_links_are_those_of_brute_force(spark, shard, most):
     rng = random.Random(7)
     fps = {0}
     while len(fps) < 500:
@@ -48,10 +48,33 @@ def test_links_are_those_of_brute_force(spark, shard):
     fps = sorted(fps)
     rng.shuffle(fps)
     want = brute(fps)
-    rows = [(int(np.uint64(f).astype(np.int64)), i) for i, f in enumerate(fps)]
-    found = connected_components(simhash.stars(spark.createDataFrame(rows, "fp long, id long"), 3, shard))
+    rows = [int(np.uint64(f).astype(np.int64)) for f in fps]
+    found = connected_components(simhash.stars(spark.createDataFrame([(x,) for x in rows], "fp long"), 3, shard, most))
     got = {r.node: r.component for r in found.collect()}
-    assert [got.get(i, i) for i in range(len(fps))] == want
+    label = [got.get(x, x) for x in rows]
+    assert [label.index(x) for x in label] == [want.index(x) for x in want]
+
+
+def test_shards_of_ten_million_fingerprints_stay_small():
+    """Four copies each, none in a shard of much more than its share; any two within three bits meet."""
+    rng = np.random.default_rng(8)
+    fps = rng.integers(0, 2**64, 10_000_000, dtype=np.uint64)
+    per = -(-len(fps) // simhash.SHARD)
+    for q in range(simhash.QUARTERS):
+        assert np.bincount((simhash.quarter(fps, q) % np.uint64(per)).astype(np.int64), minlength=per).max() < 1.3 * simhash.SHARD
+    near = fps[:1000].copy()
+    for _ in range(3):
+        near ^= np.uint64(1) << rng.integers(0, 64, 1000, dtype=np.uint64)
+    assert np.any([simhash.quarter(fps[:1000], q) == simhash.quarter(near, q) for q in range(4)], axis=0).all()
+
+
+def test_an_id_of_two_texts_does_not_join_their_groups(spark):
+    x, y = "one two three four five six", "seven eight nine ten eleven twelve"
+    for low in (5, 1):
+        docs = spark.createDataFrame([(5, x), (5, y), (2, y), (9, x), (low, "other words of a third text")], "doc_id long, text string")
+        got = sorted((r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs).collect())
+        fx, fy = (f"{plain_fingerprint(t):016x}" for t in (x, y))
+        assert {(d, c) for d, f, c in got if f == fx} == {(5, 5), (9, 5)} and {(d, c) for d, f, c in got if f == fy} == {(5, 2), (2, 2)}
 
 
 def test_dense_groups_are_linked_whole():
@@ -71,5 +94,4 @@ def test_documents(spark):
     got = sorted(((r.doc_id or 0), r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs).collect())
     want = sorted((d or 0, f"{plain_fingerprint(t):016x}", {1: 1, 2: 2, 3: 2, 5: 1, 4: 4, 9: 4, None: None}[d]) for d, t in rows)
     assert got == want
-    assert sorted(r.doc_id or 0 for r in simhash.keep_one(docs).collect()) == [0, 1, 2, 4]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0

@@ -1,19 +1,21 @@
 """Near copies by the exact similarity of their shingles (the pipeline's near-duplicate stage).
 
 Two texts link when the Jaccard similarity of their sets of five-word shingles is at least ``SIMILARITY``, and one row of
-each component stays. op1's fingerprints are not used: texts of 0.8 differ in some 10 to 15 of their 64 bits, and at such
-a radius no vantage point cuts the space.
-
-Texts of equal sets are one class. Candidates share one of ``BANDS`` bands of ``ROWS`` minhash values: a pair of similarity s
-meets with probability 1 - (1 - s**ROWS)**BANDS, which is 0.99997 at 0.8. Nothing is linked by its bands alone: every link
-is confirmed on the sets. First each class is held against the smallest one of its bucket, in joins that adaptive
-execution can split. Buckets that are not one component then are compared whole, in pairs of chunks where they are large.
-
-Scale: classes, bands and candidate pairs are shuffled tables; sets are made for classes in a shared bucket only. A large
-bucket of unlike texts costs the square of its size.
-
-Defined cases: null and empty texts have the empty set and are one class; texts of under five words have one shingle; rows
-whose doc_id is null all stay; rows that share a doc_id are separate texts; exact repeats of a row are one.
+each component stays. Candidates come from two sides. SimHash fingerprints of the shingle sets within 3 bits are found by
+operator 1's vantage-point trees; texts of 0.8 differ in some 10 to 15 of the 64 bits, and at such a radius no vantage
+point cuts the space, so the rest share one of ``BANDS`` bands of ``ROWS`` minhash values: a pair of similarity s meets with
+probability 1 - (1 - s**ROWS)**BANDS, which is 0.99997 at 0.8. Nothing is linked as a candidate alone: every link is
+confirmed on the sets. Texts of equal sets are one class. Each class is first held against the smallest one of its bucket,
+in joins that adaptive execution can split. Buckets that are not one component then are compared whole, in pairs of chunks
+where they are large.
+
+Scale: classes, bands and candidate pairs are shuffled tables; sets are made for classes with a candidate only. Texts are
+written once with a number for each row, and the rows that stay are picked by number: by a broadcast of the numbers up to
+``BROADCAST_ROWS``, by a join beyond. A large bucket of unlike texts costs the square of its size.
+
+Defined cases: null and empty texts have the empty set and are one class; texts of under five words have one shingle; a
+null doc_id comes behind all others, so such a row stays only where its group has no other; rows that share a doc_id are
+separate texts; of exact repeats of a row one stays; columns of any name and type pass through; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,9 +28,10 @@ from pyspark.sql import types as T
 
 from .components import connected_components
 from .shared import written
-from .simhash import Groups
+from .simhash import Groups, majority, stars
 
 SHINGLE, SIMILARITY, BANDS, ROWS, SEED, CHUNK = 5, 0.8, 20, 4, 42, 2_000
+BROADCAST_ROWS = 4_000_000
 _RNG = np.random.default_rng(11)
 _FLIP, _ODD = _RNG.integers(0, 2**64, (2, BANDS * ROWS, 1), np.uint64)
 _ODD |= np.uint64(1)
@@ -58,27 +61,26 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 
 
 def with_classes(docs: DataFrame) -> DataFrame:
-    """``docs`` with near_class (equal for equal sets), near_row (equal for equal rows) and near_bands."""
+    """``row`` (all columns of ``docs``) with near_id (one a row), near_row (equal for equal rows), near_class (equal for equal
+    sets), near_fp (fingerprint of the set) and near_bands."""
     import xxhash
 
-    rows = docs.withColumn("near_row", F.xxhash64(*docs.columns))
-    at = docs.columns.index("text")
+    rows = docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("near_id"), F.xxhash64(*docs.columns).alias("near_row"))
 
     def run(batches):
         for batch in batches:
-            own = [shingles(t) for t in batch.column(at).to_pylist()]
+            own = [shingles(t) for t in batch.column(0).field("text").to_pylist()]
             classes = pa.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) - 2**63 for x in own], pa.int64())
-            more = [classes, pa.array([bands(x) for x in own], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "near_class", "near_bands"])
+            fps = pa.array(np.array([majority(x) if len(x) else 0 for x in own], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, classes, fps, pa.array([bands(x) for x in own], pa.list_(pa.int64()))], names=[*batch.schema.names, "near_class", "near_fp", "near_bands"])
 
-    more = [T.StructField("near_class", T.LongType()), T.StructField("near_bands", T.ArrayType(T.LongType()))]
+    more = [T.StructField("near_class", T.LongType()), T.StructField("near_fp", T.LongType()), T.StructField("near_bands", T.ArrayType(T.LongType()))]
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *more]))
 
 
 def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """near_class and its set, of one text of each class in ``wanted``."""
-    key = ["near_class", "doc_id", "near_row"]
-    texts = rows.select(*key, "text").join(wanted, key, "left_semi").dropDuplicates(key).select("near_class", "text")
+    """near_class and its set, of the one text of each class that ``wanted`` (near_id) names."""
+    texts = rows.select("near_class", "near_id", F.col("row.text").alias("text")).join(wanted, "near_id", "left_semi").select("near_class", "text")
 
     def run(batches):
         for batch in batches:
@@ -87,6 +89,15 @@ def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "near_class long, own binary")
 
 
+def _close_fingerprints(classes: DataFrame) -> DataFrame:
+    """Candidates (a, b) from the vantage-point trees: classes of one fingerprint, and fingerprints within 3 bits."""
+    first = written(classes.groupBy("near_fp").agg(F.min("near_class").alias("rep")), "near-fingerprints")
+    same = classes.join(first, "near_fp").where("near_class <> rep").select(F.col("rep").alias("a"), F.col("near_class").alias("b"))
+    links = stars(first.select(F.col("near_fp").alias("fp"))).select(F.col("a").alias("x"), F.col("b").alias("y"))
+    near = links.join(first.select(F.col("near_fp").alias("x"), F.col("rep").alias("a")), "x").join(first.select(F.col("near_fp").alias("y"), F.col("rep").alias("b")), "y")
+    return same.unionByName(near.select("a", "b"))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets are similar."""
     left, right = sets.select(F.col("near_class").alias("a"), F.col("own").alias("x")), sets.select(F.col("near_class").alias("b"), F.col("own").alias("y"))
@@ -122,9 +133,10 @@ def links(rows: DataFrame, classes: DataFrame, similarity: float = SIMILARITY, c
     found = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("near_class").alias("rep"), F.bit_xor(F.xxhash64("near_class")).alias("members")).where("n > 1")
     found = found.groupBy("n", "rep", "members").agg(F.min("key").alias("key"))  # of buckets with the same members, one
     members = written(buckets.join(found.select("key", "n", "rep"), "key"), "near-members")
-    wanted = classes.join(members.select("near_class").distinct(), "near_class", "left_semi").select("near_class", "doc_id", "near_row")
-    sets = written(_sets(rows, wanted), "near-sets")
-    pairs = members.where("near_class <> rep").select(F.col("rep").alias("a"), F.col("near_class").alias("b")).distinct()
+    pairs = members.where("near_class <> rep").select(F.col("rep").alias("a"), F.col("near_class").alias("b"))
+    pairs = written(pairs.unionByName(_close_fingerprints(classes)).distinct(), "near-candidates")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("near_class")).distinct()
+    sets = written(_sets(rows, classes.join(ends, "near_class", "left_semi").select("near_id")), "near-sets")
     edges = written(_confirmed(pairs, sets, similarity), "near-links")
     label = connected_components(edges).select(F.col("node").alias("near_class"), "component")
     own = members.where("n > 2").join(label, "near_class", "left").select("key", "n", "near_class", F.coalesce("component", "near_class").alias("label"))
@@ -143,12 +155,13 @@ def links(rows: DataFrame, classes: DataFrame, similarity: float = SIMILARITY, c
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The row with the smallest doc_id of each group, then by a hash of the row; rows whose doc_id is null all stay."""
-    key = ["near_class", "doc_id", "near_row"]
-    rows = written(with_classes(docs.where("doc_id is not null")), "near-rows")
-    first = F.min(F.struct("doc_id", "near_row")).alias("f")
-    classes = written(rows.groupBy("near_class").agg(first, F.first("near_bands").alias("near_bands")).select("near_class", "f.*", "near_bands"), "near-classes")
-    joined = classes.join(links(rows, classes, similarity), "near_class", "left").withColumn("component", F.coalesce("component", "near_class"))
-    chosen = joined.groupBy("component").agg(F.min(F.struct("doc_id", "near_row", "near_class")).alias("f")).select("f.*")
-    kept = rows.join(chosen, key, "left_semi").dropDuplicates(key)
-    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """The row with the smallest doc_id of each group, then by a hash of the row."""
+    rows = written(with_classes(docs), "near-rows")
+    key = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("doc_id"), "near_row", "near_id").alias("f")
+    first = rows.select("near_class", "near_fp", "near_bands", key).groupBy("near_class")
+    classes = written(first.agg(F.min("f").alias("f"), F.first("near_bands").alias("near_bands"), F.first("near_fp").alias("near_fp")).select("near_class", "near_fp", "f", F.col("f.near_id").alias("near_id"), "near_bands"), "near-classes")
+    joined = classes.select("near_class", "f").join(links(rows, classes, similarity), "near_class", "left").withColumn("component", F.coalesce("component", "near_class"))
+    chosen = written(joined.groupBy("component").agg(F.min("f").alias("f")).select("f.near_id"), "near-chosen")
+    if chosen.count() <= BROADCAST_ROWS:
+        chosen = F.broadcast(chosen)
+    return rows.join(chosen, "near_id", "left_semi").select("row.*")

@@ -10,12 +10,16 @@ sent to both sides, so every linked pair meets in a shard. Each shard goes on wi
 leaves, which are compared exactly, and returns a star for every group that it finds: never all pairs, however dense
 a group is. The stars are joined up by connected components.
 
-Scale: fingerprints are computed where the texts lie; what moves is 16 bytes a class, times the share near boundaries.
-The depth of the tree follows the number of classes, so a shard's size stays the same. Only the sample (``SAMPLE``
-fingerprints at most) and the tree are on the driver.
+Scale: fingerprints are computed where the texts lie; what moves is 16 bytes a class, times its copies. Copies near
+boundaries grow with the tree's depth (2.8 at depth 4), so up to 2 ** ``DEPTH`` shards are cut by trees alone. Beyond,
+classes are first dealt by the four 16-bit quarters of the fingerprint: of two within 3 bits at least one quarter is
+equal, so each class goes to four shards, whatever the number of classes, and trees cut each quarter's classes inside a
+shard. A shard holds about ``SHARD`` classes up to 2e9 classes; with more it grows as their number over 65,536, some 800,000
+at 5e10. Only the sample (``SAMPLE`` fingerprints at most) and the tree are on the driver.
 
 Defined cases: null and empty texts have fingerprint zero, linked like any other; a document whose doc_id is null has a
-fingerprint and no component; rows that share a doc_id are separate texts of one id; an empty table gives no rows.
+fingerprint and no component; rows that share a doc_id are separate texts, so an id does not join its texts' groups; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +33,15 @@ from .components import connected_components
 from .shared import read_table, written
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
-SAMPLE, SHARD, LEAF = 8_192, 30_000, 256
+SAMPLE, SHARD, DEPTH, LEAF = 8_192, 30_000, 4, 256
+QUARTERS = 4
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    ones = bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -44,9 +56,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[: -shingle] + 1))
     found = np.fromiter((hashed(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist())), np.uint64, len(starts))
-    bits = np.unpackbits(found.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(found), bitorder="little").view("<u8")[0])
+    return majority(found)
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -154,29 +164,55 @@ def _link_dense(own: np.ndarray, rows: np.ndarray, radius: int, groups: Groups)
                 left = left[~near]
 
 
-def stars(classes: DataFrame, radius: int = RADIUS, shard_size: int = SHARD) -> DataFrame:
-    """Edges (a, b) between ids of ``classes`` (fp, id) whose components are those of the link graph."""
+def quarter(fps: np.ndarray, q: int) -> np.ndarray:
+    return (fps >> np.uint64(16 * q)) & np.uint64(0xFFFF)
+
+
+def stars(classes: DataFrame, radius: int = RADIUS, shard_size: int = SHARD, most: int = DEPTH) -> DataFrame:
+    """Edges (a, b) between the fingerprints ``fp`` of ``classes``, each there once, whose components are those of the link
+    graph; ``radius`` is 3 at most where there are more than 2 ** ``most`` shards."""
     total = classes.count()
     depth = max(0, int(np.ceil(np.log2(max(1, total) / shard_size))))
-    sample = [r.fp for r in classes.orderBy(F.xxhash64("fp")).limit(SAMPLE).select("fp").collect()] if depth else []
+    by_quarter = depth > most and radius < QUARTERS
+    sample = [r.fp for r in classes.orderBy(F.xxhash64("fp")).limit(SAMPLE).select("fp").collect()] if depth and not by_quarter else []
     leaves: list = []
     tree = build(np.array(sample, np.int64).view(np.uint64), depth, radius, leaves, np.random.default_rng(1))
+    per = min(1 << 16, -(-total // shard_size))
+
+    def dealt(fps):
+        if not by_quarter:
+            yield from route(tree, fps, np.arange(len(fps)), radius)
+            return
+        for q in range(QUARTERS):
+            own = (quarter(fps, q) % np.uint64(per)).astype(np.int64)
+            order = np.argsort(own, kind="stable")
+            found, first = np.unique(own[order], return_index=True)
+            yield from ((q * per + x, rows) for x, rows in zip(found.tolist(), np.split(order, first[1:])))
 
     def spread(batches):
         for batch in batches:
             fps = batch.column(0).to_numpy()
-            for shard, rows in route(tree, fps.view(np.uint64), np.arange(len(fps)), radius):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), shard, np.int32)), batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows))], names=["shard", "fp", "id"])
+            found = list(dealt(fps.view(np.uint64)))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.full(len(rows), shard, np.int32) for shard, rows in found])), batch.column(0).take(pa.array(np.concatenate([rows for _, rows in found])))], names=["shard", "fp"])
 
     def within(table: pa.Table) -> pa.Table:
-        ids, fps = table.column("id").to_numpy(), table.column("fp").to_numpy().view(np.uint64)
-        groups = Groups(ids)
-        link(fps, np.arange(len(ids)), radius, groups, np.random.default_rng(2))
+        ids, shard = np.sort(table.column("fp").to_numpy()), table.column("shard")[0].as_py()
+        fps, groups, rng = ids.view(np.uint64), Groups(ids), np.random.default_rng(2)
+        if by_quarter:
+            own = quarter(fps, shard // per)
+            order = np.argsort(own, kind="stable")
+            first = np.flatnonzero(np.diff(own[order], prepend=-1))
+            for a, b in zip(first, [*first[1:], len(order)]):
+                if b - a > 1:
+                    link(fps, order[a:b], radius, groups, rng)
+        else:
+            link(fps, np.arange(len(ids)), radius, groups, rng)
         roots = np.array([groups.find(i) for i in range(len(ids))], np.int64)
         far = np.flatnonzero(roots != np.arange(len(ids)))
         return pa.table({"a": ids[far], "b": ids[roots[far]]})
 
-    shards = classes.select("fp", "id").mapInArrow(spread, "shard int, fp long, id long")
+    shards = classes.select("fp").mapInArrow(spread, "shard int, fp long")
     return shards.groupBy("shard").applyInArrow(within, "a long, b long")
 
 
@@ -184,19 +220,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     """doc_id, fingerprint (16 hex digits) and component_id of every document."""
     prints = written(fingerprints(docs, shingle), "fingerprints")
     classes = written(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")), "fingerprint-classes")
-    found = connected_components(stars(classes, radius))
-    classes = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    rows = prints.join(classes, "fp", "left")
+    label = connected_components(stars(classes, radius)).withColumnRenamed("node", "fp")
+    joined = written(classes.join(label, "fp", "left").select("fp", "id", F.coalesce("component", "fp").alias("label")), "fingerprint-labels")
+    least = joined.groupBy("label").agg(F.min("id").alias("component_id"))
+    rows = prints.join(joined.join(least, "label").select("fp", "component_id"), "fp", "left")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return rows.select("doc_id", hexed.alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The document with the smallest doc_id of each group, one row an id; documents whose doc_id is null all stay."""
-    first = near_duplicates(docs, shingle, radius).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
-
-
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))

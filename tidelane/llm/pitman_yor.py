@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .seating import draw_tables
 from .shared import fold_of, read_table, scratch_root, written
 
-FOLDS, SWEEPS, BURN_IN, GROUPS, STRENGTH = 10, 5, 2, 4, 1.0
+FOLDS, SWEEPS, BURN_IN, GROUPS, STRENGTH = 10, 4, 1, 4, 1.0
 BLOCK_TOKENS, PART_BYTES, SPLIT, ENDINGS = 1_500_000, 12 << 20, 1_000_000, 256
 END = b"\n"  # no word holds white space
 ROWS = "part int, kind string, source long, payload binary"
@@ -66,6 +66,7 @@ def climb(x: np.ndarray) -> np.ndarray:
     return np.cumsum(x, dtype=np.int64)
 
 
+_CODEC = pa.Codec("zstd", compression_level=4)
 _KINDS = [np.dtype(t) for t in (np.uint8, np.uint16, np.uint32, np.uint64, np.int64, np.float32, np.bool_)]
 
 
@@ -74,7 +75,7 @@ def pack(*arrays: np.ndarray) -> bytes:
     head = np.array([len(arrays), *(x for a in arrays for x in (_KINDS.index(a.dtype), len(a)))], np.int64).tobytes()
     planes = [np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes() for a in arrays]
     body = head + b"".join(planes)
-    return len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
+    return len(body).to_bytes(8, "little") + _CODEC.compress(body, asbytes=True)
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:

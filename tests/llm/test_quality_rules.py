@@ -66,6 +66,15 @@ def test_beyond_the_broadcast_bound(spark, monkeypatch):
     rows = [(i, "same line\nother " + str(i), f"h{i % 3}") for i in range(90)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
     one = qr.apply_rules(frame, 5, 0.1).select("doc_id", F.col("quality.clean_text")).collect()
-    monkeypatch.setattr(qr, "BROADCAST_HOSTS", 0)
+    monkeypatch.setattr(qr, "BROADCAST_LINES", 0)
     two = qr.apply_rules(frame, 5, 0.1).select("doc_id", F.col("quality.clean_text")).collect()
     assert sorted(one) == sorted(two) == sorted((i, f"other {i}") for i in range(90))
+
+
+def test_columns_of_any_name_pass(spark):
+    names = ["quality", "_host", "_frequent", "_base", "_clean", "_LEFT", "_row"]
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(60)), "s0", *range(7)) for i in range(5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    kept = qr.keep(frame)
+    assert kept.columns == frame.columns and sorted(map(tuple, kept.collect())) == rows
+    assert qr.apply_rules(frame).columns[:-1] == frame.columns

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,13 +48,21 @@ def test_chunks_give_the_library_ids(name, spaces):
     assert own.encode(part, 7)[0].tolist() == own.encode(pa.array(few), 7)[0].tolist()
 
 
-def test_byte_bpe_is_tiktoken():
+@lru_cache
+def tiktoken_encoding():
     import tiktoken
 
-    path = P.path("byte_bpe_50k.tiktoken")
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
-    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    own, texts = byte_bpe.coder(path), random_texts(3000)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@lru_cache
+def rows_of(frame):
+    return frame.collect()
+
+
+def test_byte_bpe_is_tiktoken():
+    lib, own, texts = tiktoken_encoding(), byte_bpe.coder(P.path("byte_bpe_50k.tiktoken")), random_texts(3000)
     found = own.encode_with_offsets(texts)
     for text, (ids, offsets) in zip(texts, found):
         flat = b"".join(ids)
@@ -75,6 +84,20 @@ def test_round_trip_query(frame):
     texts = {r.doc_id: r.text or "" for r in frame.collect()}
     assert len(got) == frame.count()
     assert all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in got)
+    lib = tiktoken_encoding()
+    for r in got:
+        ids = lib.encode_ordinary(texts[r.doc_id])
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+
+
+def test_encoded_documents_keep_their_pieces(frame):
+    lib = tiktoken_encoding()
+    for r, text in ((r, t) for r in byte_bpe.encode_documents(frame, P.path("byte_bpe_50k.tiktoken")).collect() for t in [next((x.text for x in rows_of(frame) if x.doc_id == r.doc_id), None) or ""]):
+        assert r.ids == lib.encode_ordinary(text) and sum(r.piece_ids) == len(r.ids)
+        bounds, at = [*r.piece_offsets, len(text)], 0
+        for a, b, n in zip(bounds, bounds[1:], r.piece_ids):
+            assert lib.decode(r.ids[at : at + n]) == text[a:b]
+            at += n
 
 
 def test_best_fill_is_the_best():

@@ -122,12 +122,11 @@ class Scanner:
         last = blank & ~follows
         kind[last] = LAST_BLANK
         kind[last & (code == 32)] = LAST_SPACE
-        for at in np.flatnonzero(code == 39):
-            a, b = (int(code[at + d]) if at + d < len(code) else 0 for d in (1, 2))
-            if a in (115, 116, 109, 100):  # s t m d
-                kind[at] = QUOTE1
-            elif (a, b) in ((114, 101), (118, 101), (108, 108)):  # re ve ll
-                kind[at] = QUOTE2
+        at = np.flatnonzero(code == 39)
+        behind = np.append(code, [0, 0])
+        a, b = behind[at + 1], behind[at + 2]
+        kind[at[(a == ord("s")) | (a == ord("t")) | (a == ord("m")) | (a == ord("d"))]] = QUOTE1
+        kind[at[((a == ord("r")) | (a == ord("v"))) & (b == ord("e")) | (a == ord("l")) & (b == ord("l"))]] = QUOTE2
         return kind
 
     def starts(self, text: str) -> np.ndarray:

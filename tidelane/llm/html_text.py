@@ -5,13 +5,13 @@ decoded. Each block has features of its ancestors (tags, roles and words of clas
 (length, share inside links, closing mark, place). A linear-chain model labels the blocks main text or not and is
 decoded by Viterbi, so a short line among paragraphs or a long one in a menu follows its neighbours.
 
-The model is trained on at most about ``SAMPLE`` labelled pages: those that say with ``article``, ``main`` or a role
-what their main text is. A block is labelled main text there if it lies inside such an element and outside menus,
+The model is trained on at most ``SAMPLE`` labelled pages, the different ones with the smallest hashes, of at most
+``SAMPLE_CHARS`` characters: pages that say with ``article``, ``main`` or a role what their main text is. A block is labelled main text there if it lies inside such an element and outside menus,
 headers, forms and the like. In a part of the training pages the features that name the main element are left out, so
 that pages without such marks are read by text, links and neighbours. Extraction reads every whole page where it lies.
 
 Defined cases: null html is empty and gives empty text; a page without a main block gives empty text; markup that is
-never closed ends with the page; repeated rows get equal results; other columns are ignored; an empty table gives no
+never closed ends with the page, or is text where it has no end at all; repeated rows get equal results; other columns are ignored; an empty table gives no
 rows; with no labelled page in the sample a block is main text if it is inside no menu or the like.
 """
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from functools import lru_cache
 from html import unescape
 
@@ -27,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import read_table
+from .shared import distinct_sample, read_table
 
-SAMPLE, EPOCHS, RATE, DECAY, LEFT_OUT = 400, 10, 0.2, 1e-3, 0.35
+SAMPLE, SAMPLE_CHARS, EPOCHS, RATE, DECAY, LEFT_OUT = 400, 200_000, 10, 0.2, 1e-3, 0.35
 
 # HTML's elements by kind, and words of class and id by group.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -46,11 +47,12 @@ OTHER_WORDS = frozenset(
 )
 ROLES = {"main": "main", "article": "main", "navigation": "other", "banner": "other", "contentinfo": "other", "complementary": "other", "search": "other", "dialog": "other", "alert": "other", "form": "other"}
 
-MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|iframe|object|title|select)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
+RAW = frozenset("script style noscript template svg textarea iframe object title select".split())  # read over whole
+
+NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
+INSIDE = re.compile(r"(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+")
+CLOSING = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
+DEEPEST = 512  # open elements looked through for one that a new element closes
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|style)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 
 
@@ -84,9 +86,35 @@ def element(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(sorted(out))
 
 
+def markup(html: str):
+    """(start, end, closing, tag, attributes) of every piece of markup in turn; the tag is empty for comments, declarations
+    and elements that are read over whole. One pass: what is searched for in vain once is not searched for again."""
+    at, end, last, quotes = html.find("<"), len(html), html.rfind(">"), True
+    while at >= 0:
+        stop, closing, tag, attributes = at, "", "", ""
+        if html.startswith("<!--", at):
+            close = html.find("-->", at + 4)
+            stop = end if close < 0 else close + 3
+        elif html.startswith(("<!", "<?"), at):
+            stop = html.find(">", at) + 1 if at < last else at
+        elif at < last and (m := NAME.match(html, at + 1)):
+            close = INSIDE.match(html, m.end()).end() if quotes else end
+            if close >= end or html[close] != ">":  # a quote that is never closed: from here on quotes say nothing
+                quotes, close = False, html.find(">", m.end())
+            stop, closing, tag, attributes = close + 1, m[1], m[2].lower(), html[m.end() : close]
+            if tag in RAW:
+                if not closing:
+                    ends = CLOSING[tag].search(html, stop)
+                    stop = end if not ends else html.find(">", ends.end()) + 1 if ends.end() <= last else end
+                tag = ""
+        if stop > at:
+            yield at, stop, closing, tag, attributes
+        at = html.find("<", max(stop, at + 1))
+
+
 def blocks(html: str) -> list[tuple[str, str, frozenset, float]]:
     """(text, tag, features of the ancestors, share of characters inside links) of every leaf block with text."""
-    out, stack, parts = [], [], []
+    out, stack, parts, opened = [], [], [], Counter()
     linked = in_link = at = 0
     empty = frozenset()
 
@@ -107,38 +135,37 @@ def blocks(html: str) -> list[tuple[str, str, frozenset, float]]:
             if in_link:
                 linked += len(raw.strip())
 
-    for m in MARKUP.finditer(html):
-        add(html[at : m.start()])
-        at = m.end()
-        tag = m[3]
-        if not tag:
-            continue
-        tag = tag.lower()
+    def close(i: int):
+        opened.subtract(name for name, _ in stack[i:])
+        del stack[i:]
+
+    for start, stop, closing, tag, attributes in markup(html):
+        add(html[at:start])
+        at = stop
         if tag == "a":
-            in_link = not m[2]
+            in_link = not closing
         elif tag == "br":
             parts.append(" ")
         if tag not in BLOCKS:
             continue
         flush()
         in_link = 0
-        if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+        if closing:
+            if opened[tag] > 0:
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
             continue
         if tag in VOID:
             continue
         ends = CLOSES.get(tag, ())
-        for i in range(len(stack) - 1, -1, -1):
+        for i in range(len(stack) - 1, max(-1, len(stack) - 1 - DEEPEST), -1):
             name = stack[i][0]
             if name == "p" or name in ends:
-                del stack[i:]
+                close(i)
             if name in SCOPES or name not in ("p", *ends) and not ends:
                 break
         above = stack[-1][1] if stack else empty
-        stack.append((tag, above.union(element(tag, m[4]))))
+        stack.append((tag, above.union(element(tag, attributes))))
+        opened[tag] += 1
     add(html[at:])
     flush()
     return out
@@ -252,12 +279,9 @@ def main_text(html: str | None, chain: Chain) -> str:
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE) -> Chain:
-    """Fit on about ``sample`` labelled pages, picked by a hash of the page."""
-    marked = pages.where(F.col("html").rlike(r"(?i)<(article|main)\b|role\s*=\s*.?(main|article)|articleBody"))
-    share = sample / max(1, marked.count())
-    if share < 1:
-        marked = marked.where(F.pmod(F.xxhash64("html"), F.lit(1_000_000)) < int(share * 1_000_000))
-    return train([r.html for r in marked.select("html").orderBy(F.xxhash64("html")).collect()])
+    """Fit on at most ``sample`` different labelled pages of at most SAMPLE_CHARS characters."""
+    marked = pages.where(F.col("html").rlike(r"(?i)<(article|main)\b|role\s*=\s*.?(main|article)|articleBody") & (F.length("html") <= SAMPLE_CHARS))
+    return train([r.html for r in distinct_sample(marked, ["html"], sample)])
 
 
 def extract(pages: DataFrame, chain: Chain) -> DataFrame:

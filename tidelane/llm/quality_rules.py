@@ -9,11 +9,11 @@ removed; a document is rejected as depleted when less than ``min_left`` of its w
 Scale: texts are not shuffled. Line hashes are, once by distinct text and once as partial counts, so a hot host or a
 very common line is summed before it moves. Lines above the limit are few: a host has at most (mean lines a
 document) / ``max_share`` of them, so they come back as one small array a host. That table is broadcast up to
-``BROADCAST_HOSTS`` hosts and joined by shuffle beyond.
+``BROADCAST_HOSTS`` hosts with ``BROADCAST_LINES`` lines (8 bytes each) in all and joined by shuffle beyond.
 
 Defined cases: a null text has no words and fails the base rules; an empty one likewise; a null source is a host of its
-own; repeated rows get equal results; other columns pass through ``apply_rules`` untouched; an empty table gives no
-rows.
+own; repeated rows get equal results; other columns pass through ``apply_rules`` and ``keep`` untouched, whatever their
+names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,11 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import read_table, written
+from .shared import fresh, read_table, written
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MIN_DOCS, MAX_SHARE, MIN_LEFT = 20, 0.05, 0.3
-BROADCAST_HOSTS = 10_000
+BROADCAST_HOSTS, BROADCAST_LINES = 10_000, 2_000_000
 GAP = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -95,13 +95,20 @@ def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float =
     return found.groupBy("host").agg(F.collect_list("line").alias("frequent"))
 
 
+def verdict_name(docs: DataFrame) -> str:
+    """The column that ``apply_rules`` adds: ``quality``, with underscores behind where ``docs`` has such a column."""
+    return fresh(docs.columns, "quality")
+
+
 def apply_rules(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
-    """All rows and columns of ``docs`` with the struct ``quality``: base columns, left_words, base_failed, depleted,
-    kept, and clean_text (the text without the lines above the limit)."""
-    limits = written(frequent_lines(docs, min_docs, max_share).select(F.col("host").alias("_host"), F.col("frequent").alias("_frequent")), "frequent-lines")
-    if limits.count() <= BROADCAST_HOSTS:
+    """All rows and columns of ``docs`` with the struct ``verdict_name(docs)``: base columns, left_words, base_failed,
+    depleted, kept, and clean_text (the text without the lines above the limit)."""
+    host, frequent, base_, clean_, left_ = (fresh(docs.columns, x) for x in ("_host", "_frequent", "_base", "_clean", "_left"))
+    limits = written(frequent_lines(docs, min_docs, max_share).select(F.col("host").alias(host), F.col("frequent").alias(frequent)), "frequent-lines")
+    hosts, lines = limits.agg(F.count("*"), F.sum(F.size(frequent))).first()
+    if hosts <= BROADCAST_HOSTS and (lines or 0) <= BROADCAST_LINES:
         limits = F.broadcast(limits)
-    joined = docs.withColumn("_host", F.coalesce(F.col("source"), F.lit(""))).join(limits, "_host", "left").drop("_host")
+    joined = docs.withColumn(host, F.coalesce(F.col("source"), F.lit(""))).join(limits, host, "left").drop(host)
     text = F.coalesce(F.col("text"), F.lit(""))
 
     def cleaned(bad: Column) -> Column:
@@ -109,15 +116,15 @@ def apply_rules(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MA
         left = F.filter(pairs, lambda x: x["h"].isNull() | ~F.array_contains(bad, x["h"]))
         return F.array_join(F.transform(left, lambda x: x["line"]), "\n")
 
-    clean = F.when(F.col("_frequent").isNull() | F.col("text").isNull(), F.col("text")).otherwise(let(F.col("_frequent"), cleaned))
-    rows = joined.withColumn("_base", base_struct(F.col("text"))).withColumn("_clean", clean).drop("_frequent")
-    n, same = F.col("_base.n_words"), F.col("_clean").isNull() | (F.col("_clean") == F.col("text"))
-    left = F.when(same, n).otherwise(F.size(words_of(F.col("_clean"))).cast("long"))
-    rows = rows.withColumn("_left", left)
-    failed = (n < MIN_WORDS) | (F.col("_base.n_repeat_words") * 100 > n * MAX_REPEAT_PERCENT)
-    depleted = F.col("_left") < n * min_left
-    verdict = F.struct("_base.*", F.col("_left").alias("left_words"), failed.alias("base_failed"), depleted.alias("depleted"), (~failed & ~depleted).alias("kept"), F.col("_clean").alias("clean_text"))
-    return rows.withColumn("quality", verdict).drop("_base", "_clean", "_left")
+    clean = F.when(F.col(frequent).isNull() | F.col("text").isNull(), F.col("text")).otherwise(let(F.col(frequent), cleaned))
+    rows = joined.withColumn(base_, base_struct(F.col("text"))).withColumn(clean_, clean).drop(frequent)
+    n, same = F.col(f"{base_}.n_words"), F.col(clean_).isNull() | (F.col(clean_) == F.col("text"))
+    left = F.when(same, n).otherwise(F.size(words_of(F.col(clean_))).cast("long"))
+    rows = rows.withColumn(left_, left)
+    failed = (n < MIN_WORDS) | (F.col(f"{base_}.n_repeat_words") * 100 > n * MAX_REPEAT_PERCENT)
+    depleted = F.col(left_) < n * min_left
+    verdict = F.struct(f"{base_}.*", F.col(left_).alias("left_words"), failed.alias("base_failed"), depleted.alias("depleted"), (~failed & ~depleted).alias("kept"), F.col(clean_).alias("clean_text"))
+    return rows.withColumn(verdict_name(docs), verdict).drop(base_, clean_, left_)
 
 
 def keep(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
@@ -125,9 +132,10 @@ def keep(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE
 
     The filter also reads a row number, which the optimiser does not move: a filter on the verdict alone would be pushed
     below it, and the rules worked out again for each of its terms."""
-    rows = apply_rules(docs, min_docs, max_share, min_left).withColumn("_row", F.monotonically_increasing_id())
-    kept = rows.where(F.col("quality.kept") & (F.col("_row") >= 0))
-    return kept.select([F.col("quality.clean_text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    quality, row = verdict_name(docs), fresh(docs.columns, "_row")
+    rows = apply_rules(docs, min_docs, max_share, min_left).withColumn(row, F.monotonically_increasing_id())
+    kept = rows.where(F.col(f"{quality}.kept") & (F.col(row) >= 0))
+    return kept.select([F.col(f"{quality}.clean_text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

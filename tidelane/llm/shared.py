@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,11 +10,14 @@ from pyspark.sql import functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` of the session. Without one there is no place that
-    every executor can read, so that is an error."""
+    """The folder that all executors share: ``spark.checkpoint.dir`` of the session. Where it is unset, a session on one
+    machine gets a folder of its own; on a cluster that is an error, since no local folder is seen by every executor."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tidelane-")
+        spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 

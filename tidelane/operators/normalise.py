@@ -29,15 +29,22 @@ def current_extremes(documents: DataFrame) -> DataFrame:
     return _exploded(documents, "events").select("station_id", "year", "t_us", "ord", v.alias("v"), weak.alias("weak"), F.col("e.kind").alias("kind"))
 
 
+def _payload_rows(payloads: DataFrame, keys: list[str], entries: str) -> DataFrame:
+    """A row an entry (p) with its place (pos) among all of its station: payloads of a station go by ``seq``, if they have it."""
+    seq = F.col("seq") if "seq" in payloads.columns else F.lit(0)
+    rows = payloads.select(*keys, seq.cast("long").alias("_seq"), F.posexplode(entries).alias("_pos", "p"))
+    return rows.select(*keys, F.struct("_seq", "_pos").alias("pos"), "p")
+
+
 def tide_rows(payloads: DataFrame) -> DataFrame:
     """id and its predictions (t ``YYYY-MM-DD HH:MM``, v text) as local date, clock and metres; an unreadable v is null."""
-    rows = payloads.select("id", F.posexplode("predictions").alias("pos", "p"))
+    rows = _payload_rows(payloads, ["id"], "predictions")
     at = F.split("p.t", " ")
     return rows.select("id", "pos", at[0].alias("date"), at[1].alias("time"), F.col("p.v").try_cast("double").alias("metres"), F.lit(LOCAL_OFFSET).alias("utc_offset"), F.lit(LOCAL_ZONE).alias("timezone"))
 
 
 def current_rows(payloads: DataFrame) -> DataFrame:
-    rows = payloads.select("id", "bin", F.posexplode("cp").alias("pos", "p"))
+    rows = _payload_rows(payloads, ["id", "bin"], "cp")
     at = F.split("p.Time", " ")
     slack = F.col("p.Type") == "slack"
     return rows.select(

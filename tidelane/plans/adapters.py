@@ -9,6 +9,7 @@ from ..functions.timeutil import micros
 
 HOUR_US = 3_600_000_000
 OFFSET_HOURS = -8
+SHEET = 1_000_000
 TIDE_KIND, CURRENT_KIND = "tidal_primary", "current_primary"
 
 
@@ -42,12 +43,13 @@ def _local(spark, sf_dir) -> DataFrame:
 
 
 def tide_documents(spark, sf_dir) -> DataFrame:
-    """One nested document a station and local year, as the yearbooks have them."""
+    """Nested documents as the yearbooks have them, one a station, local month and sheet of ``SHEET`` event numbers, so that
+    a busy station is many documents and not one long row."""
     reading = F.struct("ord", F.date_format("local", "HH:mm").alias("time"), (F.col("value") / 50).alias("metres"))
-    days = _local(spark, sf_dir).groupBy("station_id", F.year("local").alias("year"), F.month("local").alias("month"), F.day("local").alias("day")).agg(F.sort_array(F.collect_list(reading)).alias("r"))
+    days = _local(spark, sf_dir).groupBy("station_id", F.year("local").alias("year"), F.month("local").alias("month"), F.day("local").alias("day"), F.floor(F.col("ord") / SHEET).alias("sheet")).agg(F.sort_array(F.collect_list(reading)).alias("r"))
     days = days.withColumn("readings", F.transform("r", lambda x: F.struct(x["time"].alias("time"), x["metres"].alias("metres"))))
     day = F.struct("month", "day", "readings")
-    return days.groupBy("station_id", "year").agg(F.sort_array(F.collect_list(day)).alias("days")).withColumn("utc_offset", F.lit(OFFSET_HOURS))
+    return days.groupBy("station_id", "year", "sheet", F.col("month").alias("_month")).agg(F.sort_array(F.collect_list(day)).alias("days")).drop("sheet", "_month").withColumn("utc_offset", F.lit(OFFSET_HOURS))
 
 
 def current_documents(spark, sf_dir) -> DataFrame:
@@ -56,14 +58,14 @@ def current_documents(spark, sf_dir) -> DataFrame:
         "ord", F.date_format("local", "HH:mm").alias("time"), F.when(kind == "view", "slack").otherwise("max").alias("kind"),
         F.when(kind == "purchase", -F.col("value") / 50).otherwise(F.col("value") / 50).alias("knots"), (kind == "error").alias("weak_variable"),
     )
-    days = _local(spark, sf_dir).groupBy("station_id", F.year("local").alias("year"), F.month("local").alias("month"), F.day("local").alias("day")).agg(F.sort_array(F.collect_list(event)).alias("r"))
+    days = _local(spark, sf_dir).groupBy("station_id", F.year("local").alias("year"), F.month("local").alias("month"), F.day("local").alias("day"), F.floor(F.col("ord") / SHEET).alias("sheet")).agg(F.sort_array(F.collect_list(event)).alias("r"))
     days = days.withColumn("events", F.transform("r", lambda x: x.dropFields("ord")))
-    return days.groupBy("station_id", "year").agg(F.sort_array(F.collect_list(F.struct("month", "day", "events"))).alias("days")).withColumn("utc_offset", F.lit(OFFSET_HOURS))
+    return days.groupBy("station_id", "year", "sheet", F.col("month").alias("_month")).agg(F.sort_array(F.collect_list(F.struct("month", "day", "events"))).alias("days")).drop("sheet", "_month").withColumn("utc_offset", F.lit(OFFSET_HOURS))
 
 
 def primaries(spark, sf_dir) -> DataFrame:
-    """Users 0 to 19 as reference stations of 2024; every other name ends in a word that has an alias."""
-    users = _events(spark, sf_dir).where("user_id < 20").select("user_id", "station_id").distinct()
+    """Users as reference stations of 2024; every other name ends in a word that has an alias."""
+    users = _events(spark, sf_dir).select("user_id", "station_id").distinct()
     name = F.concat(F.lit("REF "), F.col("user_id").cast("string"), F.when(F.col("user_id") % 2 == 0, " HARBOUR").otherwise(""))
     return users.select(
         "station_id", name.alias("name"), F.col("user_id").alias("pos"), F.lit(2024).alias("year"),
@@ -79,13 +81,14 @@ def _signed(minutes):
 
 
 def secondaries(spark, sf_dir) -> DataFrame:
-    """Customers below 400 as secondary stations of 2024; every 41st names a reference that does not exist."""
+    """Customers as secondary stations of 2024, dealt out to all users; every 41st names a reference that does not exist."""
     k = F.col("c_custkey")
-    c = table(spark, sf_dir, "customer").where(k < 400)
+    users = table(spark, sf_dir, "events").agg(F.count_distinct("user_id").alias("users"))
+    c = table(spark, sf_dir, "customer").crossJoin(F.broadcast(users))  # one row
     when = lambda r, x: F.when(k % 5 == r, x)
     return c.select(
         k.alias("sec_id"), F.col("c_name").alias("name"), F.lit(2024).alias("year"),
-        F.when(k % 41 == 40, "NOWHERE").otherwise(F.concat(F.lit("REF "), (k % 20).cast("string"))).alias("reference"),
+        F.when(k % 41 == 40, "NOWHERE").otherwise(F.concat(F.lit("REF "), (k % F.col("users")).cast("string"))).alias("reference"),
         _signed(k * 37 % 361 - 180).alias("hw_diff"), _signed(k * 53 % 361 - 180).alias("lw_diff"),
         (k % 9 * 0.1).alias("hw_dh_mean"), (k % 11 * 0.2).alias("hw_dh_large"), (k % 3 * -0.1).alias("lw_dh_mean"), (k % 4 * 0.1).alias("lw_dh_large"),
         _signed(k * 37 % 61 - 30).alias("turn_to_flood"), _signed(k * 53 % 61 - 30).alias("turn_to_ebb"),
@@ -123,20 +126,20 @@ CURRENT_VALUE = f"(CASE WHEN t1 = t2 THEN v1 WHEN v1 = 0 AND v2 = 0 THEN 0.0 WHE
 CURRENT_STATE = f"(CASE WHEN t1 IS NULL THEN NULL WHEN t1 = t2 OR abs({CURRENT_VALUE}) < 0.1 THEN 'slack' WHEN {CURRENT_VALUE} > 0 THEN 'flood' ELSE 'ebb' END)"
 PRIMARIES_SQL = """prim AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS station_id, 'REF ' || user_id || CASE WHEN user_id % 2 = 0 THEN ' HARBOUR' ELSE '' END AS name, user_id AS pos, 2024 AS year,
   CAST(3.0 + user_id * CAST(0.1 AS DOUBLE) AS DOUBLE) AS hw_mean, CAST(4.0 + user_id * CAST(0.1 AS DOUBLE) AS DOUBLE) AS hw_large, CAST(1.0 AS DOUBLE) AS lw_mean, CAST(CASE WHEN user_id % 5 = 0 THEN 1.0 ELSE 0.5 END AS DOUBLE) AS lw_large,
-  CAST(user_id % 7 + 1.5 AS DOUBLE) AS ref_flood, CAST(-(user_id % 4) - 2.0 AS DOUBLE) AS ref_ebb FROM events WHERE user_id < 20)"""
+  CAST(user_id % 7 + 1.5 AS DOUBLE) AS ref_flood, CAST(-(user_id % 4) - 2.0 AS DOUBLE) AS ref_ebb FROM events)"""
 
 
 def _signed_sql(m: str) -> str:
     return f"(({m}) * 60000000)"
 
 
-SECONDARIES_SQL = f"""sec AS (SELECT c_custkey AS sec_id, c_name AS name, 2024 AS year, CASE WHEN c_custkey % 41 = 40 THEN 'NOWHERE' ELSE 'REF ' || (c_custkey % 20) END AS reference,
+SECONDARIES_SQL = f"""sec AS (SELECT c_custkey AS sec_id, c_name AS name, 2024 AS year, CASE WHEN c_custkey % 41 = 40 THEN 'NOWHERE' ELSE 'REF ' || (c_custkey % (SELECT count(DISTINCT user_id) FROM events)) END AS reference,
   {_signed_sql('c_custkey * 37 % 361 - 180')} AS hw_us, {_signed_sql('c_custkey * 53 % 361 - 180')} AS lw_us,
   c_custkey % 9 * CAST(0.1 AS DOUBLE) AS hw_dh_mean, c_custkey % 11 * CAST(0.2 AS DOUBLE) AS hw_dh_large, c_custkey % 3 * CAST(-0.1 AS DOUBLE) AS lw_dh_mean, c_custkey % 4 * CAST(0.1 AS DOUBLE) AS lw_dh_large,
   {_signed_sql('c_custkey * 37 % 61 - 30')} AS ttf, {_signed_sql('c_custkey * 53 % 61 - 30')} AS tte,
   CASE WHEN c_custkey % 5 < 3 THEN {_signed_sql('c_custkey * 7 % 61 - 30')} END AS fmd, CASE WHEN c_custkey % 5 < 3 THEN {_signed_sql('c_custkey * 11 % 61 - 30')} END AS emd,
   CASE WHEN c_custkey % 5 = 0 THEN c_custkey % 90 + 10 END AS pct_flood, CASE WHEN c_custkey % 5 = 0 THEN c_custkey % 80 + 15 END AS pct_ebb,
   CAST(CASE WHEN c_custkey % 5 IN (1, 3) THEN c_custkey % 6 + 1.5 END AS DOUBLE) AS max_flood, CAST(CASE WHEN c_custkey % 5 IN (1, 3) THEN c_custkey % 8 * 0.5 END AS DOUBLE) AS max_ebb, c_custkey % 10 = 3 AS from_tides
-  FROM customer WHERE c_custkey < 400),
+  FROM customer),
 nm AS (SELECT year, ref_name, arg_min(station_id, k) AS ref_id FROM (SELECT year, name AS ref_name, station_id, -pos AS k FROM prim UNION ALL SELECT year, regexp_replace(name, ' HARBOUR$', ''), station_id, pos + 1000 FROM prim WHERE name LIKE '% HARBOUR') GROUP BY 1, 2),
 res AS (SELECT sec.*, nm.ref_id FROM sec JOIN nm ON sec.year = nm.year AND sec.reference = nm.ref_name)"""

@@ -214,13 +214,17 @@ def pick_summary(spark, sf_dir):
     return normalise.summary(_picks(spark, sf_dir))
 
 
-# Payloads: events as they come from a prediction service
+# Payloads: events as they come from a prediction service, one a station, day and sheet of event numbers, in that order
+
+
+def _payload_seq():
+    return F.unix_date(F.to_date("ts")).cast("long") * 1_000_000 + F.floor(F.col("event_id") / A.SHEET)
 
 
 def _tide_payloads(spark, sf_dir) -> DataFrame:
     e = A.table(spark, sf_dir, "events").withColumn("t", F.date_format("ts", "yyyy-MM-dd HH:mm"))
     item = F.struct("event_id", "t", F.when(F.col("event_id") % 50 == 0, "n/a").otherwise(F.col("event_id").cast("string")).alias("v"))
-    return e.groupBy(F.col("user_id").cast("string").alias("id")).agg(F.sort_array(F.collect_list(item)).alias("p")).select("id", F.transform("p", lambda x: F.struct(x["t"].alias("t"), x["v"].alias("v"))).alias("predictions"))
+    return e.groupBy(F.col("user_id").cast("string").alias("id"), _payload_seq().alias("seq")).agg(F.sort_array(F.collect_list(item)).alias("p")).select("id", "seq", F.transform("p", lambda x: F.struct(x["t"].alias("t"), x["v"].alias("v"))).alias("predictions"))
 
 
 @query("SELECT CAST(user_id AS VARCHAR) AS id, strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '%H:%M') AS time, CAST(CASE WHEN event_id % 50 <> 0 THEN event_id END AS DOUBLE) AS metres, -8 AS utc_offset FROM events")
@@ -235,11 +239,11 @@ def _current_payloads(spark, sf_dir) -> DataFrame:
         n, F.date_format("ts", "yyyy-MM-dd HH:mm").alias("Time"), F.when(kind == "purchase", -F.col("value") / 50).otherwise(F.col("value") / 50).alias("Velocity_Major"), F.when(kind == "view", "slack").when(kind == "purchase", "ebb").otherwise("flood").alias("Type"),
         F.when((n % 7 == 0) & (F.col("user_id") % 3 != 0), (n % 360).cast("double")).alias("meanFloodDir"), (n % 180).cast("double").alias("meanEbbDir"),
     )
-    return e.groupBy(F.col("user_id").cast("string").alias("id"), (F.col("user_id") % 4).cast("int").alias("bin")).agg(F.sort_array(F.collect_list(item)).alias("p")).select("id", "bin", F.transform("p", lambda x: x.dropFields("event_id")).alias("cp"))
+    return e.groupBy(F.col("user_id").cast("string").alias("id"), (F.col("user_id") % 4).cast("int").alias("bin"), _payload_seq().alias("seq")).agg(F.sort_array(F.collect_list(item)).alias("p")).select("id", "bin", "seq", F.transform("p", lambda x: x.dropFields("event_id")).alias("cp"))
 
 
 @query(f"""WITH e AS (SELECT *, CASE WHEN event_type = 'purchase' THEN -value / 50 ELSE value / 50 END AS vel FROM events),
-  a AS (SELECT user_id, max(CASE WHEN event_type <> 'view' AND vel > 0 THEN vel END) AS f, max(CASE WHEN event_type <> 'view' AND vel < 0 THEN -vel END) AS b, arg_max(event_id % 180, event_id) AS last_ebb, min(CASE WHEN event_id % 7 = 0 AND user_id % 3 <> 0 THEN event_id END) AS first_id FROM e GROUP BY user_id)
+  a AS (SELECT user_id, max(CASE WHEN event_type <> 'view' AND vel > 0 THEN vel END) AS f, max(CASE WHEN event_type <> 'view' AND vel < 0 THEN -vel END) AS b, arg_max(event_id % 180, (CAST(ts AS DATE), event_id)) AS last_ebb, arg_min(event_id, (CAST(ts AS DATE), event_id)) FILTER (WHERE event_id % 7 = 0 AND user_id % 3 <> 0) AS first_id FROM e GROUP BY user_id)
   SELECT CAST(user_id AS VARCHAR) AS id, CAST(user_id % 4 AS INTEGER) AS bin, {R6('nullif(f, 0)')} AS max_flood_knots, {R6('nullif(b, 0)')} AS max_ebb_knots, CAST(first_id % 360 AS DOUBLE) AS flood_dir, CAST(coalesce(first_id % 180, last_ebb) AS DOUBLE) AS ebb_dir FROM a""")
 def normalise_payload_currents(spark, sf_dir):
     rows = normalise.current_station(normalise.current_rows(_current_payloads(spark, sf_dir)))
@@ -258,16 +262,20 @@ def day_nesting_counts(spark, sf_dir):
 # Profile, reconciliation, publication
 
 
-@query("""WITH loc AS (SELECT *, ts - INTERVAL 8 HOUR AS l FROM events), docs AS (SELECT DISTINCT user_id, year(l) AS y FROM loc), days AS (SELECT DISTINCT user_id, year(l) AS y, month(l) AS m, day(l) AS d FROM loc),
+@query("""WITH loc AS (SELECT *, ts - INTERVAL 8 HOUR AS l FROM events), docs AS (SELECT DISTINCT user_id, year(l) AS y, month(l) AS m, event_id // 1000000 AS s FROM loc), days AS (SELECT DISTINCT user_id, year(l) AS y, month(l) AS m, day(l) AS d, event_id // 1000000 AS s FROM loc),
   cells AS (SELECT 'station' AS level, 'station_id' AS field, CAST(user_id AS VARCHAR) AS value FROM docs UNION ALL SELECT 'station', 'year', CAST(y AS VARCHAR) FROM docs UNION ALL SELECT 'station', 'utc_offset', '-8' FROM docs
    UNION ALL SELECT 'day', 'month', CAST(m AS VARCHAR) FROM days UNION ALL SELECT 'day', 'day', CAST(d AS VARCHAR) FROM days
-   UNION ALL SELECT 'event', 'time', strftime(l, '%H:%M') FROM loc UNION ALL SELECT 'event', 'kind', CASE WHEN event_type = 'view' THEN 'slack' ELSE 'max' END FROM loc UNION ALL SELECT 'event', 'weak_variable', CAST(event_type = 'error' AS VARCHAR) FROM loc),
+   UNION ALL SELECT 'event', 'time', strftime(l, '%H:%M') FROM loc UNION ALL SELECT 'event', 'kind', CASE WHEN event_type = 'view' THEN 'slack' ELSE 'max' END FROM loc UNION ALL SELECT 'event', 'weak_variable', CAST(event_type = 'error' AS VARCHAR) FROM loc
+   UNION ALL SELECT 'event', 'knots', CAST(CAST(round(CASE WHEN event_type = 'purchase' THEN -value / 50 ELSE value / 50 END * 10) AS BIGINT) AS VARCHAR) FROM loc),
   n AS (SELECT 'station' AS level, count(*) AS objects FROM docs UNION ALL SELECT 'day', count(*) FROM days UNION ALL SELECT 'event', count(*) FROM loc),
   c AS (SELECT level, field, value, count(*) AS cnt, row_number() OVER (PARTITION BY level, field ORDER BY count(*) DESC, value) AS r FROM cells GROUP BY 1, 2, 3)
   SELECT level, field, round(max(cnt) / CAST(any_value(objects) AS DOUBLE), 6) + 0.0 AS share, count(*) AS n_values, string_agg(value || '=' || cnt, '|' ORDER BY r) FILTER (WHERE r <= 3) AS top3, CASE WHEN max(cnt) / any_value(objects) >= 0.95 THEN '★' WHEN max(cnt) / any_value(objects) >= 0.8 THEN '○' ELSE '' END AS tag FROM c JOIN n USING (level) GROUP BY 1, 2""")
 def field_profile(spark, sf_dir):
-    values, totals = profile.levels(A.current_documents(spark, sf_dir), "events")
-    rows = profile.profile(values.where("field <> 'knots'"), totals)  # the two engines print doubles differently
+    """Documents with speeds in tenths of a knot, which every engine prints alike."""
+    tenth = lambda e: e.withField("knots", F.round(e["knots"] * 10).cast("long"))
+    days = F.transform("days", lambda d: d.withField("events", F.transform(d["events"], tenth)))
+    values, totals = profile.levels(A.current_documents(spark, sf_dir).withColumn("days", days), "events")
+    rows = profile.profile(values, totals)
     return rows.withColumn("share", r6(F.col("share")))
 
 
@@ -298,7 +306,7 @@ def reconcile_summary(spark, sf_dir):
 
 
 @query("""SELECT CAST(user_id AS VARCHAR) AS station_id, y AS year, m AS month, d AS day, count(*) AS events, count_if(event_type = 'error') AS weak, count_if(event_type = 'view') AS slacks FROM
-  (SELECT *, CAST(year(l) AS INTEGER) AS y, CAST(month(l) AS INTEGER) AS m, CAST(day(l) AS INTEGER) AS d FROM (SELECT *, ts - INTERVAL 8 HOUR AS l FROM events)) GROUP BY 1, 2, 3, 4""")
+  (SELECT *, CAST(year(l) AS INTEGER) AS y, CAST(month(l) AS INTEGER) AS m, CAST(day(l) AS INTEGER) AS d FROM (SELECT *, ts - INTERVAL 8 HOUR AS l FROM events)) GROUP BY 1, 2, 3, 4, event_id // 1000000""")
 def publish_projection(spark, sf_dir):
     """Documents pruned for publication; weak_variable is left where it is true."""
     docs = publish.strip(A.current_documents(spark, sf_dir).withColumn("note", F.lit("dropped")), "current_primary")
@@ -322,7 +330,7 @@ def fingerprint(spark, sf_dir):
     return _fingerprints(spark, sf_dir)
 
 
-PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM"]
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
 @query(f"""WITH {FINGER_SQL}, r AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, min(epoch_us(o_orderdate)) AS first_us, max(epoch_us(o_orderdate)) AS last_us FROM orders GROUP BY 1)

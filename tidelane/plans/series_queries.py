@@ -177,7 +177,7 @@ def clamped_instants(spark, sf_dir):
 
 
 KNOTS_SQL = "CASE WHEN event_type IN ('view', 'error') THEN 0.0 WHEN event_type = 'purchase' THEN -value / 50 ELSE value / 50 END"
-DOC_SQL = """loc AS (SELECT *, ts - INTERVAL 8 HOUR AS l FROM events), numbered AS (SELECT *, CAST(year(l) AS INTEGER) AS y, dense_rank() OVER (PARTITION BY user_id, year(l) ORDER BY CAST(l AS DATE)) - 1 AS dp, row_number() OVER (PARTITION BY user_id, CAST(l AS DATE) ORDER BY event_id) - 1 AS rp FROM loc)"""
+DOC_SQL = """loc AS (SELECT *, ts - INTERVAL 8 HOUR AS l FROM events), numbered AS (SELECT *, CAST(year(l) AS INTEGER) AS y, dense_rank() OVER (PARTITION BY user_id, year(l), month(l), event_id // 1000000 ORDER BY CAST(l AS DATE)) - 1 AS dp, row_number() OVER (PARTITION BY user_id, CAST(l AS DATE), event_id // 1000000 ORDER BY event_id) - 1 AS rp FROM loc)"""
 
 
 @query(f"WITH {DOC_SQL} SELECT CAST(user_id AS VARCHAR) AS station_id, y AS year, epoch_us(date_trunc('minute', ts)) AS t_us, dp * 1000000 + rp AS ord, {R6('value / 50')} AS v FROM numbered")
@@ -234,10 +234,10 @@ def _resolved(spark, sf_dir) -> DataFrame:
 def _tide_secondaries(spark, sf_dir) -> DataFrame:
     s = _resolved(spark, sf_dir)
     heights = A.primaries(spark, sf_dir).select(F.col("station_id").alias("ref_id"), "hw_mean", "hw_large", "lw_mean", "lw_large")
-    return derive.secondary_tides(s, classify.high_low(A.tide_series(spark, sf_dir).where("user_id < 20"), "station_id", "year"), heights)
+    return derive.secondary_tides(s, classify.high_low(A.tide_series(spark, sf_dir), "station_id", "year"), heights)
 
 
-@query(f"""WITH {A.SERIES_SQL}, {A.PRIMARIES_SQL}, {A.SECONDARIES_SQL}, ref AS (SELECT *, {HILO_SQL} AS hi FROM tide WHERE user_id < 20 WINDOW w AS (PARTITION BY station_id, year ORDER BY t_us, ord)),
+@query(f"""WITH {A.SERIES_SQL}, {A.PRIMARIES_SQL}, {A.SECONDARIES_SQL}, ref AS (SELECT *, {HILO_SQL} AS hi FROM tide WINDOW w AS (PARTITION BY station_id, year ORDER BY t_us, ord)),
   j AS (SELECT r.*, e.t_us, e.ord, e.v, e.hi, p.hw_mean, p.hw_large, p.lw_mean, p.lw_large FROM res r JOIN prim p ON r.ref_id = p.station_id JOIN ref e ON e.station_id = r.ref_id AND e.year = r.year)
   SELECT sec_id, CASE WHEN hi THEN t_us + hw_us ELSE t_us + lw_us END AS t_us, {R6("CASE WHEN hi THEN v + hw_dh_mean + (v - hw_mean) * CASE WHEN hw_large = hw_mean THEN 0 ELSE (hw_dh_large - hw_dh_mean) / (hw_large - hw_mean) END ELSE v + lw_dh_mean + (v - lw_mean) * CASE WHEN lw_large = lw_mean THEN 0 ELSE (lw_dh_large - lw_dh_mean) / (lw_large - lw_mean) END END")} AS v FROM j""")
 def secondary_tides(spark, sf_dir):
@@ -245,7 +245,7 @@ def secondary_tides(spark, sf_dir):
 
 
 def _current_secondaries(spark, sf_dir) -> DataFrame:
-    refs = classify.current_roles(A.current_series(spark, sf_dir).where("user_id < 20")).drop("kind", "user_id")
+    refs = classify.current_roles(A.current_series(spark, sf_dir)).drop("kind", "user_id")
     return derive.secondary_currents(_resolved(spark, sf_dir).where("not from_tides"), refs)
 
 
@@ -302,17 +302,17 @@ def extreme_range_rollup(spark, sf_dir):
     return merge.extreme_ranges(rows)
 
 
-@query(f"""WITH {A.SERIES_SQL}, {A.PRIMARIES_SQL}, {A.SECONDARIES_SQL}, ref AS (SELECT *, {HILO_SQL} AS hi FROM tide WHERE user_id < 20 WINDOW w AS (PARTITION BY station_id, year ORDER BY t_us, ord)),
+@query(f"""WITH {A.SERIES_SQL}, {A.PRIMARIES_SQL}, {A.SECONDARIES_SQL}, ref AS (SELECT *, {HILO_SQL} AS hi FROM tide WINDOW w AS (PARTITION BY station_id, year ORDER BY t_us, ord)),
   made AS (SELECT 'sec:' || sec_id AS station_id, e.year, CASE WHEN hi THEN t_us + hw_us ELSE t_us + lw_us END AS t_us, ord, CASE WHEN hi THEN v + hw_dh_mean + (v - hw_mean) * CASE WHEN hw_large = hw_mean THEN 0 ELSE (hw_dh_large - hw_dh_mean) / (hw_large - hw_mean) END ELSE v + lw_dh_mean + (v - lw_mean) * CASE WHEN lw_large = lw_mean THEN 0 ELSE (lw_dh_large - lw_dh_mean) / (lw_large - lw_mean) END END AS v, false AS weak
     FROM res r JOIN prim p ON r.ref_id = p.station_id JOIN ref e ON e.station_id = r.ref_id AND e.year = r.year),
-  ser AS (SELECT station_id, year, t_us, ord, v, weak FROM tide WHERE user_id < 20 UNION ALL SELECT * FROM made), {A.segments_sql('ser')}, q AS (SELECT DISTINCT station_id, unnest({list(SNAPS)}) AS t_us FROM ser),
+  ser AS (SELECT station_id, year, t_us, ord, v, weak FROM tide UNION ALL SELECT * FROM made), {A.segments_sql('ser')}, q AS (SELECT DISTINCT station_id, unnest({list(SNAPS)}) AS t_us FROM ser),
   found AS (SELECT q.station_id, q.t_us, CASE WHEN q.t_us <= t2 THEN t1 END AS t1, CASE WHEN q.t_us <= t2 THEN t2 END AS t2, v1, v2 FROM q ASOF LEFT JOIN (SELECT * FROM seg WHERE t1 < t2) seg ON q.station_id = seg.station_id AND q.t_us >= seg.t1)
   SELECT station_id, t_us, CASE WHEN t1 IS NULL THEN NULL ELSE {R6(A.TIDE_VALUE)} END AS value, {A.TIDE_STATE} AS state FROM found""")
 def station_states(spark, sf_dir):
     """The whole first workload: references classed, secondaries derived, series merged, states looked up."""
     from . import jobs
 
-    own = A.tide_series(spark, sf_dir).where("user_id < 20")
+    own = A.tide_series(spark, sf_dir)
     ids = own.select("station_id").distinct().unionByName(_resolved(spark, sf_dir).select(F.concat(F.lit("sec:"), F.col("sec_id").cast("string")).alias("station_id")))
     asked = ids.select("station_id", F.explode(F.array(*map(F.lit, SNAPS))).alias("t_us"))
     rows = jobs.tide_states(own, A.primaries(spark, sf_dir), A.secondaries(spark, sf_dir), asked)

@@ -124,28 +124,32 @@ STARTS = (20.0, 120.0, 220.0, 320.0, 420.0, 520.0)
 
 
 def _page_words(spark, sf_dir, second: str, cells) -> DataFrame:
-    """A page for each user with the events of January 2024: at most five a day, the first half of the month on the left."""
+    """Every event on a page: a sheet for each user, year and month, the first half of the month on the left, and a further
+    sheet wherever a day has more than five events."""
     from pyspark.sql import Window
 
-    e = A.table(spark, sf_dir, "events").where((F.year("ts") == 2024) & (F.month("ts") == 1)).withColumn("day", F.day("ts"))
-    by = Window.partitionBy("user_id", "day").orderBy("event_id")
-    e = e.withColumn("j", F.row_number().over(by) - 1).where("j < 5")
+    e = A.table(spark, sf_dir, "events").withColumns({"day": F.day("ts"), "month": F.month("ts")})
+    n = F.row_number().over(Window.partitionBy("user_id", F.to_date("ts")).orderBy("event_id")) - 1
+    sheet = (F.year("ts") * 12 + F.col("month")) * 10_000 + F.floor(n / 5)
+    e = e.withColumns({"page": sheet.cast("int"), "j": n % 5})
     start = F.when(F.col("day") <= 15, STARTS[0]).otherwise(STARTS[1])
     top = 100.0 + (F.col("day") - 1) % 15 * 60 + F.when(F.col("day") == 31, 900).otherwise(0) + F.col("j") * 10
     word = lambda text, x, test=F.lit(True): F.when(test, F.struct(text.alias("text"), (start + x).alias("x0")))
     words = F.filter(F.array(word(_s(F.col("day")), 0.0, F.col("j") == 0), *cells(word)), lambda w: w.isNotNull())
-    body = e.select(F.col("user_id").cast("string").alias("doc"), top.alias("top"), F.explode(words).alias("w")).select("doc", "top", "w.*")
-    heads = [("Day" if i % 2 == 0 else second, x, 80.0) for i, x in enumerate(STARTS)] + [(m, x, 60.0) for m, x in zip(("January-janvier", "February-février", "March-mars"), STARTS[::2])]
-    head = F.array(*(F.struct(F.lit(t).alias("text"), F.lit(x).alias("x0"), F.lit(y).alias("top")) for t, x, y in heads))
-    users = body.select("doc").distinct().select("doc", F.explode(head).alias("w")).select("doc", "w.top", "w.text", "w.x0")
-    both = body.unionByName(users)
-    return both.select("doc", F.lit(1).alias("page"), "text", "x0", "top", (F.col("top") + 8).alias("bottom"), F.lit(620.0).alias("page_width"), F.lit(2200.0).alias("page_height"))
+    body = e.select(F.col("user_id").cast("string").alias("doc"), "page", top.alias("top"), F.explode(words).alias("w")).select("doc", "page", "top", "w.*")
+    names = F.array(*map(F.lit, extract_words.MONTHS))
+    month = lambda i: F.concat(F.element_at(names, ((F.col("page") / 10_000).cast("int") - 1 + i) % 12 + 1), F.lit("-mois"))
+    heads = [(F.lit("Day" if i % 2 == 0 else second), x, 80.0) for i, x in enumerate(STARTS)] + [(month(i), x, 60.0) for i, x in enumerate(STARTS[::2])]
+    head = F.array(*(F.struct(t.alias("text"), F.lit(x).alias("x0"), F.lit(y).alias("top")) for t, x, y in heads))
+    sheets = e.select(F.col("user_id").cast("string").alias("doc"), "page").distinct().select("doc", "page", F.explode(head).alias("w")).select("doc", "page", "w.top", "w.text", "w.x0")
+    both = body.unionByName(sheets)
+    return both.select("doc", "page", "text", "x0", "top", (F.col("top") + 8).alias("bottom"), F.lit(620.0).alias("page_width"), F.lit(2200.0).alias("page_height"))
 
 
-PAGE_SQL = "e AS (SELECT *, CAST(day(ts) AS INTEGER) AS d, row_number() OVER (PARTITION BY user_id, day(ts) ORDER BY event_id) AS j FROM events WHERE year(ts) = 2024 AND month(ts) = 1)"
+PAGE_SQL = "e AS (SELECT *, CAST(month(ts) AS INTEGER) AS m, CAST(day(ts) AS INTEGER) AS d FROM events)"
 
 
-@query(f"WITH {PAGE_SQL} SELECT CAST(user_id AS VARCHAR) AS doc, 1 AS month, d AS day, strftime(ts, '%H:%M') AS time, {R6('(event_id % 97) / CAST(10 AS DOUBLE)')} AS metres FROM e WHERE j <= 5")
+@query(f"WITH {PAGE_SQL} SELECT CAST(user_id AS VARCHAR) AS doc, m AS month, d AS day, strftime(ts, '%H:%M') AS time, {R6('(event_id % 97) / CAST(10 AS DOUBLE)')} AS metres FROM e")
 def tide_page(spark, sf_dir):
     v = F.col("event_id") % 97
     cells = lambda word: (word(F.date_format("ts", "HH:mm"), 25.0), word(_tenths(v), 50.0), word(_tenths(v * 3), 75.0))
@@ -153,7 +157,7 @@ def tide_page(spark, sf_dir):
     return rows.select("doc", "month", "day", "time", r6(F.col("metres")).alias("metres"))
 
 
-@query(f"WITH {PAGE_SQL} SELECT CAST(user_id AS VARCHAR) AS doc, 1 AS month, d AS day, strftime(ts, '%H:%M') AS time, CASE WHEN event_type = 'view' THEN 'slack' ELSE 'max' END AS kind, {R6(chr(39).join(['CASE WHEN event_type IN (', 'view', ', ', 'error', ') THEN 0.0 WHEN event_type = ', 'purchase', ' THEN -(event_id % 97) / CAST(10 AS DOUBLE) ELSE (event_id % 97) / CAST(10 AS DOUBLE) END']))} AS knots, event_type = 'error' AS weak_variable FROM e WHERE j <= 5")
+@query(f"WITH {PAGE_SQL} SELECT CAST(user_id AS VARCHAR) AS doc, m AS month, d AS day, strftime(ts, '%H:%M') AS time, CASE WHEN event_type = 'view' THEN 'slack' ELSE 'max' END AS kind, {R6(chr(39).join(['CASE WHEN event_type IN (', 'view', ', ', 'error', ') THEN 0.0 WHEN event_type = ', 'purchase', ' THEN -(event_id % 97) / CAST(10 AS DOUBLE) ELSE (event_id % 97) / CAST(10 AS DOUBLE) END']))} AS knots, event_type = 'error' AS weak_variable FROM e")
 def current_page(spark, sf_dir):
     kind, v = F.col("event_type"), F.col("event_id") % 97
     clock, slack = F.date_format("ts", "HHmm"), F.col("event_type") == "view"

@@ -174,3 +174,5 @@ def test_pack_round_trip():
     arrays = [np.arange(5, dtype=np.int64), np.array([], np.float32), np.array([True, False]), np.arange(3, dtype=np.uint64), py.small(np.array([1, 70_000])), py.steps(np.array([3, 3, 400]))]
     assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(arrays, py.unpack(py.pack(*arrays))))
     assert py.climb(arrays[-1]).tolist() == [3, 3, 400]
+    x, first = np.array([5, 0, 70_000, 7]), np.array([9, 0, 1, 7])
+    assert py.together(py.apart(x, first), first).tolist() == py.together(py.apart(x, None), None).tolist() == x.tolist()

@@ -66,6 +66,19 @@ def climb(x: np.ndarray) -> np.ndarray:
     return np.cumsum(x, dtype=np.int64)
 
 
+def apart(x: np.ndarray, first: np.ndarray | None) -> np.ndarray:
+    """``x`` by its differences from ``first`` (mostly none between sweeps), small numbers of either sign from zero on."""
+    if first is None:
+        return small(x)
+    d = x.astype(np.int64) - first.astype(np.int64)
+    return small((d << 1) ^ (d >> 63))
+
+
+def together(x: np.ndarray, first: np.ndarray | None) -> np.ndarray:
+    x = x.astype(np.int64)
+    return x if first is None else ((x >> 1) ^ -(x & 1)) + first
+
+
 _CODEC = pa.Codec("zstd", compression_level=4)
 _KINDS = [np.dtype(t) for t in (np.uint8, np.uint16, np.uint32, np.uint64, np.int64, np.float32, np.bool_)]
 
@@ -517,11 +530,13 @@ def answer_words(rows: pa.Table) -> pa.Table:
             here = np.flatnonzero(np.isin(own, words.hot))
             place = np.searchsorted(words.hot, own[here])
             reply.append(small(here))
+            first = [None] * 5
             for i, (n, tables, root_tables) in enumerate(seated):
                 root_n = np.bincount(words.of, tables, len(words.word)).astype(np.int64)
-                reply += [small(np.where(known, x[at], 0)) for x in (root_n, root_tables)]
-                reply += [small(np.where(found, x[dish], 0)) for x in (n, tables)]
-                reply.append(small(hot[i][place]) if len(here) else np.zeros(0, np.uint8))
+                own_hot = hot[i][place] if len(here) else np.zeros(0, np.int64)
+                now = [np.where(known, root_n[at], 0), np.where(known, root_tables[at], 0), np.where(found, n[dish], 0), np.where(found, tables[dish], 0), own_hot]
+                reply += [apart(x, y) for x, y in zip(now, first)]
+                first = now if i == 0 else first
         reply += [steps(np.searchsorted(own, asked)), small(ending)]
         out.append((part, "words", b, pack(*reply)))
     return table(out)
@@ -538,7 +553,8 @@ def answer_pairs(rows: pa.Table) -> pa.Table:
         tables.append((all_tables, mine + np.bincount(mu, t, len(mine)).astype(np.int64)))
     for b, (s, t), (x, y) in zip(block.tolist(), cuts(sizes), cuts(u_sizes)):
         at, u_at = climb(place[s:t]), climb(u_place[x:y])
-        out.append((part, "pairs", b, pack(small(n[at]), *(small(z) for tables_, own in tables for z in (tables_[at], own[u_at])))))
+        now = [(all_tables[at], own[u_at]) for all_tables, own in tables]
+        out.append((part, "pairs", b, pack(small(n[at]), *(apart(x, now[0][j] if i else None) for i, sample in enumerate(now) for j, x in enumerate(sample)))))
     return table(out)
 
 
@@ -546,10 +562,15 @@ def add_up(parts: int, split: int, fixed: dict, totals: list[np.ndarray], train_
     """Score a block's documents from the answers."""
 
     def run(own: pa.Table, got: pa.Table) -> pa.Table:
-        words = answers_of(got, "words")
+        words, samples = answers_of(got, "words"), len(totals)
         block = Asked(own.column("payload")[0].as_py(), words, parts, split)
-        samples, ending = len(totals), block.last.astype(np.int64)[block.u]
-        pairs = dict(answers_of(got, "pairs"))
+        ending = block.last.astype(np.int64)[block.u]
+        pairs = {p: [f[0], *(together(x, together(f[1 + i % 2], None) if i > 1 else None) for i, x in enumerate(f[1:]))] for p, f in answers_of(got, "pairs")}
+        for _, f in words:
+            if len(f) > 4:  # a sample's five arrays go by those of the first
+                for s in range(samples):
+                    for j in range(5):
+                        f[3 + 5 * s + j] = together(f[3 + 5 * s + j], f[3 + j] if s else None)
         where = list(block.by_part())
         asked, k = [], []
         for (a, _), (_, f) in zip(cuts([len(f[0]) for _, f in words]), words):

@@ -46,6 +46,9 @@ def test_publish_is_idempotent(spark, tmp_path):
     assert sorted(p.stat().st_mtime_ns for p in (tmp_path / "out/data").rglob("*.parquet")) == stamp
     changed = {tuple(r) for r in writers.publish(df.withColumn("s", F.when(F.col("n") == 3, "w").otherwise(F.col("s"))), path).collect()}
     assert len(first & changed) == 2 and spark.read.parquet(f"{path}/data").count() == 3
+    assert sorted(map(tuple, writers.read_published(spark, path).select("year", "kind", "n", "s").collect())) == [(2025, "a", 1, "x"), (2025, "b", 2, "y"), (2026, "a", 3, "w")]
+    assert {tuple(r) for r in writers.publish(df.where("n = 1"), path).collect()} == changed
+    assert {r.kind for r in writers.publish(df.where("n = 1"), path, whole=True).collect()} == {"a"} and spark.read.parquet(f"{path}/data").count() == 1
     with pytest.raises(FileNotFoundError):
         writers.publish(df.limit(0), str(tmp_path / "none"))
     writers.write_report(spark.createDataFrame([("1", "missing", "p")], "id string, kind string, placename string"), str(tmp_path / "r"))
@@ -58,6 +61,38 @@ def test_strip(spark):
     assert out.columns == ["station_id", "index_no", "days"]
     assert out.select(F.to_json("days")).first()[0] == '[{"month":1,"day":2,"events":[{"time":"01:00","kind":"max","knots":0.0,"weak_variable":true},{"time":"02:00","kind":"slack","knots":0.0}]}]'
     assert publish.strip(doc, "other").columns == doc.columns
+    assert publish.strip(doc, "noaa_current_primary").columns == ["station_id", "days"] and publish.strip(doc, "tidal_secondary").columns == ["station_id", "index_no"]
+    same = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "k string, n int")
+    marks = [{r.k: r.fingerprint for r in publish.fingerprint(x, ["k"], "n").collect()} for x in (same, same.repartition(3), same.distinct())]
+    assert marks[0] == marks[1] and marks[0]["a"] != marks[2]["a"] and marks[0]["b"] == marks[2]["b"]
+
+
+def test_texts_headers_and_empty_curves(spark):
+    from tidelane.functions import text
+    from tidelane.operators import derive, interpolate
+
+    row = spark.range(1).select(text.height_text(F.lit(1.44)).alias("a"), text.height_text(F.lit(1.4), True).alias("b"), text.speed_text(F.lit(-2.61)).alias("c"), text.speed_value(F.lit(-2.61)).alias("d")).first()
+    assert tuple(row) == ("1.4 m", "4.6 ft", "-2.6 kt", "2.6")
+    lines = spark.createDataFrame([(["2026", "ACTIVE PASS", "PST (UTC-8h) more"],), (["2026", "x", "(UTC-8)"],), (["20", "A", "(UTC-8)"],), (["2026", "A"],)], "x array<string>")
+    got = [r.h for r in lines.select(extract_lines.current_header(F.col("x")).alias("h")).collect()]
+    assert tuple(got[0]) == ("ACTIVE PASS", -8, 2026) and got[1:] == [None] * 3
+    curves = spark.createDataFrame([("a", None), ("a", None), ("b", None), ("b", 1.0)], "station_id string, value double")
+    assert {r.station_id: r.empty for r in interpolate.empty_curves(curves).collect()} == {"a": True, "b": False}
+    axis = spark.createDataFrame([(0.0, 2.0), (2.0, 2.0), (-9.0, 2.0), (0.25, 0.1)], "v double, b double").select(interpolate.current_axis(F.col("v"), F.col("b")).alias("y")).collect()
+    assert [round(r.y, 6) for r in axis] == [55.0, 22.0, 88.0, 38.5]
+    names = spark.createDataFrame([(2026, "JOHNSTONE STR. CEN.", "j")], "year int, ref_name string, ref_id string")
+    found, lost = derive.resolve(spark.createDataFrame([(1, 2026, "JOHNSTONE STRAIT-CENTRAL"), (2, 2026, "NONE")], "sec_id int, year int, reference string"), names, derive.CURRENT_ALIASES)
+    assert [(r.sec_id, r.ref_id) for r in found.collect()] == [(1, "j")] and [r.sec_id for r in lost.collect()] == [2]
+
+
+def test_contents_pages(spark):
+    rows = [("Introduction (Tables 1, 2 and 3) 7", 50.0), ("Tide Tables", 50.0), ("Point A .... 12", 90.0), ("Point B 16", 90.0), ("Current Tables", 50.0), ("Pass C..20", 90.0), ("Notes", 50.0), ("Lost 30", 90.0), ("Table of all (Table 4) 40", 50.0), ("Lost too 41", 90.0)]
+    toc = spark.createDataFrame([("v", i, t, x) for i, (t, x) in enumerate(rows)], "doc string, row int, text string, x0 double")
+    got = extract_lines.contents(toc).orderBy("row").collect()
+    assert [(r.section, r.title, r.printed_page, r.tables) for r in got if not r.tables] == [("Tide Tables", "Point A", 12, []), ("Tide Tables", "Point B", 16, []), ("Current Tables", "Pass C", 20, [])]
+    assert [(r.printed_page, r.tables) for r in got if r.tables] == [(7, [1, 2, 3]), (40, [4])]
+    words = spark.createDataFrame([("v", 5, "Contents", 10.0), ("v", 5, "3", 700.0), ("w", 2, "none", 1.0)], "doc string, page int, text string, top double")
+    assert {r.doc: r.offset for r in extract_lines.page_offset(words).collect()} == {"v": 2, "w": None}
 
 
 def test_coordinates(spark):
@@ -67,8 +102,8 @@ def test_coordinates(spark):
     got = {r.index_no: (r.coord_source, r.lat, r.flagged) for r in coords.resolve(s, inv, over).collect()}
     assert got == {1: ("csv", 48.001, False), 2: ("kept", 48.0, False), 3: ("override", 50.0, False), 4: ("kept", 48.0, True), 5: ("verified", 48.0, False), None: ("kept", 48.0, False), 6: ("kept", None, False)}
     assert coords.suppress(s, spark.createDataFrame([(1,)], "index_no int")).count() == 6
-    lines = spark.createDataFrame(list(enumerate(['"_manual": "x",', '  "12": null,', '"_seeded": "y",', '  "13": [1, 2]'])), "line int, text string")
-    assert sorted(tuple(r) for r in coords.provenance(lines).collect()) == [(12, "manual"), (13, "seeded")]
+    lines = spark.createDataFrame([("f", i, t) for i, t in enumerate(['"_manual": "x",', '  "12": null,', '"_seeded": "y",', '  "13": [1, 2]'])] + [("g", 9, '"14": null')], "file string, line int, text string")
+    assert sorted(tuple(r) for r in coords.provenance(lines).collect()) == [("f", 12, "manual"), ("f", 13, "seeded"), ("g", 14, None)]
     up = spark.createDataFrame([("12", 1.0, 2.0), ("12a", 1.0, 2.0), ("13", None, 2.0)], "code string, lat double, lon double")
     assert [r.index_no for r in coords.upstream_stations(up).collect()] == [12]
 
@@ -104,7 +139,7 @@ def test_headers_and_merges(spark):
     assert tuple(h[0].h) == ("POINT ATKINSON", "PST-HNP", -8, 2026) and h[1].h is None
     d = spark.createDataFrame([("Flood/flot direction 045 True/vraie - Ebb/jusant direction 225 True/vraie",)], "x string").select(extract_lines.flow_directions(F.col("x")).alias("d")).first().d
     assert tuple(d) == (45, 225)
-    toc = spark.createDataFrame([("v", 0, "Tide Tables"), ("v", 1, "Point A .... 12"), ("v", 2, "Point B 16"), ("v", 3, "Current Tables"), ("v", 4, "Pass C..20")], "doc string, row int, text string")
+    toc = spark.createDataFrame([("v", 0, "Tide Tables", 50.0), ("v", 1, "Point A .... 12", 90.0), ("v", 2, "Point B 16", 90.0), ("v", 3, "Current Tables", 50.0), ("v", 4, "Pass C..20", 90.0)], "doc string, row int, text string, x0 double")
     got = extract_lines.page_ranges(extract_lines.contents(toc), F.lit(24)).orderBy("row").collect()
     assert [(r.section, r.title, r.first_page, r.end_page) for r in got] == [("Tide Tables", "Point A", 12, 16), ("Tide Tables", "Point B", 16, 20), ("Current Tables", "Pass C", 20, 24)]
     st = spark.createDataFrame([("v", 0, "ALPHA BAY", -8), ("v", 1, "BETA", -8), ("v", 2, "GAMMA", -8)], "doc string, pos int, name string, utc_offset int")

@@ -56,6 +56,22 @@ def feet(metres: Column) -> Column:
     return F.round(metres * FEET_PER_METRE, 1)
 
 
+def height_text(metres: Column, in_feet: bool = False) -> Column:
+    """A height with one decimal and its unit."""
+    value = metres * FEET_PER_METRE if in_feet else metres
+    return F.concat(F.format_string("%.1f", value), F.lit(" ft" if in_feet else " m"))
+
+
+def speed_text(knots: Column) -> Column:
+    """A speed with its sign, one decimal and the unit."""
+    return F.concat(F.format_string("%.1f", knots), F.lit(" kt"))
+
+
+def speed_value(knots: Column) -> Column:
+    """A speed without sign or unit, for a marker."""
+    return F.format_string("%.1f", F.abs(knots))
+
+
 def upper_key(name: Column) -> Column:
     """Upper case with every run of other characters one space."""
     return F.trim(F.regexp_replace(F.upper(name), "[^A-Z0-9]+", " "))

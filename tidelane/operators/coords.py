@@ -75,9 +75,9 @@ def upstream_stations(listing: DataFrame) -> DataFrame:
 
 
 def provenance(lines: DataFrame) -> DataFrame:
-    """Block of each override key of a text: the last section heading above it (columns line, text)."""
+    """Block of each override key of a text: the last section heading above it (columns file, line, text)."""
     heading = F.regexp_extract("text", r'"_([a-z_]+)"\s*:\s*"', 1)
     key = F.regexp_extract("text", r'^\s*"(\d+)"\s*:', 1)
-    by = Window.orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    by = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = lines.withColumn("block", F.last(F.nullif(heading, F.lit("")), ignorenulls=True).over(by))
-    return rows.withColumn("index_no", F.nullif(key, F.lit("")).cast("int")).where("index_no is not null").select("index_no", "block")
+    return rows.withColumn("index_no", F.nullif(key, F.lit("")).cast("int")).where("index_no is not null").select("file", "index_no", "block")

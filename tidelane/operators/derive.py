@@ -9,6 +9,8 @@ from ..functions.timeutil import MINUTE_US, signed_minutes
 from .classify import MAX_EBB, MAX_FLOOD, TO_EBB, TO_FLOOD
 
 SUFFIXES = ("HARBOUR", "HARBOR", "INLET", "BAY")
+#: Names of references that their own tables spell otherwise (fixed values).
+CURRENT_ALIASES = {"JOHNSTONE STRAIT-CENTRAL": "JOHNSTONE STR. CEN."}
 BROADCAST_STATIONS = 200_000
 
 

@@ -20,6 +20,7 @@ SIGNED, PLAIN = r"([+-]?\d+\.\d+\*?)", r"(\d+\.\d+\*?)"
 SECONDARY = rf"^(\d{{4}})\s+(.+?)\s+-?\s*(\d+)\s+(\d+)\s+(\d+)\s+(\d+)\s+(\d+)\s+{SHIFT}\s+{SIGNED}\s+{SIGNED}\s+{SHIFT}\s+{SIGNED}\s+{SIGNED}\s+{PLAIN}\s+{PLAIN}\s+{PLAIN}\s*$"
 AREA, REFERENCE = r"^AREA\s+(\d+)\s*$", r"(?i)^on/sur\s+(.+?),\s+pages\s+\d+"
 NOISE = ("SECONDARY PORTS TABLE 3", "INFORMATION AND TIDAL", "RENSEIGNEMENTS", "DIFFERENCES DIFFÉRENCES", "RANGE MEAN", "PLEINE MER", "NIVEAU", "D'INDEX", "HORAIRE", "MOYENNE MARÉE", "° '", "LAT. N.", "TIDE TIDE", "IN N D O E")
+SECTIONS, INDENT_X, COLUMN_SPLIT_X = ("Tide Tables", "Current Tables"), 80.0, 315.0  # contents pages; their left half counts
 HEADER = r"^([A-Z][A-Z\s\-'.]*?)\s+([A-Z]{3}-[A-Z]{3})\s+\(UTC([+-]\d+)\)\s+(\d{4})\s+TIDE\s+TABLES"
 DIRECTIONS = r"(?i)Flood/flot\s+direction\s+(\d+)\s+True/vraie\s+-\s*Ebb/jusant\s+direction\s+(\d+)\s+True/vraie"
 AREA_LINES = 2
@@ -108,19 +109,45 @@ def tide_header(first_line: Column) -> Column:
     return F.when(first_line.rlike(HEADER), F.struct(F.trim(g(1)).alias("name"), g(2).alias("timezone"), g(3).cast("int").alias("utc_offset"), g(4).cast("int").alias("year")))
 
 
+def current_header(lines: Column) -> Column:
+    """Struct of name, utc_offset and year of a current page, whose first three lines are the year, the name and the zone;
+    null for another page."""
+    year, name, zone = (F.trim(F.get(lines, F.lit(i))) for i in range(3))
+    offset = F.nullif(F.regexp_extract(zone, r"\(UTC([+-]\d+)h?\)", 1), F.lit(""))
+    fits = year.rlike(r"^\d{4}$") & name.rlike(r"^\p{Lu}") & offset.isNotNull()
+    return F.when(fits, F.struct(name.alias("name"), offset.try_cast("int").alias("utc_offset"), year.try_cast("int").alias("year")))
+
+
 def flow_directions(text: Column) -> Column:
     g = lambda i: F.nullif(_part(text, DIRECTIONS, i), F.lit("")).cast("int")
     return F.struct(g(1).alias("flood"), g(2).alias("ebb"))
 
 
+def table_numbers(title: Column) -> Column:
+    """Numbers in a mark such as ``(Tables 1, 2 and 3)``; empty without one."""
+    inside = F.regexp_extract(title, r"(?i)\(Tables?\s+([\d\s,and]+?)\)", 1)
+    return F.transform(F.regexp_extract_all(inside, F.lit(r"(\d+)")), lambda x: x.cast("int"))
+
+
 def contents(rows: DataFrame) -> DataFrame:
-    """Entries of contents pages (doc, row, text): section above, title, printed page."""
+    """Entries of contents pages (doc, row, text and x0, where the line begins): section, title, printed page, and the tables
+    that an entry names. A line at the margin without a page opens a section; one with a page lists tables and closes it;
+    an indented one with a page is a station of the section, and none outside of one."""
     entry = r"^(.+?)[\s.]+(\d{1,3})$"
     by = Window.partitionBy("doc").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    is_entry = F.col("text").rlike(entry)
-    section = F.last(F.when(~is_entry, F.trim("text")), ignorenulls=True).over(by)
-    found = rows.withColumn("section", section).where(is_entry)
-    return found.select("doc", "row", "section", F.trim(_part(F.col("text"), entry, 1)).alias("title"), _part(F.col("text"), entry, 2).cast("int").alias("printed_page"))
+    indented, paged = F.col("x0") >= INDENT_X, F.col("text").rlike(entry)
+    title = F.when(paged, F.trim(_part(F.col("text"), entry, 1)))
+    opened = F.last(F.when(~indented, F.struct(F.when(~paged & F.trim("text").isin(*SECTIONS), F.trim("text")).alias("s"))), ignorenulls=True).over(by)["s"]
+    rows = rows.withColumns({"section": opened, "title": title, "tables": F.when(~indented & paged, table_numbers(title)).otherwise(F.array().cast("array<int>"))})
+    station = indented & F.col("section").isNotNull()
+    return rows.where(paged & (station | (F.size("tables") > 0))).select("doc", "row", "section", "title", _part(F.col("text"), entry, 2).cast("int").alias("printed_page"), "tables")
+
+
+def page_offset(words: DataFrame) -> DataFrame:
+    """What to add to a printed page for the file's page, from the lowest word of the contents page (doc, page, text, top);
+    null where that is no number."""
+    lowest = words.groupBy("doc", "page").agg(F.max_by("text", "top").alias("t"))
+    return lowest.select("doc", (F.col("page") - F.when(F.col("t").rlike(r"^\d+$"), F.col("t")).try_cast("int")).alias("offset"))
 
 
 def page_ranges(entries: DataFrame, last_page: Column) -> DataFrame:

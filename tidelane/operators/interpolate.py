@@ -76,6 +76,11 @@ def window_grid(instants: DataFrame, hours: int = 15, step_us: int = 3 * MINUTE_
     return instants.withColumn("t_us", F.explode(F.sequence(F.col("start_us"), F.col("start_us") + hours * 60 * MINUTE_US, F.lit(step_us).cast("long"))))
 
 
+def empty_curves(samples: DataFrame, value: str = "value", key: str = "station_id") -> DataFrame:
+    """``empty`` for each station: true where not one sample of its curve has a value, so that nothing can be drawn."""
+    return samples.groupBy(key).agg((F.count(value) == 0).alias("empty"))
+
+
 def runs(points: DataFrame, value: str = "value", signed: bool = False, key: str = "station_id") -> DataFrame:
     """Maximal runs of non-null values, or of one sign (zero and null break): start, end and length of each."""
     state = F.when(F.col(value) > 0, 1).when(F.col(value) < 0, -1).otherwise(0) if signed else F.col(value).isNotNull().cast("int")

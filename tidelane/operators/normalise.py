@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import display_name
+from ..functions.text import display_name, station_name
 from ..functions.timeutil import CURRENT_WEEKDAYS, TIDE_WEEKDAYS, station_time_us, weekday_label
 
 LOCAL_OFFSET, LOCAL_ZONE = -8, "PST"
@@ -87,14 +87,15 @@ def current_picks(picks: DataFrame) -> DataFrame:
     return first_per(picks.where("id is not null"), ["id", "bin"])
 
 
-def enrich(picks: DataFrame, catalog: DataFrame, last: bool) -> DataFrame:
+def enrich(picks: DataFrame, catalog: DataFrame, last: bool, short: str | None = None) -> DataFrame:
     """Picks with the catalog's name, lat and lng: its last row of an id for tides, its first for currents. The
-    catalog's name wins; an id that it lacks has no coordinates."""
+    catalog's name wins; an id that it lacks has no coordinates. ``display_name`` is the pick's own short name (column
+    ``short``) where it has one, else the name without its offset, which ``station_name`` always is."""
     by = (F.max_by if last else F.min_by)(F.struct("name", "lat", "lng"), "pos")
     one = catalog.groupBy("id").agg(by.alias("_c"))
     rows = picks.join(one, "id", "left")
     name = F.coalesce(F.col("_c.name"), F.col("name"))
-    return rows.select("id", *[c for c in picks.columns if c not in ("id", "name")], name.alias("name"), display_name(F.lit(None).cast("string"), name).alias("display_name"), F.col("_c.lat").alias("lat"), F.col("_c.lng").alias("lng"))
+    return rows.select("id", *[c for c in picks.columns if c not in ("id", "name")], name.alias("name"), display_name(F.col(short) if short else F.lit(None).cast("string"), name).alias("display_name"), station_name(name).alias("station_name"), F.col("_c.lat").alias("lat"), F.col("_c.lng").alias("lng"))
 
 
 def missing(picks: DataFrame, landed: DataFrame, keys: list[str], refresh: bool = False) -> DataFrame:

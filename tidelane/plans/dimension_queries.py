@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import decimals, station_name
+from ..functions.text import decimals
 from ..operators import catalog, coords, normalise, profile, publish, reconcile
 from . import adapters as A
 
@@ -197,10 +197,12 @@ def pick_dedup(spark, sf_dir):
 
 
 @query(f"""WITH {CATALOG_SQL}, {PICKS_SQL}, l AS (SELECT id, arg_max(name, pos) AS cname, arg_max(lat, pos) AS lat, arg_max(lng, pos) AS lng FROM cat GROUP BY id), j AS (SELECT p.id, p.pos, coalesce(cname, name) AS name, lat, lng FROM {FIRST_PICK} p LEFT JOIN l ON p.id = l.id)
-  SELECT id, pos, name, CASE WHEN name LIKE '%, 0.6 mi%' THEN split_part(name, ',', 1) ELSE name END AS display_name, {R6('lat')} AS lat, {R6('lng')} AS lng FROM j""")
+  SELECT id, pos, name, CASE WHEN pos % 7 = 0 AND pos % 14 <> 0 THEN 'Short ' || pos WHEN name LIKE '%, 0.6 mi%' THEN split_part(name, ',', 1) ELSE name END AS display_name, CASE WHEN name LIKE '%, 0.6 mi%' THEN split_part(name, ',', 1) ELSE name END AS station_name, {R6('lat')} AS lat, {R6('lng')} AS lng FROM j""")
 def catalog_enrich(spark, sf_dir):
-    rows = normalise.enrich(normalise.tide_picks(_picks(spark, sf_dir)), _catalog(spark, sf_dir), last=True)
-    return rows.select("id", "pos", "name", station_name(F.col("name")).alias("display_name"), r6(F.col("lat")).alias("lat"), r6(F.col("lng")).alias("lng"))
+    """Every seventh pick has a short name of its own, every fourteenth an empty one."""
+    picks = _picks(spark, sf_dir).withColumn("short_name", F.when(F.col("pos") % 14 == 0, "").when(F.col("pos") % 7 == 0, F.concat(F.lit("Short "), F.col("pos").cast("string"))))
+    rows = normalise.enrich(normalise.tide_picks(picks), _catalog(spark, sf_dir), last=True, short="short_name")
+    return rows.select("id", "pos", "name", "display_name", "station_name", r6(F.col("lat")).alias("lat"), r6(F.col("lng")).alias("lng"))
 
 
 @query(f"WITH {CATALOG_SQL}, {PICKS_SQL} SELECT DISTINCT p.id, p.bin FROM picks p WHERE p.id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM cat c WHERE c.id = p.id AND c.currbin = p.bin)")
@@ -315,9 +317,8 @@ def publish_projection(spark, sf_dir):
     return rows.select("station_id", "year", F.col("d.month").alias("month"), F.col("d.day").alias("day"), F.size("d.events").cast("long").alias("events"), count(lambda e: e["weak_variable"].isNotNull()).alias("weak"), count(lambda e: e["kind"] == "slack").alias("slacks"))
 
 
-FINGER = "left(sha256(string_agg(p, ',' ORDER BY p)), 8)"
 FINGER_SQL = f"""h AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, o_orderpriority AS kind, sha256(concat_ws('|', o_orderkey, o_custkey, coalesce(o_orderstatus, '~'))) AS h FROM orders),
-  p AS (SELECT year, kind, sha256(string_agg(h, ',' ORDER BY h)) AS p FROM h GROUP BY year, kind, left(h, 2)), f AS (SELECT year, kind, {FINGER} AS fingerprint FROM p GROUP BY year, kind)"""
+  f AS (SELECT year, kind, left(sha256(concat_ws(',', count(*), {', '.join(f"sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT))" for i in range(4))})), 8) AS fingerprint FROM h GROUP BY year, kind)"""
 
 
 def _fingerprints(spark, sf_dir) -> DataFrame:
@@ -361,3 +362,56 @@ def visible_stations(spark, sf_dir):
         shown = part if shown is None else shown.unionByName(part)
     every = totals.crossJoin(F.broadcast(spark.createDataFrame([(z,) for z in (7, 8, 9)], "zoom int")))  # three rows
     return every.join(shown, ["kind", "zoom"], "left").select("zoom", "kind", F.coalesce("shown", F.lit(0)).alias("shown"), "located")
+
+
+@query(f"WITH {PICKS_SQL} SELECT DISTINCT id, bin FROM picks WHERE id IS NOT NULL")
+def refreshed_payloads(spark, sf_dir):
+    """The work list of a refresh: every pick, whatever has landed."""
+    landed = _catalog(spark, sf_dir).select("id", F.col("currbin").alias("bin"))
+    return normalise.missing(_picks(spark, sf_dir).where("id is not null"), landed, ["id", "bin"], refresh=True)
+
+
+@query(f"""WITH {CATALOG_SQL}, {PICKS_SQL}, live AS (SELECT id, arg_max(name, pos) AS lname, arg_max(reference_id, pos) AS lref, arg_max(type, pos) AS ltype FROM cat WHERE CAST(id AS INTEGER) % 3 <> 0 GROUP BY id),
+  direct AS (SELECT id, arg_max(name, pos) AS dname, arg_max(reference_id, pos) AS dref, arg_max(type, pos) AS dtype FROM cat WHERE CAST(id AS INTEGER) % 3 = 0 GROUP BY id),
+  j AS (SELECT p.*, coalesce(lname, dname) AS lname, coalesce(lref, dref) AS lref, coalesce(ltype, dtype) AS ltype, live.id IS NOT NULL OR direct.id IS NOT NULL AS here FROM {FIRST_PICK} p LEFT JOIN live ON p.id = live.id LEFT JOIN direct ON p.id = direct.id)
+  SELECT kind, count(*) AS anomalies FROM (SELECT 'missing' AS kind FROM j WHERE NOT here UNION ALL SELECT 'name_change' FROM j WHERE here AND lower(trim(name)) <> lower(trim(lname))
+  UNION ALL SELECT 'reference_change' FROM j WHERE here AND reference_id <> '' AND lref <> '' AND reference_id <> lref UNION ALL SELECT 'type_change' FROM j WHERE here AND type <> ltype) GROUP BY kind""")
+def drift_with_fallback(spark, sf_dir):
+    """Drift where a third of the ids is only known to a direct lookup; the gate lets it pass by force."""
+    whole = _catalog(spark, sf_dir)
+    here = F.col("id").cast("int") % 3 == 0
+    direct = catalog.one_per_id(whole.where(here), last=True)
+    found = catalog.tide_drift(_picks(spark, sf_dir), whole.where(~here), direct)
+    return found.groupBy("kind").agg(F.count("*").alias("anomalies"))
+
+
+@query("SELECT CAST(c_custkey AS INTEGER) AS index_no, round(45 + (c_custkey % 400) / CAST(100 AS DOUBLE), 6) + 0.0 AS lat, round(-125 + (c_custkey * 7 % 350) / CAST(100 AS DOUBLE), 6) + 0.0 AS lon FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 11 <> 10")
+def upstream_stations(spark, sf_dir):
+    """Of a listing, the stations with a number for a code and with coordinates."""
+    k = F.col("k")
+    code = F.when(k % 5 == 0, F.concat(F.lit("X"), k.cast("string"))).otherwise(F.lpad(k.cast("string"), 6, "0"))
+    listing = _customer(spark, sf_dir).select(code.alias("code"), F.when(k % 11 != 10, 45 + k % 400 / 100).alias("lat"), (-125 + k * 7 % 350 / 100).alias("lon"))
+    return coords.upstream_stations(listing).select("index_no", r6(F.col("lat")).alias("lat"), r6(F.col("lon")).alias("lon"))
+
+
+@query("SELECT 'file' || (c_custkey // 100) AS file, CAST(c_custkey AS INTEGER) AS index_no, CASE WHEN c_custkey % 100 < 20 THEN NULL WHEN c_custkey % 100 < 60 THEN 'seeded' ELSE 'manual' END AS block FROM customer")
+def override_provenance(spark, sf_dir):
+    """Files of a hundred keys, with headings above the 20th and the 60th."""
+    k = F.col("k")
+    head = F.when(k % 100 == 20, '  "_seeded": "from the listing",').when(k % 100 == 60, '  "_manual": "by hand",')
+    rows = _customer(spark, sf_dir).select(F.concat(F.lit("file"), F.floor(k / 100).cast("string")).alias("file"), k, F.posexplode(F.array(head, F.concat(F.lit('  "'), k.cast("string"), F.lit('": [1, 2],')))).alias("i", "text"))
+    lines = rows.where("text is not null").select("file", (F.col("k") * 2 + F.col("i")).alias("line"), "text")
+    return coords.provenance(lines)
+
+
+@query("SELECT kind, list_sort(list(DISTINCT c_custkey % 7)) AS present FROM (SELECT *, CASE c_custkey % 4 WHEN 0 THEN 'tidal_secondary' WHEN 1 THEN 'current_secondary' WHEN 2 THEN 'noaa_tidal_primary' ELSE 'noaa_current_primary' END AS kind FROM customer) GROUP BY kind")
+def publish_kinds(spark, sf_dir):
+    """Stations of the kinds without a yearbook of their own, pruned; the fields left are as allowed, and hold their rows."""
+    k, out = F.col("k"), None
+    every = sorted({f for fields in publish.STATION_FIELDS.values() for f in fields} - {"days"})
+    for i, kind in enumerate(("tidal_secondary", "current_secondary", "noaa_tidal_primary", "noaa_current_primary")):
+        docs = publish.strip(_customer(spark, sf_dir).where(k % 4 == i).select(*((k % 7).alias(f) for f in every), F.lit(1).alias("timezone")), kind)
+        assert set(docs.columns) == set(publish.STATION_FIELDS[kind]) - {"days"}
+        rows = docs.select(F.lit(kind).alias("kind"), F.explode(F.array_distinct(F.array(*docs.columns))).alias("n"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("kind").agg(F.sort_array(F.collect_set("n")).alias("present"))

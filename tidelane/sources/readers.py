@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
@@ -38,17 +38,17 @@ def split_errors(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """index_no, lat, lon and the fewer decimals of both, from text; rows that do not parse go, the last of an id stays."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "^﻿", ""), "\r?\n")).alias("line", "text")).where("trim(text) <> ''")
-    head = lines.where("line = 0").select(F.from_csv("text", "a string, b string, c string").alias("h")).first()
-    names = [x.strip() for x in head.h] if head else ["STATION_NUMBER", "LATITUDE", "LONGITUDE"]
-    cells = lines.where("line > 0").select("line", F.from_csv("text", ", ".join(f"`{n}` string" for n in names)).alias("r")).select("line", "r.*")
+    """index_no, lat, lon and the fewer decimals of both, from text; rows that do not parse go, the last of an id stays (by
+    file, place of its block in the file and row). Files are split like any other; all must have the same header."""
+    raw = spark.read.csv(path, header=True, inferSchema=False, enforceSchema=False)
+    names = [c.strip().lstrip("\ufeff") for c in raw.columns]
+    place = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("r"))
+    cells = raw.select(place.alias("_at"), *(F.col(f"`{c}`").alias(n) for c, n in zip(raw.columns, names)))
     rows = cells.select(
-        "line", F.trim("STATION_NUMBER").try_cast("int").alias("index_no"), F.col("LATITUDE").try_cast("double").alias("lat"), F.col("LONGITUDE").try_cast("double").alias("lon"),
+        "_at", F.trim("STATION_NUMBER").try_cast("int").alias("index_no"), F.col("LATITUDE").try_cast("double").alias("lat"), F.col("LONGITUDE").try_cast("double").alias("lon"),
         F.least(decimals(F.col("LATITUDE")), decimals(F.col("LONGITUDE"))).alias("decimals"),
     ).where("index_no is not null and lat is not null and lon is not null")
-    by = Window.partitionBy("index_no").orderBy(F.desc("line"))
-    return rows.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n", "line")
+    return rows.groupBy("index_no").agg(F.max_by(F.struct("lat", "lon", "decimals"), "_at").alias("_r")).select("index_no", "_r.*")
 
 
 def overrides(spark: SparkSession, path: str) -> DataFrame:

@@ -38,7 +38,7 @@ def test_held_out_accuracy_and_cases(spark):
 
 def test_backoff_takes_the_longest_known_order():
     tables = [{"tide": {"a": 3}}, {"t": {"a": 1, "b": 1}}, {"ti": {"a": 4}, "zz": {"b": 9}}, {"tid": {"b": 5}}, {}, {}]
-    model = lid.Model(["a", "b"], tables)
+    model = lid.Model(["a", "b"], [(list(t), np.array([[c.get("a", 0), c.get("b", 0)] for c in t.values()], float).reshape(-1, 2)) for t in tables])
     assert np.array_equal(model.word_score("tide"), model.scores[0][0])
     assert np.array_equal(model.word_score("xtid"), model.scores[3][0])
     assert np.array_equal(model.word_score("tizz"), model.scores[2][[0, 1]].mean(0))

@@ -31,7 +31,7 @@ from .chunk_encoder import slices
 from .shared import fold_of, fresh, read_table, smallest
 
 FOLDS = 5
-MAX_DOCS, MAX_CHARS, ORDERS, SMOOTH = 3_000, 100_000, 5, 0.5
+MAX_DOCS, MAX_CHARS, ORDERS, SMOOTH = 1_000, 50_000, 5, 0.5
 MAX_CACHED = 600_000
 UNKNOWN, LEAST_SCORE = "und", 0.5
 
@@ -87,17 +87,11 @@ def _count_grams(words: DataFrame) -> DataFrame:
 class Model:
     """Log frequencies of words (order 0) and n-grams by language."""
 
-    def __init__(self, langs: list[str], tables: list[dict[str, dict[str, int]]]):
-        self.langs, self.index, scores = langs, [], []
-        at = {x: i for i, x in enumerate(langs)}
-        for table in tables:
-            counts = np.zeros((len(table), len(langs)))
-            for i, by_lang in enumerate(table.values()):
-                for lang, n in by_lang.items():
-                    counts[i, at[lang]] = n
-            scores.append(np.log(counts + SMOOTH) - np.log(counts.sum(0) + SMOOTH * (len(table) + 1)))
-            self.index.append({x: i for i, x in enumerate(table)})
-        self.scores = scores
+    def __init__(self, langs: list[str], tables: list[tuple[list[str], np.ndarray]]):
+        """``tables``: for each order its items, and their counts with a column a language."""
+        self.langs = langs
+        self.index = [{x: i for i, x in enumerate(items)} for items, _ in tables]
+        self.scores = [np.log(counts + SMOOTH) - np.log(counts.sum(0) + SMOOTH * (len(items) + 1)) for items, counts in tables]
         self._clear()
 
     def _clear(self) -> None:
@@ -176,13 +170,18 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS) -> Model:
     """Learn from text and lang of ``docs``, whose rows the caller has chosen."""
     labelled = docs.where(F.col("lang").isNotNull() & (F.length("text") <= MAX_CHARS)).select("lang", "text")
     words = _count_words(smallest(labelled, ["lang", "text"], max_docs).select("lang", "text")).cache()
+    langs = sorted(r.lang for r in words.select("lang").distinct().collect())
     items = words.select("lang", F.lit(0).alias("order"), F.col("word").alias("item"), "n").unionByName(_count_grams(words))
-    by_item = items.groupBy("order", "item").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"))
-    tables: list[dict] = [{} for _ in range(ORDERS + 1)]
-    for order, item, by_lang in by_item.orderBy("order", "item").collect():
-        tables[order][item] = by_lang
+    counts = [F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, lang in enumerate(langs)]
+    found = items.groupBy("order", "item").agg(F.count("*").alias("langs"), *counts).orderBy("order", "item").toArrow()
     words.unpersist()
-    return Model(sorted({lang for t in tables for x in t.values() for lang in x}), tables)
+    tables, order = [], found.column("order").to_numpy()
+    for k in range(ORDERS + 1):
+        a, b = np.searchsorted(order, [k, k + 1])
+        own = found.slice(a, b - a)
+        matrix = [own.column(f"n{i}").to_numpy().astype(float) for i in range(len(langs))]
+        tables.append((own.column("item").to_pylist(), np.stack(matrix, 1) if langs else np.zeros((0, 0))))
+    return Model(langs, tables)
 
 
 def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

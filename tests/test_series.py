@@ -153,3 +153,19 @@ def test_text(spark):
     assert one(text.time_diff, "-0 22", "+1 36*", "0 00", "junk") == ["-00:22", "+01:36", "+00:00", None]
     assert one(text.decimals, "49.123", " 49 ", "1.2.3") == [3, 0, 3]
     assert one(text.upper_key, "Haro-Strait  (n)") == ["HARO STRAIT N"]
+
+
+def test_spread_lookups_are_the_plain_ones(spark):
+    """Whatever the width of a bucket: with gaps, equal instants, single events and stations without any."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(rng.choice("aaab"), rng.choice([rng.randrange(200), rng.randrange(1000, 1100)]), i, float(rng.randrange(-3, 4)), rng.random() < 0.2) for i in range(120)] + [("c", 7, 500, 1.0, False)]
+    e = spark.createDataFrame(rows, "station_id string, t_us long, ord long, v double, weak boolean")
+    q = spark.createDataFrame([(s, t, t % 5) for s in "abcd" for t in range(-20, 1150, 3)], "station_id string, t_us long, n long")
+    canon = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    want, seg = canon(segments.as_of(e, q)), canon(segments.segments(e))
+    for width in (5, 90, 10_000):
+        assert canon(segments.spread_segments(e, width).drop("bucket")) == seg
+        assert canon(segments.as_of_spread(e, q, width).select("station_id", "t_us", "n", *segments.SEGMENT)) == canon(segments.as_of(e, q).select("station_id", "t_us", "n", *segments.SEGMENT))
+    assert want

@@ -28,8 +28,8 @@ def as_of(events: DataFrame, instants: DataFrame, key: str = "station_id") -> Da
     """Columns of ``instants`` (key, t_us, any more) with the segment that holds each, or nulls outside the events.
 
     Segments and instants are sorted together by station and time, and the last segment before an instant is carried
-    forward: each side is shuffled once, by station, and the union keeps that partitioning. A station's events and instants are one sorted run of a task, which
-    spills; split the longest series by a period key first if one station holds most rows."""
+    forward: each side is shuffled once, by station, and the union keeps that partitioning. A station's events and instants
+    are one sorted run of a task, which spills; ``as_of_spread`` is the one for series where a station holds most rows."""
     seg = segments(events, key)
     extra = [c for c in instants.columns if c not in (key, "t_us")]
     left = seg.select(key, F.col("t1").alias("t_us"), F.lit(0).alias("_tag"), "ord", F.struct(*SEGMENT).alias("_seg"))
@@ -61,6 +61,41 @@ def as_of_bucketed(events: DataFrame, instants: DataFrame, bucket_us: int = BUCK
     return rows.select(*(F.col(f"q.{c}") for c in instants.columns), *SEGMENT)
 
 
+def spread_segments(events: DataFrame, bucket_us: int = BUCKET_US, key: str = "station_id") -> DataFrame:
+    """The same as ``segments`` with the ``bucket`` of t1: sorted within time buckets, so that a station that holds most
+    rows is many short runs. A bucket's last event takes the first one of the next bucket that has any; only one row a
+    station and bucket is sorted for that."""
+    rows = events.withColumn("bucket", F.floor(F.col("t_us") / bucket_us).cast("long"))
+    by = Window.partitionBy(key, "bucket").orderBy("t_us", "ord")
+    event = F.struct("t_us", "ord", "v", "weak")
+    own = rows.select(key, "bucket", F.col("t_us").alias("t1"), F.col("v").alias("v1"), F.col("weak").alias("w1"), "ord", F.lead(event).over(by).alias("_next"), F.lead("t_us", 2).over(by).isNull().alias("_end"))
+    along = Window.partitionBy(key).orderBy("bucket")
+    edges = rows.groupBy(key, "bucket").agg(F.min(event).alias("_first"), F.count("*").alias("_n"))
+    edges = edges.select(key, "bucket", F.lead("_first").over(along).alias("_after"), ((F.lead("_n").over(along) == 1) & F.lead("bucket", 2).over(along).isNull()).alias("_last"))
+    found = own.join(edges, [key, "bucket"]).withColumn("_to", F.coalesce("_next", "_after")).where("_to is not null")
+    is_last = F.when(F.col("_next").isNotNull(), F.col("_end") & F.col("_after").isNull()).otherwise(F.col("_last"))
+    return found.select(key, "t1", "v1", "w1", F.col("_to.t_us").alias("t2"), F.col("_to.v").alias("v2"), F.col("_to.weak").alias("w2"), is_last.alias("is_last"), "ord", "bucket")
+
+
+def as_of_spread(events: DataFrame, instants: DataFrame, bucket_us: int = BUCKET_US, key: str = "station_id") -> DataFrame:
+    """The same as ``as_of`` for series in which one station may hold most rows: everything is sorted by station and time
+    bucket. Instants before a bucket's first event take the last segment of an earlier bucket, which is carried along one
+    row a station and bucket. Costs one more shuffle of small rows than ``as_of``."""
+    seg = spread_segments(events, bucket_us, key)
+    extra = [c for c in instants.columns if c not in (key, "t_us")]
+    left = seg.select(key, "bucket", F.col("t1").alias("t_us"), F.lit(0).alias("_tag"), "ord", F.struct(*SEGMENT).alias("_seg"))
+    right = instants.select(key, F.floor(F.col("t_us") / bucket_us).cast("long").alias("bucket"), "t_us", F.lit(1).alias("_tag"), F.lit(None).cast("long").alias("ord"), F.struct(*extra, F.lit(True).alias("_")).alias("_extra"))
+    both = left.unionByName(right, allowMissingColumns=True)
+    by = Window.partitionBy(key, "bucket").orderBy("t_us", "_tag", "ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("_seg", F.last("_seg", ignorenulls=True).over(by)).where("_tag = 1")
+    ends = both.groupBy(key, "bucket").agg(F.max_by("_seg", F.when(F.col("_tag") == 0, F.struct("t_us", "ord"))).alias("_s"))
+    before = Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(key, "bucket", F.last("_s", ignorenulls=True).over(before).alias("_carried"))
+    found = found.join(carried, [key, "bucket"]).withColumn("_seg", F.coalesce("_seg", "_carried"))
+    inside = F.col("t_us") <= F.col("_seg.t2")
+    return found.select(key, "t_us", *(F.col(f"_extra.{c}") for c in extra), *(F.when(inside, F.col(f"_seg.{c}")).alias(c) for c in SEGMENT))
+
+
 def snapshot(events: DataFrame, instants: DataFrame, key: str = "station_id", limit: int = BROADCAST_INSTANTS) -> DataFrame:
     """Every station at every one of a few instants (t_us), in one scan of the segments; no row outside the events.
 

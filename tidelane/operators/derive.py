@@ -11,12 +11,15 @@ from .classify import MAX_EBB, MAX_FLOOD, TO_EBB, TO_FLOOD
 SUFFIXES = ("HARBOUR", "HARBOR", "INLET", "BAY")
 #: Names of references that their own tables spell otherwise (fixed values).
 CURRENT_ALIASES = {"JOHNSTONE STRAIT-CENTRAL": "JOHNSTONE STR. CEN."}
-BROADCAST_STATIONS = 200_000
+BROADCAST_STATIONS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_STATIONS) -> DataFrame:
-    """Hint a broadcast of a station table of at most ``limit`` rows; a larger one joins by shuffle."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    """Hint a broadcast of a station table of at most ``limit`` rows and ``BROADCAST_BYTES`` (by the width of its columns; 64
+    bytes a text); a larger one joins by shuffle. Counts up to that many rows."""
+    width = sum(64 if f.dataType.simpleString() == "string" else 16 for f in df.schema.fields)
+    most = min(limit, BROADCAST_BYTES // width)
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def suffix_alias(name: Column) -> Column:

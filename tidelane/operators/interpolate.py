@@ -81,15 +81,22 @@ def empty_curves(samples: DataFrame, value: str = "value", key: str = "station_i
     return samples.groupBy(key).agg((F.count(value) == 0).alias("empty"))
 
 
-def runs(points: DataFrame, value: str = "value", signed: bool = False, key: str = "station_id") -> DataFrame:
-    """Maximal runs of non-null values, or of one sign (zero and null break): start, end and length of each."""
+def runs(points: DataFrame, value: str = "value", signed: bool = False, key: str = "station_id", within: tuple[str, ...] = ()) -> DataFrame:
+    """Maximal runs of non-null values, or of one sign (zero and null break): start, end and length of each.
+
+    Where ``within`` names columns of a segment inside which a state never comes back, as on a curve between two extremes,
+    points are first gathered by segment and state, in place, and only those few rows are sorted by station."""
     state = F.when(F.col(value) > 0, 1).when(F.col(value) < 0, -1).otherwise(0) if signed else F.col(value).isNotNull().cast("int")
-    by = Window.partitionBy(key).orderBy("t_us")
     marked = points.withColumn("_state", F.coalesce(state, F.lit(0)))
+    if within:
+        short = marked.groupBy(key, *within, "_state").agg(F.min("t_us").alias("_a"), F.max("t_us").alias("_b"), F.count("*").alias("_n"))
+    else:
+        short = marked.select(key, "_state", F.col("t_us").alias("_a"), F.col("t_us").alias("_b"), F.lit(1).cast("long").alias("_n"))
+    by = Window.partitionBy(key).orderBy("_a")
     change = F.when(F.col("_state") == F.lag("_state").over(by), 0).otherwise(1)
-    marked = marked.withColumn("_change", change).withColumn("run", F.sum("_change").over(by))
-    kept = marked.where("_state <> 0").groupBy(key, "run", "_state")
-    return kept.agg(F.min("t_us").alias("start_us"), F.max("t_us").alias("end_us"), F.count("*").alias("points")).select(key, F.col("_state").alias("sign"), "start_us", "end_us", "points")
+    numbered = short.withColumn("_change", change).withColumn("run", F.sum("_change").over(by))
+    kept = numbered.where("_state <> 0").groupBy(key, "run", "_state")
+    return kept.agg(F.min("_a").alias("start_us"), F.max("_b").alias("end_us"), F.sum("_n").alias("points")).select(key, F.col("_state").alias("sign"), "start_us", "end_us", "points")
 
 
 def tide_axis(value: Column, low: Column, high: Column) -> Column:

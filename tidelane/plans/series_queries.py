@@ -122,7 +122,7 @@ RUN_SQL = """marked AS (SELECT *, CASE WHEN state = lag(state) OVER w THEN 0 ELS
 
 @query(f"WITH {GRID_SQL}, states AS (SELECT station_id, t_us, CASE WHEN {A.CURRENT_VALUE} > 0 THEN 1 WHEN {A.CURRENT_VALUE} < 0 THEN -1 ELSE 0 END AS state FROM pts), {RUN_SQL}")
 def sign_runs(spark, sf_dir):
-    return interpolate.runs(_grid(spark, sf_dir).withColumn("value", interpolate.current_value()), signed=True)
+    return interpolate.runs(_grid(spark, sf_dir).withColumn("value", interpolate.current_value()), signed=True, within=("t1", "ord"))
 
 
 @query(f"WITH {A.as_of_sql('cur')}, u AS (SELECT DISTINCT station_id, t_us, t1 FROM found), states AS (SELECT station_id, t_us, CASE WHEN t1 IS NULL THEN 0 ELSE 1 END AS state FROM u), {RUN_SQL}")

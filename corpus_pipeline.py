@@ -3,6 +3,13 @@
 Every stage takes what the one before has kept, and its decisions take effect: rejected documents go, lines and personal
 data are taken out of the texts, and one document of each near-duplicate group stays. Between stages the rows are
 written to the folder that all executors share, so a lost executor never repeats a stage.
+
+Defined cases, for every stage: an empty table gives no rows; columns beyond those of documents, whatever their names, pass
+through to the last stage and are ignored by it; ties go to the smaller doc_id. A null or empty text fails the quality rules
+and goes there (alone, the later stages take it as empty: no language, so it goes; one near-duplicate class; no personal
+data; an end id). A null source is a host of its own. Exact repeats of a row are kept by the first two stages and are one
+row after the third; rows that share a doc_id with different texts are separate documents. A null doc_id never trains a
+model, and such a document stays unless its near-duplicate group holds one with an id.
 """
 
 from __future__ import annotations

@@ -8,6 +8,7 @@ import duckdb
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidelane.llm import pii, quality_rules
@@ -84,3 +85,23 @@ def test_run_is_the_stages(spark, documents):
         docs = stage(spark, docs, documents)
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     assert sorted(map(tuple, corpus_pipeline.run(spark, documents).select(columns).collect())) == sorted(map(tuple, docs.select(columns).collect()))
+
+
+def test_empty_tables_and_columns_of_any_name(spark, documents):
+    """Every stage on no rows, on rows with columns that its own working names clash with, and on odd rows alone."""
+    docs = spark.read.parquet(f"{documents}/documents.parquet")
+    names = ["quality", "_host", "_row", "_language", "near_class", "row", "spans", "ids"]
+    wide = docs.select("*", *(F.lit(i).alias(n) for i, n in enumerate(names)))
+    odd = docs.where("doc_id in (5, 6)").unionByName(docs.where("doc_id = 6")).unionByName(docs.where("doc_id = 7").withColumn("doc_id", F.lit(6).cast("long")))
+    odd = odd.unionByName(docs.where("doc_id = 8").withColumn("doc_id", F.lit(None).cast("long"))).unionByName(docs.where("doc_id in (500, 501)"))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), documents).count() == 0
+        if name == "packing":
+            assert stage(spark, odd, documents).select("doc_id").distinct().count() == 5
+            continue
+        kept = stage(spark, wide, documents)
+        assert kept.columns == wide.columns
+        assert all(r[len(docs.columns) :] == tuple(range(len(names))) for r in map(tuple, kept.collect()))
+        found = [r.doc_id for r in stage(spark, odd, documents).collect()]
+        repeats = 2 if name == "near_duplicates" else 3  # of the rows with id 6: two alike and one unlike them
+        assert found.count(6) == repeats and found.count(None) == 1 and (name in ("near_duplicates", "personal_data") or not {500, 501} & set(found))

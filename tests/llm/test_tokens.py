@@ -114,6 +114,46 @@ def test_best_fill_is_the_best():
         assert sum(n * k for n, k in chosen.items()) == max(s for s in sums if s <= capacity)
 
 
+def fewest(items, capacity):
+    """Bins of the best packing, by trying every bin for every item."""
+    best = len(items)
+
+    def place(i, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if i == len(items):
+            best = len(bins)
+            return
+        for j in range(len(bins)):
+            if bins[j] + items[i] <= capacity:
+                place(i + 1, [*bins[:j], bins[j] + items[i], *bins[j + 1 :]])
+        place(i + 1, [*bins, items[i]])
+
+    place(0, [])
+    return best
+
+
+def test_windows_are_about_as_few_as_can_be():
+    rng, more = random.Random(4), 0
+    for _ in range(150):
+        items, capacity = [rng.randrange(1, 30) for _ in range(rng.randrange(1, 9))], rng.randrange(30, 60)
+        used, pieces = 0, []
+        for pattern, times in packing.patterns({x: items.count(x) for x in items}, capacity):
+            used += times
+            pieces += [n for n, k in pattern.items() for _ in range(k * times)]
+            assert sum(n * k for n, k in pattern.items()) <= capacity
+        assert sorted(pieces) == sorted(items) and used <= fewest(items, capacity) + 1
+        more += used > fewest(items, capacity)
+    assert more <= 3
+
+
+def test_little_padding_on_the_given_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(2)
+    got = packing.pack(docs, P.path("byte_bpe_50k.json")).toPandas()
+    assert got.sequence_id.nunique() <= 1.01 * got.length.sum() / packing.WINDOW + 2
+
+
 def test_packing_is_whole(frame):
     got = packing.pack(frame, P.path("byte_bpe_50k.json"), pool=50).toPandas()
     coder = ChunkEncoder(P.path("byte_bpe_50k.json"), True)

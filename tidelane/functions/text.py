@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FEET_PER_METRE = 3.28084
+# The patterns in this module follow the wording and layout of the sources' texts (fixed values).
 
 
 def station_name(name: Column) -> Column:

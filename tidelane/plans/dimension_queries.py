@@ -404,7 +404,7 @@ def override_provenance(spark, sf_dir):
     return coords.provenance(lines)
 
 
-@query("SELECT kind, list_sort(list(DISTINCT c_custkey % 7)) AS present FROM (SELECT *, CASE c_custkey % 4 WHEN 0 THEN 'tidal_secondary' WHEN 1 THEN 'current_secondary' WHEN 2 THEN 'noaa_tidal_primary' ELSE 'noaa_current_primary' END AS kind FROM customer) GROUP BY kind")
+@query("SELECT kind, array_to_string(list_sort(list(DISTINCT c_custkey % 7)), ',') AS present FROM (SELECT *, CASE c_custkey % 4 WHEN 0 THEN 'tidal_secondary' WHEN 1 THEN 'current_secondary' WHEN 2 THEN 'noaa_tidal_primary' ELSE 'noaa_current_primary' END AS kind FROM customer) GROUP BY kind")
 def publish_kinds(spark, sf_dir):
     """Stations of the kinds without a yearbook of their own, pruned; the fields left are as allowed, and hold their rows."""
     k, out = F.col("k"), None
@@ -414,4 +414,4 @@ def publish_kinds(spark, sf_dir):
         assert set(docs.columns) == set(publish.STATION_FIELDS[kind]) - {"days"}
         rows = docs.select(F.lit(kind).alias("kind"), F.explode(F.array_distinct(F.array(*docs.columns))).alias("n"))
         out = rows if out is None else out.unionByName(rows)
-    return out.groupBy("kind").agg(F.sort_array(F.collect_set("n")).alias("present"))
+    return out.groupBy("kind").agg(F.array_join(F.sort_array(F.collect_set("n")).cast("array<string>"), ",").alias("present"))

@@ -32,7 +32,7 @@ from .shared import fold_of, fresh, read_table, smallest
 
 FOLDS = 5
 MAX_DOCS, MAX_CHARS, ORDERS, SMOOTH = 1_000, 50_000, 5, 0.5
-MAX_CACHED = 600_000
+MAX_CACHED = 200_000
 UNKNOWN, LEAST_SCORE = "und", 0.5
 
 

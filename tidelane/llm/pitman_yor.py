@@ -79,7 +79,7 @@ def together(x: np.ndarray, first: np.ndarray | None) -> np.ndarray:
     return x if first is None else ((x >> 1) ^ -(x & 1)) + first
 
 
-_CODEC = pa.Codec("zstd", compression_level=4)
+_CODEC = pa.Codec("zstd", compression_level=7)
 _KINDS = [np.dtype(t) for t in (np.uint8, np.uint16, np.uint32, np.uint64, np.int64, np.float32, np.bool_)]
 
 

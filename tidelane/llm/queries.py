@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .byte_bpe import op8_byte_bpe
+from .fill_middle import OP12_SQL, op12_fill_middle
 from .html_text import op5_html_text
 from .language_id import op3_language_id
 from .nearest import op4_nearest
@@ -15,9 +16,9 @@ from .token_files import op7_token_files
 
 
 def queries() -> dict:
-    found = [op1_simhash, op2_quality_rules, op3_language_id, op4_nearest, op5_html_text, op6_packing, op7_token_files, op8_byte_bpe, op9_pii, op10_pitman_yor]
+    found = [op1_simhash, op2_quality_rules, op3_language_id, op4_nearest, op5_html_text, op6_packing, op7_token_files, op8_byte_bpe, op9_pii, op10_pitman_yor, op12_fill_middle]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2_SQL}
+    return {"op2_quality_rules": OP2_SQL, "op12_fill_middle": OP12_SQL}

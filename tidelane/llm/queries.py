@@ -13,12 +13,13 @@ from .pitman_yor import op10_pitman_yor
 from .quality_rules import OP2_SQL, op2_quality_rules
 from .simhash import op1_simhash
 from .token_files import op7_token_files
+from .vector_codes import OP11_SQL, op11_ball_codes
 
 
 def queries() -> dict:
-    found = [op1_simhash, op2_quality_rules, op3_language_id, op4_nearest, op5_html_text, op6_packing, op7_token_files, op8_byte_bpe, op9_pii, op10_pitman_yor, op12_fill_middle]
+    found = [op1_simhash, op2_quality_rules, op3_language_id, op4_nearest, op5_html_text, op6_packing, op7_token_files, op8_byte_bpe, op9_pii, op10_pitman_yor, op11_ball_codes, op12_fill_middle]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2_SQL, "op12_fill_middle": OP12_SQL}
+    return {"op2_quality_rules": OP2_SQL, "op11_ball_codes": OP11_SQL, "op12_fill_middle": OP12_SQL}

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tidelane.operators import catalog, coords, extract_lines, extract_words, normalise, profile, publish, segments
+from tidelane.operators import catalog, coords, extract_lines, extract_words, station_table, normalise, profile, publish, segments
 from tidelane.sources import readers, writers
 from tidelane.streaming import instants
 
@@ -161,7 +161,7 @@ def test_current_station_table(spark):
         + row(50, ("7245", 42), ("HARO", 72), ("STRAIT", 100), ("001", 182), ("48", 206), ("35", 222), ("123", 236), ("15", 254), ("+1", 280), ("25(a)", 295), ("+1", 320), ("35", 335), ("+2", 360), ("30", 375), ("+1", 410), ("40", 425), ("45", 515), ("45", 550))
         + row(60, ("(NORTH)", 72)) + row(70, ("LW", 300), ("HW", 380)) + row(80, ("PRINCESS", 72), ("INLET", 130)) + row(90, ("7863", 42), ("MALIBU", 72), ("+0", 280), ("35", 295), ("+0", 360), ("25", 375), ("9.0", 450))
     )
-    got = extract_words.current_station_table(spark.createDataFrame(words, "doc string, page int, text string, x0 double, top double")).orderBy("index_no").collect()
+    got = station_table.current_stations(spark.createDataFrame(words, "doc string, page int, text string, x0 double, top double")).orderBy("index_no").collect()
     assert [(r.index_no, r.name, r.role, r.reference_primary, r.geographic_zone, r.name_annotation, r.offsets_from_tides, r.has_footnote) for r in got] == [
         (7000, "RACE ROCKS", "reference", None, None, None, False, False),
         (7245, "HARO STRAIT", "secondary", "RACE ROCKS", "HARO ZONE", "(NORTH)", False, True),
@@ -192,3 +192,17 @@ def test_streams_give_the_batch_result(spark, tmp_path):
     rows.coalesce(1).write.parquet(str(tmp_path / "in2"))
     instants.run_available(instants.conflate(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in2"))), str(tmp_path / "out2"), str(tmp_path / "cp2"))
     assert [(r.key, r.value) for r in spark.read.parquet(str(tmp_path / "out2")).collect()] == [("k", 2)]
+
+
+def test_one_decimal_goes_by_the_exact_value(spark):
+    import random
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from tidelane.functions import text
+
+    rng = random.Random(2)
+    values = [0.0, -0.0, 0.05, 0.15, 0.25, 0.35, 0.45, 0.75, -0.25, -0.04, 1.005, 2.675, 2.0**47 + 0.25, 99.95, 1234567.85] + [rng.randrange(-4000, 4000) / 20 for _ in range(3000)] + [rng.uniform(-50, 50) for _ in range(500)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", text.one_decimal(F.col("v")).alias("t")).collect()
+    for v, t in rows:
+        size = Decimal(abs(v)).quantize(Decimal("0.1"), ROUND_HALF_UP)
+        assert t == f"{'-' if v < 0 else ''}{size}", v

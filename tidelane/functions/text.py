@@ -57,20 +57,35 @@ def feet(metres: Column) -> Column:
     return F.round(metres * FEET_PER_METRE, 1)
 
 
+def one_decimal(value: Column) -> Column:
+    """A number with one decimal, rounded by its exact value: to the nearer tenth, and away from zero from the middle.
+
+    Ten times a double is rounded itself, so a value that looks like a middle is held against it by exact parts: the double
+    is split into two halves of 26 digits, whose multiples are exact. Beyond 2**48 a double has no tenths to round."""
+    size = F.abs(value)
+    tenths = F.floor(size * 10 + 0.5)
+    high = size * 134217729.0 - (size * 134217729.0 - size)  # 2**27 + 1
+    above = (high * 20 - (2 * tenths - 1)) + (size - high) * 20  # 20 * size - (2 * tenths - 1): below zero, a tenth less
+    near = F.abs(size * 20 - (2 * tenths - 1)) < 1e-3
+    exact = F.when(near & (above < 0), tenths - 1).otherwise(tenths).cast("long")
+    text = F.concat(F.when(value < 0, "-").otherwise(""), F.floor(exact / 10).cast("string"), F.lit("."), (exact % 10).cast("string"))
+    return F.when(size < 2.0**48, text).otherwise(F.format_string("%.1f", value))
+
+
 def height_text(metres: Column, in_feet: bool = False) -> Column:
     """A height with one decimal and its unit."""
     value = metres * FEET_PER_METRE if in_feet else metres
-    return F.concat(F.format_string("%.1f", value), F.lit(" ft" if in_feet else " m"))
+    return F.concat(one_decimal(value), F.lit(" ft" if in_feet else " m"))
 
 
 def speed_text(knots: Column) -> Column:
     """A speed with its sign, one decimal and the unit."""
-    return F.concat(F.format_string("%.1f", knots), F.lit(" kt"))
+    return F.concat(one_decimal(knots), F.lit(" kt"))
 
 
 def speed_value(knots: Column) -> Column:
     """A speed without sign or unit, for a marker."""
-    return F.format_string("%.1f", F.abs(knots))
+    return one_decimal(F.abs(knots))
 
 
 def upper_key(name: Column) -> Column:

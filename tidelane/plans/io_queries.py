@@ -4,14 +4,12 @@ What they write goes to a folder of its own under ``spark.checkpoint.dir``."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import catalog, extract_lines, interpolate, segments
 from ..sources import readers, writers
+from ..sources.scratch import scratch_folder as folder
 from ..streaming import instants
 from . import adapters as A
 from . import dimension_queries as D
@@ -29,17 +27,6 @@ def query(sql: str):
     return add
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share; a session on one machine without such a place gets one of its own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="tidelane-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query(f"""SELECT CAST(c_custkey AS INTEGER) AS index_no, {R6('45 + (c_custkey % 400) / CAST(100 AS DOUBLE)')} AS lat, {R6('-(c_custkey % 90) - CAST(0.5 AS DOUBLE)')} AS lon, 1 AS decimals FROM customer WHERE c_custkey % 7 <> 6""")
 def inventory_file(spark, sf_dir):
     """An inventory written as CSV files and read back; every seventh row has no number that parses."""
@@ -148,14 +135,16 @@ def merged_tables(spark, sf_dir):
     return both.withColumn("mean", r6(F.col("mean")))
 
 
-@query(f"WITH {A.SERIES_SQL} SELECT station_id, {R6('55 - least(greatest(v, -greatest(hi, 0.5)), greatest(hi, 0.5)) / greatest(hi, 0.5) * 33')} AS y, printf('%.1f kt', v) AS speed, t_us FROM cur JOIN (SELECT station_id, max(abs(v)) / 2 AS hi FROM cur GROUP BY 1) USING (station_id) WHERE abs(abs(v) * 10 - floor(abs(v) * 10) - 0.5) > 0.000001")
-def current_chart(spark, sf_dir):
-    """Events on the axis of a current's chart, with their speeds as text (but for exact halves, which engines round apart)."""
-    from pyspark.sql import Window
+#: One decimal by exact value, middles (quarters of an odd number, which doubles hold exactly) away from zero.
+ONE_DECIMAL = "CASE WHEN v = 0 THEN '0.0' WHEN abs(v) * 4 % 2 = 1 THEN printf('%.1f', v + sign(v) * 0.01) ELSE printf('%.1f', v) END"
+
 
+@query(f"WITH {A.SERIES_SQL} SELECT station_id, {R6('55 - least(greatest(v, -greatest(hi, 0.5)), greatest(hi, 0.5)) / greatest(hi, 0.5) * 33')} AS y, {ONE_DECIMAL} || ' kt' AS speed, t_us FROM cur JOIN (SELECT station_id, max(abs(v)) / 2 AS hi FROM cur GROUP BY 1) USING (station_id)")
+def current_chart(spark, sf_dir):
+    """Events on the axis of a current's chart, with their speeds as text."""
     from ..functions.text import speed_text
 
-    tenth = F.abs(F.col("v")) * 10
-    rows = A.current_series(spark, sf_dir).withColumn("hi", F.max(F.abs("v")).over(Window.partitionBy("station_id")) / 2)
-    rows = rows.where(F.abs(tenth - F.floor(tenth) - 0.5) > 0.000001)
-    return rows.select("station_id", r6(interpolate.current_axis(F.col("v"), F.col("hi"))).alias("y"), speed_text(F.col("v")).alias("speed"), "t_us")
+    rows = A.current_series(spark, sf_dir)
+    most = rows.groupBy("station_id").agg((F.max(F.abs("v")) / 2).alias("hi"))
+    found = rows.join(most, "station_id")
+    return found.select("station_id", r6(interpolate.current_axis(F.col("v"), F.col("hi"))).alias("y"), speed_text(F.col("v")).alias("speed"), "t_us")

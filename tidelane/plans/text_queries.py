@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import has_footnote, time_diff
-from ..operators import extract_lines, extract_words
+from ..operators import extract_lines, extract_words, station_table
 from . import adapters as A
 
 Q, SQL = {}, {}
@@ -117,7 +117,7 @@ def table4_buckets(spark, sf_dir):
     k = F.col("k")
     words = F.array(*(F.struct(t.alias("text"), F.lit(float(x)).alias("x0")) for t, x in ((_s(k), 95), (F.lit("REACH"), 71), (F.lpad(_s(k % 10_000), 4, "0"), 41), (_s(k % 360), 207), (F.lpad(_s(k % 60), 2, "0"), 300), (F.lit("+1"), 280), (_s(k % 100), 599.5), (F.lit("gap"), 272), (F.lit("edge"), 600))))
     rows = _customers(spark, sf_dir).select(F.lit("vol").alias("doc"), F.floor(k / 40).cast("int").alias("page"), (k % 40 * 12 + 0.4).alias("top"), F.explode(words).alias("w")).select("doc", "page", "top", "w.*")
-    return extract_words.table4_buckets(rows).select("page", "row_top", "cell", "text")
+    return station_table.cells(rows).select("page", "row_top", "cell", "text")
 
 
 STARTS = (20.0, 120.0, 220.0, 320.0, 420.0, 520.0)

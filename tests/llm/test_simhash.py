@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -95,3 +96,62 @@ def test_documents(spark):
     want = sorted((d or 0, f"{plain_fingerprint(t):016x}", {1: 1, 2: 2, 3: 2, 5: 1, 4: 4, 9: 4, None: None}[d]) for d, t in rows)
     assert got == want
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def templated(rng, pages: int, centres: int, moving: int):
+    """Prints of pages from a few templates: all of a template's agree but in some of its ``moving`` bits."""
+    found = []
+    for base in rng.integers(0, 2**63, centres, dtype=np.uint64):
+        x = np.full(pages, base)
+        for _ in range(6):
+            x = x ^ (np.uint64(1) << rng.integers(0, moving, pages, dtype=np.uint64))
+        found.append(x)
+    return np.unique(np.concatenate(found))
+
+
+@pytest.mark.parametrize("moving", [14, 40])
+def test_blocks_join_what_brute_force_joins(monkeypatch, moving):
+    monkeypatch.setattr(simhash, "TREE", 30)
+    rng = np.random.default_rng(moving)
+    fps = templated(rng, 300, 3, moving)
+    groups = simhash.Groups(np.arange(len(fps)))
+    simhash.link(fps, np.arange(len(fps)), 3, groups, rng)
+    label, want = [groups.find(i) for i in range(len(fps))], brute(fps.tolist())
+    assert [label.index(x) for x in label] == [want.index(x) for x in want]
+
+
+def test_a_hot_quarter_value_is_dealt_again(spark):
+    """All prints share one quarter; a part of them shares 40 bits."""
+    rng = np.random.default_rng(12)
+    fps = rng.integers(0, 2**48, 1500, dtype=np.uint64) << np.uint64(16)
+    near = fps[:400].copy()
+    for _ in range(3):
+        near ^= np.uint64(1) << rng.integers(16, 64, 400, dtype=np.uint64)
+    fps = np.unique(np.concatenate((fps, near, templated(rng, 300, 2, 16) & ~np.uint64(0xFFFF), fps[400:500] ^ np.uint64(5)))).tolist()
+    want = brute(fps)
+    rows = [int(np.uint64(f).astype(np.int64)) for f in fps]
+    classes = spark.createDataFrame([(x,) for x in rows], "fp long").repartition(3)
+    assert simhash.hot_quarters(classes, 200)[0][0] > 1500
+    got = {r.node: r.component for r in connected_components(simhash.stars(classes, 3, 40, 0)).collect()}
+    label = [got.get(x, x) for x in rows]
+    assert [label.index(x) for x in label] == [want.index(x) for x in want]
+
+
+def test_a_million_prints_of_one_quarter_value():
+    rng = np.random.default_rng(4)
+    fps = np.unique(rng.integers(0, 2**48, 1_000_000, dtype=np.uint64) << np.uint64(16))
+    first = fps[::1000].copy()
+    near = first.copy()
+    for _ in range(3):
+        near ^= np.uint64(1) << rng.integers(16, 64, len(near), dtype=np.uint64)
+    fps = np.unique(np.concatenate((fps, near)))
+    groups, start = simhash.Groups(np.arange(len(fps))), time.time()
+    simhash.link(fps, np.arange(len(fps)), 3, groups, rng, np.arange(16, 64))
+    assert time.time() - start < 60
+    place = {x: i for i, x in enumerate(fps.tolist())}
+    for x, y in zip(first.tolist(), near.tolist()):
+        assert groups.find(place[x]) == groups.find(place[y])
+    sample = fps[::50_000]
+    for x in sample:
+        for i in np.flatnonzero(np.bitwise_count(fps ^ x) <= 3):
+            assert groups.find(int(i)) == groups.find(place[int(x)])

@@ -2,6 +2,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tidelane.llm import near_copies
 
 
@@ -91,5 +93,5 @@ def test_trees_give_candidates_too(spark):
     rng = random.Random(3)
     t = words(rng, 400)
     docs = spark.createDataFrame([(1, " ".join(t)), (2, " ".join(t[:-1])), (3, " ".join(words(rng, 400)))], "doc_id long, text string")
-    classes = near_copies.with_classes(docs).select("near_class", "near_fp")
+    classes = near_copies.with_classes(docs).select(F.col("near_id").alias("near_class"), "near_fp")
     assert near_copies._close_fingerprints(classes).count() == 1

@@ -7,7 +7,7 @@ point cuts the space, so the rest share one of ``BANDS`` bands of ``ROWS`` minha
 probability 1 - (1 - s**ROWS)**BANDS, which is 0.99997 at 0.8. Nothing is linked as a candidate alone: every link is
 confirmed on the sets. Texts of equal sets are one class. Each class is first held against the smallest one of its bucket,
 in joins that adaptive execution can split. Buckets that are not one component then are compared whole, in pairs of chunks
-where they are large.
+where they are large. A class is told by 128 bits of its set, and goes by the number of its first row.
 
 Scale: classes, bands and candidate pairs are shuffled tables; sets are made for classes with a candidate only. Texts are
 written once with a number for each row, and the rows that stay are picked by number: by a broadcast of the numbers up to
@@ -61,8 +61,8 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 
 
 def with_classes(docs: DataFrame) -> DataFrame:
-    """``row`` (all columns of ``docs``) with near_id (one a row), near_row (equal for equal rows), near_class (equal for equal
-    sets), near_fp (fingerprint of the set) and near_bands."""
+    """``row`` (all columns of ``docs``) with near_id (one a row), near_row (equal for equal rows), near_hash (128 bits, equal for
+    equal sets), near_fp (fingerprint of the set) and near_bands."""
     import xxhash
 
     rows = docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("near_id"), F.xxhash64(*docs.columns).alias("near_row"))
@@ -70,17 +70,17 @@ def with_classes(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             own = [shingles(t) for t in batch.column(0).field("text").to_pylist()]
-            classes = pa.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) - 2**63 for x in own], pa.int64())
+            hashes = pa.array([xxhash.xxh3_128_digest(x.tobytes(), SEED) for x in own], pa.binary())
             fps = pa.array(np.array([majority(x) if len(x) else 0 for x in own], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns, classes, fps, pa.array([bands(x) for x in own], pa.list_(pa.int64()))], names=[*batch.schema.names, "near_class", "near_fp", "near_bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, hashes, fps, pa.array([bands(x) for x in own], pa.list_(pa.int64()))], names=[*batch.schema.names, "near_hash", "near_fp", "near_bands"])
 
-    more = [T.StructField("near_class", T.LongType()), T.StructField("near_fp", T.LongType()), T.StructField("near_bands", T.ArrayType(T.LongType()))]
+    more = [T.StructField("near_hash", T.BinaryType()), T.StructField("near_fp", T.LongType()), T.StructField("near_bands", T.ArrayType(T.LongType()))]
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *more]))
 
 
 def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """near_class and its set, of the one text of each class that ``wanted`` (near_id) names."""
-    texts = rows.select("near_class", "near_id", F.col("row.text").alias("text")).join(wanted, "near_id", "left_semi").select("near_class", "text")
+    """near_class and its set, of the one text of each class that ``wanted`` (near_class, a row's near_id) names."""
+    texts = rows.select(F.col("near_id").alias("near_class"), F.col("row.text").alias("text")).join(wanted, "near_class", "left_semi")
 
     def run(batches):
         for batch in batches:
@@ -136,7 +136,7 @@ def links(rows: DataFrame, classes: DataFrame, similarity: float = SIMILARITY, c
     pairs = members.where("near_class <> rep").select(F.col("rep").alias("a"), F.col("near_class").alias("b"))
     pairs = written(pairs.unionByName(_close_fingerprints(classes)).distinct(), "near-candidates")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("near_class")).distinct()
-    sets = written(_sets(rows, classes.join(ends, "near_class", "left_semi").select("near_id")), "near-sets")
+    sets = written(_sets(rows, classes.join(ends, "near_class", "left_semi").select("near_class")), "near-sets")
     edges = written(_confirmed(pairs, sets, similarity), "near-links")
     label = connected_components(edges).select(F.col("node").alias("near_class"), "component")
     own = members.where("n > 2").join(label, "near_class", "left").select("key", "n", "near_class", F.coalesce("component", "near_class").alias("label"))
@@ -158,8 +158,8 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The row with the smallest doc_id of each group, then by a hash of the row."""
     rows = written(with_classes(docs), "near-rows")
     key = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("doc_id"), "near_row", "near_id").alias("f")
-    first = rows.select("near_class", "near_fp", "near_bands", key).groupBy("near_class")
-    classes = written(first.agg(F.min("f").alias("f"), F.first("near_bands").alias("near_bands"), F.first("near_fp").alias("near_fp")).select("near_class", "near_fp", "f", F.col("f.near_id").alias("near_id"), "near_bands"), "near-classes")
+    first = rows.select("near_hash", "near_fp", "near_bands", key).groupBy("near_hash")
+    classes = written(first.agg(F.min("f").alias("f"), F.first("near_bands").alias("near_bands"), F.first("near_fp").alias("near_fp")).select(F.col("f.near_id").alias("near_class"), "near_fp", "f", "near_bands"), "near-classes")
     joined = classes.select("near_class", "f").join(links(rows, classes, similarity), "near_class", "left").withColumn("component", F.coalesce("component", "near_class"))
     chosen = written(joined.groupBy("component").agg(F.min("f").alias("f")).select("f.near_id"), "near-chosen")
     if chosen.count() <= BROADCAST_ROWS:

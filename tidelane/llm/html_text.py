@@ -11,7 +11,9 @@ headers, forms and the like. In a part of the training pages the features that n
 that pages without such marks are read by text, links and neighbours. Extraction reads every whole page where it lies.
 
 Defined cases: null html is empty and gives empty text; a page without a main block gives empty text; markup that is
-never closed ends with the page, or is text where it has no end at all; repeated rows get equal results; other columns are ignored; an empty table gives no
+never closed ends with the page, or is text where it has no end at all; with more than ``DEEPEST`` elements open a new ``li``,
+``p`` or the like closes only one among the inmost of them, which changes features, never texts; a header inside an article
+is a header, its heading too; repeated rows get equal results; other columns are ignored; an empty table gives no
 rows; with no labelled page in the sample a block is main text if it is inside no menu or the like.
 """
 
@@ -53,12 +55,21 @@ NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
 INSIDE = re.compile(r"(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+")
 CLOSING = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 DEEPEST = 512  # open elements looked through for one that a new element closes
+CACHED_CHARS = 300
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|style)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 
 
-@lru_cache(20_000)
 def element(tag: str, attributes: str) -> tuple[str, ...]:
-    """Feature names that an element gives to the blocks inside it."""
+    """Feature names that an element gives to the blocks inside it; short attributes are looked at once."""
+    return _short_element(tag, attributes) if len(attributes) <= CACHED_CHARS else _element(tag, attributes)
+
+
+@lru_cache(20_000)
+def _short_element(tag: str, attributes: str) -> tuple[str, ...]:
+    return _element(tag, attributes)
+
+
+def _element(tag: str, attributes: str) -> tuple[str, ...]:
     out = set() if tag in GENERIC else {f"in={tag}"}
     if tag in NOT_MAIN:
         out.add("group=other")

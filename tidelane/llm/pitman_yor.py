@@ -27,15 +27,15 @@ has the unknown's probability 1.
 
 from __future__ import annotations
 
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch_folder
 from .seating import draw_tables
-from .shared import fold_of, read_table, scratch_root, written
+from .shared import fold_of, read_table, written
 
 FOLDS, SWEEPS, BURN_IN, GROUPS, STRENGTH = 10, 4, 1, 4, 1.0
 BLOCK_TOKENS, PART_BYTES, SPLIT, ENDINGS = 1_500_000, 12 << 20, 1_000_000, 256
@@ -624,7 +624,7 @@ def score(docs: DataFrame, folds: int = FOLDS, sweeps: int = SWEEPS, burn_in: in
     parts = max(4, -(-size // part_bytes))
 
     def kept(frame: DataFrame, name: str) -> DataFrame:
-        path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+        path = scratch_folder(spark, name)
         frame.write.partitionBy("kind").parquet(path)
         return spark.read.schema("part int, source long, payload binary, kind string").parquet(path).select("part", "kind", "source", "payload")
 
@@ -637,7 +637,7 @@ def score(docs: DataFrame, folds: int = FOLDS, sweeps: int = SWEEPS, burn_in: in
             every = every.unionByName(f)
         return every.groupBy("part").applyInArrow(step, ROWS)
 
-    path = f"{scratch_root(spark)}/token-blocks-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "token-blocks")
     blocks(rows, parts, block_tokens).withColumn("documents", F.col("part") < 0).write.partitionBy("documents").parquet(path)
     made = spark.read.schema("block long, part int, payload binary, documents boolean").parquet(path)
     texts = made.where("documents").select("block", "payload")

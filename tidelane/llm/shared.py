@@ -2,23 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` of the session. Where it is unset, a session on one
-    machine gets a folder of its own; on a cluster that is an error, since no local folder is seen by every executor."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="tidelane-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+from ..sources.scratch import scratch_folder
 
 
 def smallest(rows: DataFrame, content: list[str], size: int) -> DataFrame:
@@ -45,7 +32,7 @@ def fresh(columns: list[str], name: str) -> str:
 
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the table read back: lineage ends there, and a lost executor loses nothing."""
-    path = f"{scratch_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_folder(df.sparkSession, name)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -16,7 +16,6 @@ hash; null doc_ids come first; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 
 import numpy as np
@@ -24,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch_folder
 from .chunk_encoder import encoder, slices
-from .shared import read_table, scratch_root
+from .shared import read_table
 
 END_ID = 1
 SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
@@ -98,6 +98,6 @@ def ids_crc32(rows: DataFrame) -> DataFrame:
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path = f"{scratch_root(spark)}/token-files-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "token-files")
     write_token_files(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
     return ids_crc32(read_token_files(spark, path))

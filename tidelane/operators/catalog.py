@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_m
-from .derive import broadcast_if_small
+from . import keywords
 from .normalise import first_per
 
 BOX = (45.5, 49.0, -125.0, -121.5)
@@ -35,11 +35,8 @@ def one_per_id(catalog: DataFrame, last: bool) -> DataFrame:
 
 def keyword_match(catalog: DataFrame, rules: DataFrame) -> DataFrame:
     """Each label's stations: of every group of keywords at least one is in the lower-case name. Labels without a match
-    have a null id. Rules (label, groups array<array<string>>) are a written list; names are matched once each."""
-    names = catalog.select("name").distinct().withColumn("_low", F.lower("name"))
-    fits = F.forall("groups", lambda g: F.exists(g, lambda k: F.contains(F.col("_low"), k)))
-    pairs = names.join(broadcast_if_small(rules), fits).select("label", "name")
-    found = catalog.join(pairs, "name")
+    have a null id. Names are matched once each (``keywords.matches``)."""
+    found = catalog.join(keywords.matches(catalog.select("name"), rules), "name")
     return rules.select("label").join(found, "label", "left")
 
 

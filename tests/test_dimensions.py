@@ -102,8 +102,6 @@ def test_coordinates(spark):
     got = {r.index_no: (r.coord_source, r.lat, r.flagged) for r in coords.resolve(s, inv, over).collect()}
     assert got == {1: ("csv", 48.001, False), 2: ("kept", 48.0, False), 3: ("override", 50.0, False), 4: ("kept", 48.0, True), 5: ("verified", 48.0, False), None: ("kept", 48.0, False), 6: ("kept", None, False)}
     assert coords.suppress(s, spark.createDataFrame([(1,)], "index_no int")).count() == 6
-    lines = spark.createDataFrame([("f", i, t) for i, t in enumerate(['"_manual": "x",', '  "12": null,', '"_seeded": "y",', '  "13": [1, 2]'])] + [("g", 9, '"14": null')], "file string, line int, text string")
-    assert sorted(tuple(r) for r in coords.provenance(lines).collect()) == [("f", 12, "manual"), ("f", 13, "seeded"), ("g", 14, None)]
     up = spark.createDataFrame([("12", 1.0, 2.0), ("12a", 1.0, 2.0), ("13", None, 2.0)], "code string, lat double, lon double")
     assert [r.index_no for r in coords.upstream_stations(up).collect()] == [12]
 

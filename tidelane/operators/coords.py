@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_m
 from .derive import broadcast_if_small
+from .override_file import SEEDED
 
 MIN_DECIMALS, NEAR_M, GROSS_M = 3, 2000.0, 5000.0
 
@@ -52,14 +53,16 @@ def outcome_counts(resolved: DataFrame, before: DataFrame) -> DataFrame:
 def sync(roster: DataFrame, upstream: DataFrame, current: DataFrame) -> DataFrame:
     """What a re-seeding does to every station or seeded override: index_no, action, and the value it has then.
 
-    ``current`` has index_no, lat, lon and block (manual or seeded). One row a number, however many kinds list it."""
+    ``current`` has index_no, lat, lon and block, as ``override_file.provenance`` gives them: those seeded from the upstream
+    listing (``SEEDED``) follow it, all others stay as they are. One row a number, however many kinds list it."""
     own = roster.where("index_no is not null and lat is not null and lon is not null").select("index_no").distinct().withColumn("_r", F.lit(True))
     up = upstream.select("index_no", F.round("lat", 6).alias("_ulat"), F.round("lon", 6).alias("_ulon"), F.lit(True).alias("_u"))
     rows = own.join(current, "index_no", "full_outer").join(up, "index_no", "left")
-    seeded, same = F.col("block") == "seeded", (F.col("lat") == F.col("_ulat")) & (F.col("lon") == F.col("_ulon"))
+    seeded, by_hand = F.col("block") == SEEDED, F.col("block").isNotNull() & (F.col("block") != SEEDED)
+    same = (F.col("lat") == F.col("_ulat")) & (F.col("lon") == F.col("_ulon"))
     action = (
         F.when(F.col("_r").isNull(), F.when(seeded, "removed_no_station"))
-        .when(F.col("block") == "manual", "skipped_manual")
+        .when(by_hand, "skipped_manual")
         .when(F.col("_u").isNull(), F.when(seeded, "removed_no_source").otherwise("no_action"))
         .when(seeded, F.when(same, "no_change").otherwise("refreshed")).otherwise("added")
     )
@@ -72,12 +75,3 @@ def sync(roster: DataFrame, upstream: DataFrame, current: DataFrame) -> DataFram
 def upstream_stations(listing: DataFrame) -> DataFrame:
     """Numeric codes with coordinates."""
     return listing.where(F.col("code").rlike(r"^\d+$") & F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(F.col("code").cast("int").alias("index_no"), "lat", "lon")
-
-
-def provenance(lines: DataFrame) -> DataFrame:
-    """Block of each override key of a text: the last section heading above it (columns file, line, text)."""
-    heading = F.regexp_extract("text", r'"_([a-z_]+)"\s*:\s*"', 1)
-    key = F.regexp_extract("text", r'^\s*"(\d+)"\s*:', 1)
-    by = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = lines.withColumn("block", F.last(F.nullif(heading, F.lit("")), ignorenulls=True).over(by))
-    return rows.withColumn("index_no", F.nullif(key, F.lit("")).cast("int")).where("index_no is not null").select("file", "index_no", "block")

@@ -97,15 +97,15 @@ def coord_summary_rollup(spark, sf_dir):
 
 
 @query("""WITH roster AS (SELECT DISTINCT c_custkey AS n FROM customer WHERE c_custkey % 6 <> 5), up AS (SELECT c_custkey AS n, round(45 + (c_custkey % 400) / CAST(100 AS DOUBLE), 6) AS ulat, round(-125 + (c_custkey * 7 % 350) / CAST(100 AS DOUBLE), 6) AS ulon FROM customer WHERE c_custkey % 7 <> 6),
-  cur AS (SELECT c_custkey AS n, 45 + (c_custkey % 400) / CAST(100 AS DOUBLE) + CASE WHEN c_custkey % 4 = 1 THEN CAST(0.25 AS DOUBLE) ELSE 0 END AS lat, -125 + (c_custkey * 7 % 350) / CAST(100 AS DOUBLE) AS lon, CASE WHEN c_custkey % 5 = 0 THEN 'manual' ELSE 'seeded' END AS block FROM customer WHERE c_custkey % 3 <> 0),
+  cur AS (SELECT c_custkey AS n, 45 + (c_custkey % 400) / CAST(100 AS DOUBLE) + CASE WHEN c_custkey % 4 = 1 THEN CAST(0.25 AS DOUBLE) ELSE 0 END AS lat, -125 + (c_custkey * 7 % 350) / CAST(100 AS DOUBLE) AS lon, CASE WHEN c_custkey % 5 = 0 THEN 'manual' WHEN c_custkey % 5 = 1 THEN 'us' ELSE 'iwls' END AS block FROM customer WHERE c_custkey % 3 <> 0),
   j AS (SELECT coalesce(roster.n, cur.n) AS n, roster.n AS r, block, round(lat, 6) AS lat, round(lon, 6) AS lon, up.n AS u, ulat, ulon FROM roster FULL JOIN cur ON roster.n = cur.n LEFT JOIN up ON up.n = coalesce(roster.n, cur.n)),
-  a AS (SELECT *, CASE WHEN r IS NULL THEN CASE WHEN block = 'seeded' THEN 'removed_no_station' END WHEN block = 'manual' THEN 'skipped_manual' WHEN u IS NULL THEN CASE WHEN block = 'seeded' THEN 'removed_no_source' ELSE 'no_action' END
-    WHEN block = 'seeded' THEN CASE WHEN lat = ulat AND lon = ulon THEN 'no_change' ELSE 'refreshed' END ELSE 'added' END AS action FROM j)
+  a AS (SELECT *, CASE WHEN r IS NULL THEN CASE WHEN block = 'iwls' THEN 'removed_no_station' END WHEN block IN ('manual', 'us') THEN 'skipped_manual' WHEN u IS NULL THEN CASE WHEN block = 'iwls' THEN 'removed_no_source' ELSE 'no_action' END
+    WHEN block = 'iwls' THEN CASE WHEN lat = ulat AND lon = ulon THEN 'no_change' ELSE 'refreshed' END ELSE 'added' END AS action FROM j)
   SELECT CAST(n AS INTEGER) AS index_no, action, CASE WHEN action IN ('added', 'refreshed') THEN ulat WHEN action IN ('no_change', 'skipped_manual') THEN lat END AS lat, CASE WHEN action IN ('added', 'refreshed') THEN ulon WHEN action IN ('no_change', 'skipped_manual') THEN lon END AS lon FROM a WHERE action IS NOT NULL""")
 def override_sync(spark, sf_dir):
     k = F.col("k")
     c = _customer(spark, sf_dir).select(k, k.cast("int").alias("index_no"), (45 + k % 400 / 100).alias("lat"), (-125 + k * 7 % 350 / 100).alias("lon"))
-    current = c.where(k % 3 != 0).select("index_no", F.round(F.col("lat") + F.when(k % 4 == 1, 0.25).otherwise(0.0), 6).alias("lat"), F.round("lon", 6).alias("lon"), F.when(k % 5 == 0, "manual").otherwise("seeded").alias("block"))
+    current = c.where(k % 3 != 0).select("index_no", F.round(F.col("lat") + F.when(k % 4 == 1, 0.25).otherwise(0.0), 6).alias("lat"), F.round("lon", 6).alias("lon"), F.when(k % 5 == 0, "manual").when(k % 5 == 1, "us").otherwise("iwls").alias("block"))
     return coords.sync(c.where(k % 6 != 5), c.where(k % 7 != 6), current)
 
 
@@ -394,16 +394,6 @@ def upstream_stations(spark, sf_dir):
     return coords.upstream_stations(listing).select("index_no", r6(F.col("lat")).alias("lat"), r6(F.col("lon")).alias("lon"))
 
 
-@query("SELECT 'file' || (c_custkey // 100) AS file, CAST(c_custkey AS INTEGER) AS index_no, CASE WHEN c_custkey % 100 < 20 THEN NULL WHEN c_custkey % 100 < 60 THEN 'seeded' ELSE 'manual' END AS block FROM customer")
-def override_provenance(spark, sf_dir):
-    """Files of a hundred keys, with headings above the 20th and the 60th."""
-    k = F.col("k")
-    head = F.when(k % 100 == 20, '  "_seeded": "from the listing",').when(k % 100 == 60, '  "_manual": "by hand",')
-    rows = _customer(spark, sf_dir).select(F.concat(F.lit("file"), F.floor(k / 100).cast("string")).alias("file"), k, F.posexplode(F.array(head, F.concat(F.lit('  "'), k.cast("string"), F.lit('": [1, 2],')))).alias("i", "text"))
-    lines = rows.where("text is not null").select("file", (F.col("k") * 2 + F.col("i")).alias("line"), "text")
-    return coords.provenance(lines)
-
-
 @query("SELECT kind, array_to_string(list_sort(list(DISTINCT c_custkey % 7)), ',') AS present FROM (SELECT *, CASE c_custkey % 4 WHEN 0 THEN 'tidal_secondary' WHEN 1 THEN 'current_secondary' WHEN 2 THEN 'noaa_tidal_primary' ELSE 'noaa_current_primary' END AS kind FROM customer) GROUP BY kind")
 def publish_kinds(spark, sf_dir):
     """Stations of the kinds without a yearbook of their own, pruned; the fields left are as allowed, and hold their rows."""

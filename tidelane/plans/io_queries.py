@@ -69,6 +69,26 @@ def streamed_states(spark, sf_dir):
     return spark.read.schema("station_id string, t_us long, value double, state string").parquet(f"{path}/out").select("station_id", "t_us", r6(F.col("value")).alias("value"), "state")
 
 
+TICKS_SQL = f"""{A.SERIES_SQL}, {A.segments_sql('cur')},
+  q AS (SELECT station_id, t_us FROM (SELECT DISTINCT station_id FROM cur), (SELECT DISTINCT epoch_us(date_trunc('day', ts)) + 43200000000 AS t_us FROM events)),
+  found AS (SELECT q.station_id, q.t_us, t1, v1, t2, v2 FROM q ASOF JOIN seg ON q.station_id = seg.station_id AND q.t_us >= seg.t1 WHERE q.t_us < t2 OR is_last AND q.t_us = t2),
+  st AS (SELECT *, {A.CURRENT_VALUE} AS value, {A.CURRENT_STATE} AS state FROM found),
+  ch AS (SELECT *, lag(state) OVER (PARTITION BY station_id ORDER BY t_us) AS before FROM st)"""
+
+
+@query(f"""WITH {TICKS_SQL} SELECT station_id, t_us, 'change' AS kind, state, {R6('value')} AS value FROM ch WHERE before IS NULL OR before <> state
+  UNION ALL SELECT station_id, t2, 'extreme', {A.CURRENT_STATE.replace('t_us', 't2')}, {R6(A.CURRENT_VALUE.replace('t_us', 't2'))} FROM (SELECT DISTINCT station_id, t1, v1, t2, v2 FROM st) WHERE t2 <= (SELECT max(t_us) FROM q)""")
+def tick_changes(spark, sf_dir):
+    """The changes of all stations at a tick each noon, and the extremes that event time has passed, from a stream with state."""
+    from ..streaming import ticks
+
+    series, path = A.current_series(spark, sf_dir), folder(spark, "ticks")
+    at = A.table(spark, sf_dir, "events").select((F.unix_micros(F.date_trunc("day", F.col("ts").cast("timestamp"))) + 43_200_000_000).alias("t_us")).distinct()
+    at.write.parquet(f"{path}/in")
+    ticks.run_available(spark.readStream.schema("t_us long").parquet(f"{path}/in"), segments.bucketed_segments(series), f"{path}/out", f"{path}/checkpoint")
+    return spark.read.schema("station_id string, t_us long, kind string, state string, value double").parquet(f"{path}/out").withColumn("value", r6(F.col("value")))
+
+
 @query("""WITH lim AS (SELECT max(ts) - INTERVAL 5 MINUTE AS late FROM events), w AS (SELECT user_id, date_trunc('hour', ts) AS start, arg_max(value, ts) AS value, max(ts) AS ts FROM events GROUP BY 1, 2)
   SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(start) AS start_us, value, epoch_us(ts) AS ts_us FROM w, lim WHERE start + INTERVAL 1 HOUR <= late""")
 def conflated_events(spark, sf_dir):

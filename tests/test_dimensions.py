@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelane.operators import catalog, coords, extract_lines, extract_words, station_table, normalise, profile, publish, segments
-from tidelane.sources import readers, writers
+from tidelane.sources import publication, readers, writers
 from tidelane.streaming import instants
 
 DAY = "month int, day int, readings array<struct<time:string,metres:double>>"
@@ -40,17 +40,17 @@ def test_readers(spark, tmp_path):
 def test_publish_is_idempotent(spark, tmp_path):
     df = spark.createDataFrame([(2025, "a", 1, "x"), (2025, "b", 2, "y"), (2026, "a", 3, "z")], "year int, kind string, n int, s string")
     path = str(tmp_path / "out")
-    first = {tuple(r) for r in writers.publish(df, path).collect()}
+    first = {tuple(r) for r in publication.publish(df, path).collect()}
     stamp = sorted(p.stat().st_mtime_ns for p in (tmp_path / "out/data").rglob("*.parquet"))
-    assert {tuple(r) for r in writers.publish(df.repartition(3), path).collect()} == first
+    assert {tuple(r) for r in publication.publish(df.repartition(3), path).collect()} == first
     assert sorted(p.stat().st_mtime_ns for p in (tmp_path / "out/data").rglob("*.parquet")) == stamp
-    changed = {tuple(r) for r in writers.publish(df.withColumn("s", F.when(F.col("n") == 3, "w").otherwise(F.col("s"))), path).collect()}
+    changed = {tuple(r) for r in publication.publish(df.withColumn("s", F.when(F.col("n") == 3, "w").otherwise(F.col("s"))), path, grace_s=0).collect()}
     assert len(first & changed) == 2 and spark.read.parquet(f"{path}/data").count() == 3
-    assert sorted(map(tuple, writers.read_published(spark, path).select("year", "kind", "n", "s").collect())) == [(2025, "a", 1, "x"), (2025, "b", 2, "y"), (2026, "a", 3, "w")]
-    assert {tuple(r) for r in writers.publish(df.where("n = 1"), path).collect()} == changed
-    assert {r.kind for r in writers.publish(df.where("n = 1"), path, whole=True).collect()} == {"a"} and spark.read.parquet(f"{path}/data").count() == 1
+    assert sorted(map(tuple, publication.read_published(spark, path).select("year", "kind", "n", "s").collect())) == [(2025, "a", 1, "x"), (2025, "b", 2, "y"), (2026, "a", 3, "w")]
+    assert {tuple(r) for r in publication.publish(df.where("n = 1"), path).collect()} == changed
+    assert {r.kind for r in publication.publish(df.where("n = 1"), path, whole=True, grace_s=0).collect()} == {"a"} and spark.read.parquet(f"{path}/data").count() == 1
     with pytest.raises(FileNotFoundError):
-        writers.publish(df.limit(0), str(tmp_path / "none"))
+        publication.publish(df.limit(0), str(tmp_path / "none"))
     writers.write_report(spark.createDataFrame([("1", "missing", "p")], "id string, kind string, placename string"), str(tmp_path / "r"))
     assert spark.read.parquet(str(tmp_path / "r")).first().detail == '{"placename":"p"}'
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import catalog, coords, override_file
-from ..sources import readers, writers
+from ..sources import published_files, readers, writers
 from ..sources.scratch import scratch_folder as folder
 from . import adapters as A
 from . import dimension_queries as D
@@ -221,3 +221,38 @@ def drift_gate(spark, sf_dir):
     except RuntimeError:
         n, stopped = catalog.gate(drift, force=True), True
     return spark.range(1).select(F.lit(n).cast("long").alias("anomalies"), F.lit(stopped).alias("stopped"))
+
+
+TIMES_SQL = "o AS (SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS m, CAST(day(o_orderdate) AS INTEGER) AS d, CAST(left(o_orderpriority, 1) AS INTEGER) AS p, o_orderkey % 1440 AS clock, o_orderdate FROM orders)"
+KINDS = published_files.STEMS
+
+
+def _published_folder(spark, sf_dir) -> str:
+    """A published file a year and priority, a station each with a reading or an event an order; and files that are none: names
+    without a mark, with a wrong one, of an unknown kind, which have an instant far off."""
+    p = F.substring("o_orderpriority", 1, 1).cast("int")
+    o = A.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("date"), p.alias("p")).withColumn("at", F.col("o_orderkey") % 1440)
+    time = F.concat(F.lpad(_s(F.floor(F.col("at") / 60)), 2, "0"), F.lit(":"), F.lpad(_s(F.col("at") % 60), 2, "0"))
+    days = o.groupBy(F.year("date").alias("year"), "p", F.month("date").alias("month"), F.day("date").alias("day")).agg(F.collect_list(F.struct(time.alias("time"))).alias("e"))
+    tide = F.col("p") % 2 == 1
+    day = F.struct("month", "day", F.when(tide, F.col("e")).alias("readings"), F.when(~tide, F.col("e")).alias("events"))
+    files = days.groupBy("year", "p").agg(F.collect_list(day).alias("days"))
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("p"))
+    name = lambda mark: F.concat(kind, F.lit("."), mark, F.lit(".json"))
+    mark = F.substring(F.sha2(F.concat(_s(F.col("year")), _s(F.col("p"))), 256), 1, 8)
+    doc = F.to_json(F.struct(F.array(F.struct(F.col("year"), F.lit(-8).alias("utc_offset"), "days"), F.struct(F.col("year"), F.lit(None).cast("int").alias("utc_offset"), "days")).alias("stations")))
+    good = files.select("year", name(mark).alias("name"), doc.alias("text"))
+    far = F.lit('{"stations": [{"year": 1900, "utc_offset": 0, "days": [{"month": 1, "day": 1, "readings": [{"time": "00:00"}]}]}]}')
+    stray = F.explode(F.array(F.concat(kind, F.lit(".json")), name(F.upper(F.lit("0a1b2c3d"))), F.lit("unknown.0a1b2c3d.json"), name(F.lit("0a1b2c3")))).alias("name")
+    path = folder(spark, "published")
+    good.unionByName(files.where("p = 1").select("year", stray, far.alias("text"))).repartition("year", "name").write.partitionBy("year", "name").text(path)
+    return path
+
+
+ISO_SQL = lambda f: f"strftime({f}(CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + to_minutes(clock + 480)), '%Y-%m-%dT%H:%M:00Z')"
+
+
+@query(f"""WITH {TIMES_SQL} SELECT year, {', '.join(f"max(CASE WHEN p = {i + 1} THEN year || '/{k}.' || left(sha256(CAST(year AS VARCHAR) || p), 8) || '.json' END) AS {k}" for i, k in enumerate(KINDS))}, {ISO_SQL('min')} AS first_extreme_utc, {ISO_SQL('max')} AS last_extreme_utc FROM o GROUP BY year""")
+def folder_manifest(spark, sf_dir):
+    """The manifest of a folder, from its listing and its files."""
+    return published_files.folder_manifest(spark, _published_folder(spark, sf_dir))

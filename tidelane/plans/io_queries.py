@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import catalog, extract_lines, interpolate, segments
-from ..sources import readers, writers
+from ..sources import publication, readers, writers
 from ..sources.scratch import scratch_folder as folder
 from ..streaming import instants
 from . import adapters as A
@@ -43,9 +43,9 @@ def published_rows(spark, sf_dir):
     """Orders published by year and priority, one kind changed and published again, and read by the index."""
     o = A.table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("kind"), "o_orderkey", "o_custkey")
     path = folder(spark, "publication")
-    writers.publish(o.withColumn("o_custkey", F.when(F.col("kind") == "5-LOW", F.lit(0)).otherwise(F.col("o_custkey")).cast("long")), path)
-    writers.publish(o.withColumn("o_custkey", F.col("o_custkey").cast("long")), path)
-    return writers.read_published(spark, path).groupBy("year", "kind").agg(F.count("*").alias("n"), F.sum("o_custkey").alias("customers"))
+    publication.publish(o.withColumn("o_custkey", F.when(F.col("kind") == "5-LOW", F.lit(0)).otherwise(F.col("o_custkey")).cast("long")), path)
+    publication.publish(o.withColumn("o_custkey", F.col("o_custkey").cast("long")), path)
+    return publication.read_published(spark, path).groupBy("year", "kind").agg(F.count("*").alias("n"), F.sum("o_custkey").alias("customers"))
 
 
 @query(f"SELECT kind, count(*) AS anomalies, count(DISTINCT id) AS ids FROM ({D.SQL['drift_tides']}) GROUP BY kind")

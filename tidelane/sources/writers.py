@@ -1,71 +1,15 @@
-"""Writers: station tables by year and kind, publication by content, anomaly reports."""
+"""Writers: station tables by year and kind, anomaly reports. Publication by content is in ``publication``."""
 
 from __future__ import annotations
 
-import time
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
-
-from ..operators.publish import fingerprint
 
 
 def write_stations(df: DataFrame, path: str, form: str = "parquet") -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "kind").format(form).save(path)
 
 
-def published(spark: SparkSession, path: str) -> DataFrame:
-    """year, kind and fingerprint of what is published under ``path``: the newest version of its index."""
-    try:
-        rows = spark.read.schema("version long, year int, kind string, fingerprint string").parquet(f"{path}/index")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], "year int, kind string, fingerprint string")
-    newest = rows.agg(F.max("version").alias("version"))
-    return rows.join(F.broadcast(newest), "version").select("year", "kind", "fingerprint")
-
-
-def read_published(spark: SparkSession, path: str) -> DataFrame:
-    """The rows that the index names."""
-    return spark.read.parquet(f"{path}/data").join(F.broadcast(published(spark, path)), ["year", "kind", "fingerprint"], "left_semi").drop("fingerprint")
-
-
-def _remove(spark: SparkSession, folder: str) -> None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def publish(df: DataFrame, path: str, whole: bool = False) -> DataFrame:
-    """Write each (year, kind) whose content changed, under its fingerprint, then an index of all, then take away what the
-    index no longer names; returns the new index. Readers go by the index, whose newest version appears at once, so a run
-    that is cut short leaves the old publication as it was.
-
-    Equal content is no write at all. A (year, kind) that the input lacks stays, or goes if the input is the ``whole``
-    publication. Empty input is an error."""
-    spark, data = df.sparkSession, [c for c in df.columns if c not in ("year", "kind")]
-    rows = df.withColumn("_row", F.to_json(F.struct(*data)))
-    new = fingerprint(rows, ["year", "kind"], "_row")
-    made = {(r.year, r.kind): r.fingerprint for r in new.collect()}  # one row for each year and kind
-    if not made:
-        raise FileNotFoundError("nothing to publish")
-    old = {(r.year, r.kind): r.fingerprint for r in published(spark, path).collect()}
-    index = made if whole else {**old, **made}
-    changed = [(*k, f) for k, f in made.items() if old.get(k) != f]
-    if changed:
-        keys = F.broadcast(spark.createDataFrame(changed, "year int, kind string, fingerprint string"))  # one row for each year and kind
-        found = df.join(keys, ["year", "kind"])
-        found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "kind", "fingerprint").parquet(f"{path}/data")
-    if index != old:
-        version = time.time_ns()
-        spark.createDataFrame([(version, *k, f) for k, f in index.items()], "version long, year int, kind string, fingerprint string").coalesce(1).write.mode("append").parquet(f"{path}/index")
-        for (year, kind), mark in old.items():
-            if index.get((year, kind)) != mark:
-                _remove(spark, f"{path}/data/year={year}/kind={kind}/fingerprint={mark}")
-    return published(spark, path)
-
-
 def write_report(anomalies: DataFrame, path: str) -> None:
     """One row an anomaly, its detail as JSON."""
     detail = F.to_json(F.struct(*[c for c in anomalies.columns if c not in ("id", "kind")]))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 SEGMENT = ("t1", "v1", "w1", "t2", "v2", "w2")
 BROADCAST_INSTANTS = 5_000
+RUN_ROWS = 20_000_000  # rows of a station that one task sorts
 BUCKET_US = 24 * 3_600_000_000
 
 
@@ -96,6 +97,13 @@ def as_of_spread(events: DataFrame, instants: DataFrame, bucket_us: int = BUCKET
     return found.select(key, "t_us", *(F.col(f"_extra.{c}") for c in extra), *(F.when(inside, F.col(f"_seg.{c}")).alias(c) for c in SEGMENT))
 
 
+def lookup(events: DataFrame, instants: DataFrame, key: str = "station_id", limit: int = RUN_ROWS) -> DataFrame:
+    """``as_of``, or ``as_of_spread`` where a station has more than ``limit`` events and instants, by a count of both that reads
+    nothing but the stations' names."""
+    rows = events.select(key).unionByName(instants.select(key)).groupBy(key).count().agg(F.max("count").alias("most"))
+    return (as_of_spread if (rows.first()["most"] or 0) > limit else as_of)(events, instants, key=key)
+
+
 def snapshot(events: DataFrame, instants: DataFrame, key: str = "station_id", limit: int = BROADCAST_INSTANTS) -> DataFrame:
     """Every station at every one of a few instants (t_us), in one scan of the segments; no row outside the events.
 

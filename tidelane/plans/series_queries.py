@@ -31,7 +31,7 @@ def query(sql: str | None = None):
 
 def _asof(spark, sf_dir, current: bool = False) -> DataFrame:
     s = (A.current_series if current else A.tide_series)(spark, sf_dir)
-    return segments.as_of(s, A.instants(s))
+    return segments.lookup(s, A.instants(s))
 
 
 @query(f"WITH {A.as_of_sql('cur')} SELECT station_id, t_us, {R6(A.CURRENT_VALUE)} AS value, {A.CURRENT_STATE} AS state, coalesce(CASE WHEN t1 = t2 THEN w1 OR w2 ELSE (w1 AND {A.TAU} < 0.5) OR (w2 AND {A.TAU} >= 0.5) END, false) AS weak FROM found")
@@ -81,6 +81,33 @@ def snapshot_bbox(spark, sf_dir):
     return at.join(box, "station_id").select("station_id", "t_us", r6(interpolate.current_value()).alias("value"), state.alias("state"), interpolate.bearing(state, F.col("flood_dir"), F.col("ebb_dir")).alias("bearing"), r6(interpolate.arrow_strength(interpolate.current_value())).alias("strength"))
 
 
+@query(SQL["snapshot_bbox"])
+def snapshot_tiles(spark, sf_dir):
+    """The same from segments that are stored by tile: files of tiles outside the box are not opened."""
+    from ..sources import scratch, stored
+
+    k = F.col("c_custkey")
+    places = A.table(spark, sf_dir, "customer").select(k.cast("string").alias("station_id"), (45 + k % 400 / 100).alias("lat"), (-125 + k * 7 % 350 / 100).alias("lon"), (k * 13 % 360).alias("flood_dir"))
+    path = scratch.scratch_folder(spark, "segments-by-tile")
+    stored.store_by_tile(segments.segments(A.current_series(spark, sf_dir)).join(places, "station_id"), path)
+    seen = stored.read_box(spark, path, (45.2, 46.0, -125.0, -122.5)).withColumn("ebb_dir", opposite(F.col("flood_dir")))
+    at = seen.join(F.broadcast(spark.createDataFrame([(t,) for t in SNAPS], "t_us long")), segments.holds())  # four instants
+    state = interpolate.current_state()
+    return at.select("station_id", "t_us", r6(interpolate.current_value()).alias("value"), state.alias("state"), interpolate.bearing(state, F.col("flood_dir"), F.col("ebb_dir")).alias("bearing"), r6(interpolate.arrow_strength(interpolate.current_value())).alias("strength"))
+
+
+@query(SQL["current_value_at"])
+def stored_value_at(spark, sf_dir):
+    """The lookup in segments that are stored in buckets of station and day, none of which move."""
+    import uuid
+
+    from ..sources import scratch, stored
+
+    series, table = A.current_series(spark, sf_dir), f"segments_{uuid.uuid4().hex}"
+    stored.store_segments(series, table, scratch.scratch_folder(spark, "segments"), buckets=8)
+    return stored.as_of_stored(spark, table, A.instants(series)).select("station_id", "t_us", r6(interpolate.current_value()).alias("value"))
+
+
 @query("SELECT DISTINCT (c_custkey * 13) % 360 AS flood_dir, (c_custkey * 13 + 180) % 360 AS ebb_dir, abs(((c_custkey * 13) % 360 - 90 + 180 + 360) % 360 - 180) <= 45 AS eastward FROM customer")
 def flow_bearings(spark, sf_dir):
     flood = F.col("c_custkey") * 13 % 360

@@ -281,6 +281,20 @@ def field_profile(spark, sf_dir):
     return rows.withColumn("share", r6(F.col("share")))
 
 
+@query("""WITH loc AS (SELECT *, ts - INTERVAL 8 HOUR AS l FROM events), cells AS (SELECT 'time' AS field, strftime(l, '%H:%M') AS value FROM loc UNION ALL SELECT 'kind', CASE WHEN event_type = 'view' THEN 'slack' ELSE 'max' END FROM loc UNION ALL SELECT 'weak_variable', CAST(event_type = 'error' AS VARCHAR) FROM loc)
+  SELECT field, CAST(sum(n) AS BIGINT) AS present, max(n) AS top, count(*) AS counted FROM (SELECT field, value, count(*) AS n FROM cells GROUP BY 1, 2) GROUP BY field""")
+def field_sketches(spark, sf_dir):
+    """Frequent values of the events' fields by sketches of each station, merged twice; with fewer values than a sketch holds, its
+    counts are exact."""
+    docs = A.current_documents(spark, sf_dir)
+    events = docs.select("station_id", "year", F.explode("days").alias("d")).select("station_id", "year", F.explode("d.events").alias("e")).select("station_id", "year", "e.time", "e.kind", "e.weak_variable")
+    fields = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in ("time", "kind", "weak_variable")))
+    values = events.select("station_id", "year", F.lit("event").alias("level"), F.explode(fields).alias("x")).select("station_id", "year", "level", "x.*")
+    merged = profile.merged_sketches(profile.merged_sketches(profile.sketches(values, ["station_id", "year"]), ["year"]), [])
+    found = profile.sketched_profile(merged, [], k=5_000)
+    return found.select("field", "present", F.array_max(F.transform("top", lambda x: x["count"])).alias("top"), F.size("top").cast("long").alias("counted"))
+
+
 def _extracts(spark, sf_dir):
     k = F.col("k")
     p = A.table(spark, sf_dir, "part").withColumn("k", F.col("p_partkey"))

@@ -56,3 +56,25 @@ def test_boxes_open_the_files_of_their_tiles_alone(spark, tmp_path):
     some.collect()
     metrics = some._jdf.queryExecution().executedPlan().collectLeaves().head().metrics()
     assert metrics.apply("numFiles").value() < 0.1 * len(spark.read.parquet(path).inputFiles())
+
+
+def test_runs_go_on_over_days(spark):
+    from tidelane.operators import interpolate
+
+    rng = random.Random(2)
+    for sizes in ((1, 3), (1, 400)):
+        rows, t = [], 0
+        while t < 3000:
+            state, n = rng.choice([1.0, -2.0, 0.0, None]), rng.randrange(*sizes)
+            rows += [("a", (t + i) * HOUR // 4, state) for i in range(n)]
+            t += n
+        want, last = [], None
+        for _, at, v in rows:
+            sign = 0 if not v else 1 if v > 0 else -1
+            if sign and sign == last:
+                want[-1][2:] = [at, want[-1][3] + 1]
+            elif sign:
+                want.append([sign, at, at, 1])
+            last = sign
+        got = interpolate.runs(spark.createDataFrame(rows, "station_id string, t_us long, value double").repartition(3), signed=True).orderBy("start_us").collect()
+        assert [[r.sign, r.start_us, r.end_us, r.points] for r in got] == want

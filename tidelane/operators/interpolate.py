@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timeutil import MINUTE_US
+from .segments import BUCKET_US
 
 SLACK_US, SLACK_KNOTS, LABEL_KNOTS = 5 * MINUTE_US, 0.1, 0.05
 
@@ -84,14 +85,18 @@ def empty_curves(samples: DataFrame, value: str = "value", key: str = "station_i
 def runs(points: DataFrame, value: str = "value", signed: bool = False, key: str = "station_id", within: tuple[str, ...] = ()) -> DataFrame:
     """Maximal runs of non-null values, or of one sign (zero and null break): start, end and length of each.
 
-    Where ``within`` names columns of a segment inside which a state never comes back, as on a curve between two extremes,
-    points are first gathered by segment and state, in place, and only those few rows are sorted by station."""
+    Points are first gathered into the runs of each day, so that a busy station is many short sorts, and only those few rows are
+    sorted by station. Where ``within`` names columns of a segment inside which a state never comes back, as on a curve
+    between two extremes, they are gathered by segment and state instead, in place."""
     state = F.when(F.col(value) > 0, 1).when(F.col(value) < 0, -1).otherwise(0) if signed else F.col(value).isNotNull().cast("int")
     marked = points.withColumn("_state", F.coalesce(state, F.lit(0)))
     if within:
         short = marked.groupBy(key, *within, "_state").agg(F.min("t_us").alias("_a"), F.max("t_us").alias("_b"), F.count("*").alias("_n"))
     else:
-        short = marked.select(key, "_state", F.col("t_us").alias("_a"), F.col("t_us").alias("_b"), F.lit(1).cast("long").alias("_n"))
+        day = Window.partitionBy(key, "_day").orderBy("t_us")
+        rows = marked.withColumn("_day", F.floor(F.col("t_us") / BUCKET_US)).withColumn("_new", F.when(F.col("_state") == F.lag("_state").over(day), 0).otherwise(1))
+        rows = rows.withColumn("_run", F.sum("_new").over(day))
+        short = rows.groupBy(key, "_day", "_run", "_state").agg(F.min("t_us").alias("_a"), F.max("t_us").alias("_b"), F.count("*").alias("_n"))
     by = Window.partitionBy(key).orderBy("_a")
     change = F.when(F.col("_state") == F.lag("_state").over(by), 0).otherwise(1)
     numbered = short.withColumn("_change", change).withColumn("run", F.sum("_change").over(by))

@@ -110,6 +110,6 @@ def snapshot(events: DataFrame, instants: DataFrame, key: str = "station_id", li
     The instants are broadcast when there are at most ``limit``; beyond, each station's instants go through ``as_of``."""
     few = instants.select("t_us").distinct()
     if few.limit(limit + 1).count() > limit:
-        return as_of(events, events.select(key).distinct().crossJoin(few), key).where("t1 is not null")
+        return lookup(events, events.select(key).distinct().crossJoin(few), key).where("t1 is not null")
     seg = segments(events, key).alias("s")
     return seg.join(F.broadcast(few), holds()).select(key, "t_us", *SEGMENT)

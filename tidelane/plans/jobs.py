@@ -19,7 +19,7 @@ def tide_states(primary_events: DataFrame, primaries: DataFrame, secondaries: Da
     made = derive.secondary_tides(resolved, classify.high_low(own, "station_id", "year"), heights)
     made = made.select(merge.namespaced("sec", F.col("sec_id")).alias("station_id"), "year", "t_us", "ord", "v")
     series = merge.merged(own, made).withColumn("weak", F.lit(False))
-    found = segments.as_of(series, instants)
+    found = segments.lookup(series, instants)
     return found.select("station_id", "t_us", interpolate.tide_value().alias("value"), interpolate.tide_state().alias("state"))
 
 

@@ -137,7 +137,7 @@ def chart_scaled(spark, sf_dir):
     """A 15-hour curve of every station from an hour before its first event, on the axes of a chart."""
     s = A.tide_series(spark, sf_dir)
     spans = s.groupBy("station_id").agg((F.min("t_us") - A.HOUR_US).alias("start_us"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    at = segments.as_of(s, interpolate.window_grid(spans))
+    at = segments.lookup(s, interpolate.window_grid(spans))
     x = (F.col("t_us") - F.col("start_us")) / F.lit(54_000_000_000.0) * 100
     return at.select("station_id", r6(x).alias("x"), r6(interpolate.tide_axis(interpolate.tide_value(), F.col("lo"), F.col("hi"))).alias("y"))
 

@@ -7,8 +7,8 @@ weighs them together with the labels of neighbouring lines. Forward and backward
 good; a document's quality is their mean, weighted by the characters of each line that are no white space.
 
 Features are counted over the bytes of some megabytes of texts at once, by class arrays and segment sums; repeats are found
-by sorting hashes of words and windows with their document. Documents are scored where they lie, nothing is shuffled, and
-whole texts are read.
+by sorting hashes of words and windows with their document. A longer text is taken alone, in some 25 bytes of memory for
+each of its own. Documents are scored where they lie, nothing is shuffled, and whole texts are read.
 
 The model is fitted on a bounded sample: of the labelled ids, the ``IDS`` with the smallest hashes, and of their texts of at
 most ``SAMPLE_CHARS`` characters the ``SAMPLE`` different ones with the smallest hashes. A line of the sample has its
@@ -37,7 +37,7 @@ from .shared import distinct_sample, fold_of, read_table
 FOLDS, HELD_OUT = 3, 1
 IDS, SAMPLE, SAMPLE_CHARS = 12_000, 6_000, 20_000
 EPOCHS, RATE, DECAY, SEED = 12, 0.15, 1e-4, 7
-LEAST = 0.5
+LEAST, CHUNK = 0.5, 4_000_000
 
 # Bytes by class.
 WHITE, UPPER, LOWER, DIGIT, STOP, LOUD, QUOTE, SYMBOL, RULE, CONTROL, LEAD, LATER = range(12)
@@ -89,25 +89,51 @@ def occurrences(keys: np.ndarray) -> np.ndarray:
     return found
 
 
-def lines_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and text of every piece between line feeds and bounds of texts that has more than white space."""
+def words_of(kinds: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where each word begins; a bound of texts ends one too."""
+    begins = kinds != WHITE
+    solid = begins.copy()
+    begins[1:] &= ~solid[:-1]
+    inner = bounds[:-1][bounds[:-1] < len(kinds)]
+    begins[inner] = solid[inner]
+    return np.flatnonzero(begins)
+
+
+def lines_of(data: np.ndarray, bounds: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text of every piece between line feeds and bounds of texts in which a word begins (at ``at``)."""
     feeds = np.flatnonzero(data == 0x0A)
     start = np.concatenate((bounds[:-1], feeds + 1))
     end = np.concatenate((feeds, bounds[1:]))
     start.sort()
     end.sort()
-    word = np.concatenate(([0], np.cumsum(CLASS[data] != WHITE)))
-    some = word[end] > word[start]
+    some = np.searchsorted(at, end) > np.searchsorted(at, start)
     return start[some], end[some], np.searchsorted(bounds, start[some], side="right") - 1
 
 
+def word_hashes(data: np.ndarray, solid: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of each word, some megabytes at a time."""
+    out = np.empty(len(at), np.uint64)
+    stops = np.append(at[1:], len(data))
+    first = 0
+    while first < len(at):
+        last = max(first + 1, int(np.searchsorted(stops, at[first] + CHUNK, side="right")))
+        a, b, own = at[first], stops[last - 1], at[first:last] - at[first]
+        within = np.arange(b - a) - np.repeat(own, np.diff(np.append(own, b - a)))
+        weight = data[a:b] * MULTIPLIERS[within & 1023]
+        weight[~solid[a:b]] = 0
+        out[first:last] = np.add.reduceat(weight, own)
+        first = last
+    return out
+
+
 def features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Feature numbers of every line of the texts, a row a line; the lines' weights; and how many lines come before each text."""
-    start, end, text = lines_of(data, bounds)
+    kinds = CLASS[data]
+    at = words_of(kinds, bounds)
+    start, end, text = lines_of(data, bounds, at)
     first_line = np.searchsorted(text, np.arange(len(bounds)))
     if not len(start):
         return np.zeros((0, len(SIZES)), np.int64), np.zeros(0), first_line
-    kinds = CLASS[data]
     # Segments that alternate between a line and what lies between two lines.
     cuts = np.stack((start, end), 1).reshape(-1)
     count = lambda member: np.add.reduceat(np.append(member, False), cuts, dtype=np.int64)[::2]
@@ -120,15 +146,8 @@ def features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
     # Words, their hashes, and three-word windows.
     solid = kinds != WHITE
-    begins = solid.copy()
-    begins[1:] &= ~solid[:-1]
-    begins[start] = solid[start]
-    at = np.flatnonzero(begins)
     line = np.searchsorted(start, at, side="right") - 1
-    within = np.arange(len(data)) - at[np.maximum(np.cumsum(begins) - 1, 0)]
-    weight = data.astype(np.uint64) * MULTIPLIERS[within & 1023]
-    weight[~solid] = 0
-    word = np.add.reduceat(weight, at)
+    word = word_hashes(data, solid, at)
     n_words = np.bincount(line, minlength=len(start))
     again = occurrences(mixed(word, line))
     distinct = np.bincount(line, weights=1 / again, minlength=len(start))
@@ -146,7 +165,8 @@ def features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     same = occurrences(mixed(line_hash, text))
 
     first = kinds[at[np.searchsorted(line, np.arange(len(start)))]]
-    ends = np.maximum.accumulate(np.where(solid, np.arange(len(data)), 0))[end - 1]
+    tail = np.searchsorted(at, end) - 1  # each line's last word
+    ends = at[tail] + np.add.reduceat(solid, at, dtype=np.int64)[tail] - 1
     alone = np.diff(first_line)[text]
     number = np.arange(len(start)) - first_line[text]
     place = np.where(alone == 1, 0, np.where(number == 0, 1, np.where(number == alone - 1, 2, 3)))

@@ -31,8 +31,11 @@ def _s(c):
 
 
 def write_texts(rows: DataFrame, path: str) -> None:
-    """Files of the lines ``text`` in the order of ``n``, a folder for each ``volume`` (some thousand lines)."""
-    rows = rows.select("volume", "n", "text").repartition("volume").sortWithinPartitions("volume", "n")
+    """One file of the lines ``text`` in the order of ``n`` in a folder for each ``volume`` (some thousand lines).
+
+    Dealt out by a hash of the volume: by the volume itself, Spark leaves the exchange out where a union's sides are already
+    dealt out by it, and then merges each side's partitions on its own, so a volume would be two files."""
+    rows = rows.select("volume", "n", "text").repartition(F.xxhash64("volume")).sortWithinPartitions("volume", "n")
     rows.select("volume", "text").write.partitionBy("volume").text(path)
 
 

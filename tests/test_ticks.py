@@ -2,7 +2,7 @@
 
 import random
 
-from pyspark.sql import Window
+from pyspark.sql import Row, Window
 from pyspark.sql import functions as F
 
 from tidelane.operators import segments
@@ -36,3 +36,39 @@ def test_changes_equal_the_batch_run_across_restarts(spark, tmp_path):
         want = batch(states, at[-1]).collect()
         assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want), key=repr)
         assert {r.kind for r in want} == {"change", "extreme"} and len(want) > 200
+
+
+class Store:
+    """A handle that counts the calls which a station costs."""
+
+    def __init__(self):
+        self.value, self.calls, self.timers = None, 0, set()
+
+    def getValueState(self, *_):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def registerTimer(self, ms):
+        self.calls += 1
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.calls += 1
+        self.timers.remove(ms)
+
+
+def test_calls_of_the_store_do_not_grow_with_ticks(spark):
+    store = Store()
+    changes = ticks.Changes()
+    changes.init(store)
+    tick = lambda i: Row(t_us=i * HOUR, state="flood" if i % 2 else "ebb", value=1.0, t2=i * HOUR + 1000, end_state="slack", end_value=0.0)
+    assert len(list(changes.handleInputRows(("s",), map(tick, range(500)), None))) == 500
+    assert store.calls == 3 and store.timers == {1} and len(store.value[2]) == 500
+    assert len(list(changes.handleInputRows(("s",), map(tick, range(400, 600)), None))) == 100
+    assert store.calls == 5 and len(store.value[2]) == 600

@@ -2,7 +2,7 @@
 
 A tick is an instant; it is held against the segments of its day, which gives every station's state there. The last state of
 each station lies in the state store, so a tick that changes nothing gives no row. The end of the segment that holds a tick is
-put down as a timer: when event time passes it, the station's extreme is told, whether or not a tick falls on it. Restarted from its checkpoint a
+kept, with a timer for the first: when event time passes it, the station's extreme is told, whether or not a tick falls on it. Restarted from its checkpoint a
 stream goes on where it was. Ticks should come in order; one that is not later than a station's last is ignored by it.
 """
 
@@ -10,8 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -21,7 +20,6 @@ from . import instants
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-COLUMNS = ["station_id", "t_us", "kind", "state", "value"]
 CHANGE, EXTREME = "change", "extreme"
 
 
@@ -39,38 +37,45 @@ def states_at(ticks: DataFrame, segments: DataFrame, current: bool = True, bucke
 
 
 class Changes(StatefulProcessor):
-    """Keeps a station's last state, and the ends of segments whose timers are running."""
+    """Keeps a station's last state and the ends that are still to come as one value, and one timer, for the first of these
+    ends: a station costs a few calls of the state store a batch, however many ticks and ends it has there."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "t_us long, state string")
-        self.ends = handle.getMapState("ends", "ms long", "t_us long, state string, value double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self.last.get()
-        at, state = known if known else (None, None)
-        ticks = pd.concat(list(rows)).sort_values("t_us", kind="stable")
-        out, ends = [], {}
-        for x in ticks.itertuples(index=False):
+        self.kept = handle.getValueState("kept", "t_us long, state string, ends array<struct<t_us:long,state:string,value:double>>")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        known = self.kept.get()
+        at, state, ends = (known[0], known[1], [tuple(x) for x in known[2]]) if known else (None, None, [])
+        first = ends[0][0] // 1000 if ends else None
+        told = {x[0] // 1000 for x in ends}
+        for x in sorted(rows, key=lambda x: x.t_us):
             if at is not None and x.t_us <= at:
                 continue
             if x.state != state:
-                out.append((key[0], x.t_us, CHANGE, x.state, x.value))
+                yield Row(station_id=key[0], t_us=x.t_us, kind=CHANGE, state=x.state, value=x.value)
             at, state = x.t_us, x.state
-            ends[int(x.t2) // 1000] = (int(x.t2), x.end_state, float(x.end_value))
+            if x.t2 // 1000 not in told:
+                told.add(x.t2 // 1000)
+                ends.append((x.t2, x.end_state, x.end_value))
         if at is not None:
-            self.last.update((int(at), state))
-        for ms, end in ends.items():
-            if not self.ends.containsKey((ms,)):
-                self.ends.updateValue((ms,), end)
-                self.handle.registerTimer(ms)
-        yield pd.DataFrame(out, columns=COLUMNS)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        ms = (expiredTimerInfo.getExpiryTimeInMs(),)
-        t_us, state, value = self.ends.getValue(ms)
-        self.ends.removeKey(ms)
-        yield pd.DataFrame([(key[0], t_us, EXTREME, state, value)], columns=COLUMNS)
+            self._keep(at, state, sorted(ends), first)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        at, state, ends = self.kept.get()
+        ms, passed = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        due = [x for x in ends if x[0] // 1000 <= ms or x[0] // 1000 < passed]
+        self._keep(at, state, [tuple(x) for x in ends[len(due) :]], None)
+        for t_us, end_state, value in due:
+            yield Row(station_id=key[0], t_us=t_us, kind=EXTREME, state=end_state, value=value)
+
+    def _keep(self, at: int, state: str, ends: list[tuple], first: int | None) -> None:
+        """``first``: the time of the timer that is running, if one is."""
+        self.kept.update((at, state, ends))
+        if ends and ends[0][0] // 1000 != first:
+            if first is not None:
+                self.handle.deleteTimer(first)
+            self.handle.registerTimer(ends[0][0] // 1000)
 
     def close(self) -> None:
         pass
@@ -80,7 +85,7 @@ def changes(ticks: DataFrame, segments: DataFrame, current: bool = True, late: s
     """station_id, t_us, kind, state and value: a ``change`` where a tick finds a station in another state than the tick before,
     an ``extreme`` at the end of a segment that a tick fell into, once event time is past it. Needs the RocksDB state store."""
     rows = states_at(ticks, segments, current, late=late)
-    return rows.groupBy("station_id").transformWithStateInPandas(Changes(), "station_id string, t_us long, kind string, state string, value double", "Append", "EventTime")
+    return rows.groupBy("station_id").transformWithState(Changes(), "station_id string, t_us long, kind string, state string, value double", "Append", "EventTime")
 
 
 def run_available(ticks: DataFrame, segments: DataFrame, path: str, checkpoint: str, current: bool = True) -> None:

@@ -78,3 +78,14 @@ def test_runs_go_on_over_days(spark):
             last = sign
         got = interpolate.runs(spark.createDataFrame(rows, "station_id string, t_us long, value double").repartition(3), signed=True).orderBy("start_us").collect()
         assert [[r.sign, r.start_us, r.end_us, r.points] for r in got] == want
+
+
+def test_lookup_deals_stations_out_by_their_rows(spark):
+    """Tasks grow in number with the rows, not in size, and partitions are not merged again."""
+    e = spark.range(4_000).selectExpr("cast(id % 200 as string) as station_id", "id * 1000000 as t_us", "id as ord", "cast(id % 7 as double) as v", "false as weak")
+    asked = e.select("station_id", (F.col("t_us") + 1).alias("t_us"))
+    few, many = segments.lookup(e, asked), segments.lookup(e, asked, task_rows=400)
+    assert many.rdd.getNumPartitions() == 20 and few.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    want = sorted(map(tuple, segments.as_of(e, asked).collect()), key=repr)
+    assert sorted(map(tuple, many.collect()), key=repr) == want and len(want) == 4_000
+    assert max(many.groupBy(F.spark_partition_id()).count().toPandas()["count"]) < 1_000

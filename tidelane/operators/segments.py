@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 SEGMENT = ("t1", "v1", "w1", "t2", "v2", "w2")
 BROADCAST_INSTANTS = 5_000
 RUN_ROWS = 20_000_000  # rows of a station that one task sorts
+TASK_ROWS = 500_000  # events and instants of all stations that one task sorts
 BUCKET_US = 24 * 3_600_000_000
 
 
@@ -25,17 +26,19 @@ def segments(events: DataFrame, key: str = "station_id") -> DataFrame:
     return out.where("t2 is not null")
 
 
-def as_of(events: DataFrame, instants: DataFrame, key: str = "station_id") -> DataFrame:
+def as_of(events: DataFrame, instants: DataFrame, key: str = "station_id", tasks: int | None = None) -> DataFrame:
     """Columns of ``instants`` (key, t_us, any more) with the segment that holds each, or nulls outside the events.
 
     Segments and instants are sorted together by station and time, and the last segment before an instant is carried
     forward: each side is shuffled once, by station, and the union keeps that partitioning. A station's events and instants
-    are one sorted run of a task, which spills; ``as_of_spread`` is the one for series where a station holds most rows."""
-    seg = segments(events, key)
+    are one sorted run of a task, which spills; ``as_of_spread`` is the one for series where a station holds most rows.
+    ``tasks``: how many the stations are dealt out to, so that memory does not grow with the tables; else as the session has it."""
+    dealt = lambda df: df.repartition(tasks, key) if tasks else df.repartition(key)
+    seg = segments(dealt(events) if tasks else events, key)
     extra = [c for c in instants.columns if c not in (key, "t_us")]
     left = seg.select(key, F.col("t1").alias("t_us"), F.lit(0).alias("_tag"), "ord", F.struct(*SEGMENT).alias("_seg"))
     right = instants.select(key, "t_us", F.lit(1).alias("_tag"), F.lit(None).cast("long").alias("ord"), F.struct(*extra, F.lit(True).alias("_")).alias("_extra"))
-    both = left.unionByName(right.repartition(key), allowMissingColumns=True)
+    both = left.unionByName(dealt(right), allowMissingColumns=True)
     by = Window.partitionBy(key).orderBy("t_us", "_tag", "ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = both.withColumn("_seg", F.last("_seg", ignorenulls=True).over(by)).where("_tag = 1")
     inside = F.col("t_us") <= F.col("_seg.t2")
@@ -97,11 +100,13 @@ def as_of_spread(events: DataFrame, instants: DataFrame, bucket_us: int = BUCKET
     return found.select(key, "t_us", *(F.col(f"_extra.{c}") for c in extra), *(F.when(inside, F.col(f"_seg.{c}")).alias(c) for c in SEGMENT))
 
 
-def lookup(events: DataFrame, instants: DataFrame, key: str = "station_id", limit: int = RUN_ROWS) -> DataFrame:
+def lookup(events: DataFrame, instants: DataFrame, key: str = "station_id", limit: int = RUN_ROWS, task_rows: int = TASK_ROWS) -> DataFrame:
     """``as_of``, or ``as_of_spread`` where a station has more than ``limit`` events and instants, by a count of both that reads
-    nothing but the stations' names."""
-    rows = events.select(key).unionByName(instants.select(key)).groupBy(key).count().agg(F.max("count").alias("most"))
-    return (as_of_spread if (rows.first()["most"] or 0) > limit else as_of)(events, instants, key=key)
+    nothing but the stations' names. ``as_of`` gets a task for each ``task_rows`` of them, which bounds the memory of a task."""
+    rows = events.select(key).unionByName(instants.select(key)).groupBy(key).count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).first()
+    if (rows["most"] or 0) > limit:
+        return as_of_spread(events, instants, key=key)
+    return as_of(events, instants, key=key, tasks=max(events.sparkSession.sparkContext.defaultParallelism, -(-(rows["all"] or 0) // task_rows)))
 
 
 def snapshot(events: DataFrame, instants: DataFrame, key: str = "station_id", limit: int = BROADCAST_INSTANTS) -> DataFrame:

@@ -27,3 +27,14 @@ def test_a_volume_is_one_file_where_a_union_is_dealt_out_already(spark, tmp_path
         (file,) = glob.glob(f"{tmp_path}/texts/volume={volume}/part-*")
         with open(file) as f:
             assert f.read().split("\n") == ["[", *(f"{n}," for n in range(50 * volume, 50 * volume + 49)), str(50 * volume + 49), "]", ""]
+
+
+def test_pages_are_dealt_out_by_the_number_of_events(spark):
+    """Tasks grow in number with the table, and partitions are not merged again."""
+    from tidelane.plans import adapters, text_queries
+
+    folder = "/root/testdata/sf0.001"
+    events = adapters.table(spark, folder, "events").count()
+    words = spark.range(1_000).selectExpr("cast(id % 90 as string) as doc", "cast(id % 7 as int) as page", "id")
+    many = text_queries._dealt_pages(spark, folder, words, events=-(-events // 10))
+    assert many.rdd.getNumPartitions() == 10 and many.count() == 1_000

@@ -146,6 +146,15 @@ def _page_words(spark, sf_dir, second: str, cells) -> DataFrame:
     return both.select("doc", "page", "text", "x0", "top", (F.col("top") + 8).alias("bottom"), F.lit(620.0).alias("page_width"), F.lit(2200.0).alias("page_height"))
 
 
+EVENTS = 50_000  # events whose pages one task reads
+
+
+def _dealt_pages(spark, sf_dir, words: DataFrame, events: int = EVENTS) -> DataFrame:
+    """Words dealt out by page to a task for each so many events, so that a task's memory does not grow with the table."""
+    tasks = -(-A.table(spark, sf_dir, "events").count() // events)
+    return words.repartition(max(spark.sparkContext.defaultParallelism, tasks), *extract_words.PAGE)
+
+
 PAGE_SQL = "e AS (SELECT *, CAST(month(ts) AS INTEGER) AS m, CAST(day(ts) AS INTEGER) AS d FROM events)"
 
 
@@ -153,7 +162,7 @@ PAGE_SQL = "e AS (SELECT *, CAST(month(ts) AS INTEGER) AS m, CAST(day(ts) AS INT
 def tide_page(spark, sf_dir):
     v = F.col("event_id") % 97
     cells = lambda word: (word(F.date_format("ts", "HH:mm"), 25.0), word(_tenths(v), 50.0), word(_tenths(v * 3), 75.0))
-    rows = extract_words.tide_page(_page_words(spark, sf_dir, "Jour", cells))
+    rows = extract_words.tide_page(_dealt_pages(spark, sf_dir, _page_words(spark, sf_dir, "Jour", cells)))
     return rows.select("doc", "month", "day", "time", r6(F.col("metres")).alias("metres"))
 
 
@@ -163,5 +172,5 @@ def current_page(spark, sf_dir):
     clock, slack = F.date_format("ts", "HHmm"), F.col("event_type") == "view"
     knots = F.when(kind == "error", "*").when(kind == "purchase", _tenths(-v)).otherwise(_tenths(v))
     cells = lambda word: (word(clock, 20.0, slack), word(clock, 40.0, ~slack), word(knots, 62.0, ~slack))
-    rows = extract_words.current_page(_page_words(spark, sf_dir, "jour", cells))
+    rows = extract_words.current_page(_dealt_pages(spark, sf_dir, _page_words(spark, sf_dir, "jour", cells)))
     return rows.select("doc", "month", "day", "time", "kind", r6(F.col("knots")).alias("knots"), "weak_variable")

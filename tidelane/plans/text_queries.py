@@ -123,15 +123,19 @@ def table4_buckets(spark, sf_dir):
 STARTS = (20.0, 120.0, 220.0, 320.0, 420.0, 520.0)
 
 
-def _page_words(spark, sf_dir, second: str, cells) -> DataFrame:
-    """Every event on a page: a sheet for each user, year and month, the first half of the month on the left, and a further
-    sheet wherever a day has more than five events."""
+def _numbered(spark, sf_dir) -> DataFrame:
+    """Events with day and month, the sheet (``page``) that each is on and its place ``j`` among the five of a day there."""
     from pyspark.sql import Window
 
     e = A.table(spark, sf_dir, "events").withColumns({"day": F.day("ts"), "month": F.month("ts")})
     n = F.row_number().over(Window.partitionBy("user_id", F.to_date("ts")).orderBy("event_id")) - 1
     sheet = (F.year("ts") * 12 + F.col("month")) * 10_000 + F.floor(n / 5)
-    e = e.withColumns({"page": sheet.cast("int"), "j": n % 5})
+    return e.withColumns({"page": sheet.cast("int"), "j": n % 5}).drop("props")
+
+
+def _page_words(e: DataFrame, second: str, cells) -> DataFrame:
+    """Every event of ``_numbered`` on a page: a sheet for each user, year and month, the first half of the month on the left,
+    and a further sheet wherever a day has more than five events."""
     start = F.when(F.col("day") <= 15, STARTS[0]).otherwise(STARTS[1])
     top = 100.0 + (F.col("day") - 1) % 15 * 60 + F.when(F.col("day") == 31, 900).otherwise(0) + F.col("j") * 10
     word = lambda text, x, test=F.lit(True): F.when(test, F.struct(text.alias("text"), (start + x).alias("x0")))
@@ -162,7 +166,7 @@ PAGE_SQL = "e AS (SELECT *, CAST(month(ts) AS INTEGER) AS m, CAST(day(ts) AS INT
 def tide_page(spark, sf_dir):
     v = F.col("event_id") % 97
     cells = lambda word: (word(F.date_format("ts", "HH:mm"), 25.0), word(_tenths(v), 50.0), word(_tenths(v * 3), 75.0))
-    rows = extract_words.tide_page(_dealt_pages(spark, sf_dir, _page_words(spark, sf_dir, "Jour", cells)))
+    rows = extract_words.tide_page(_dealt_pages(spark, sf_dir, _page_words(_numbered(spark, sf_dir), "Jour", cells)))
     return rows.select("doc", "month", "day", "time", r6(F.col("metres")).alias("metres"))
 
 
@@ -172,5 +176,5 @@ def current_page(spark, sf_dir):
     clock, slack = F.date_format("ts", "HHmm"), F.col("event_type") == "view"
     knots = F.when(kind == "error", "*").when(kind == "purchase", _tenths(-v)).otherwise(_tenths(v))
     cells = lambda word: (word(clock, 20.0, slack), word(clock, 40.0, ~slack), word(knots, 62.0, ~slack))
-    rows = extract_words.current_page(_dealt_pages(spark, sf_dir, _page_words(spark, sf_dir, "jour", cells)))
+    rows = extract_words.current_page(_dealt_pages(spark, sf_dir, _page_words(_numbered(spark, sf_dir), "jour", cells)))
     return rows.select("doc", "month", "day", "time", "kind", r6(F.col("knots")).alias("knots"), "weak_variable")

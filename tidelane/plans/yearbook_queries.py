@@ -84,7 +84,8 @@ def _books(spark, sf_dir) -> DataFrame:
     v = F.col("event_id") % 97
     tide = lambda word: (word(F.date_format("ts", "HH:mm"), 25.0), word(T._tenths(v), 50.0), word(T._tenths(v * 3), 75.0))
     current = lambda word: (word(F.date_format("ts", "HHmm"), 40.0), word(T._tenths(v - 40), 62.0))
-    tides, currents = (written(T._page_words(spark, sf_dir, second, cells), "page-words") for second, cells in (("Jour", tide), ("jour", current)))
+    events = written(T._numbered(spark, sf_dir), "numbered-events")
+    tides, currents = (written(T._page_words(events, second, cells), "page-words") for second, cells in (("Jour", tide), ("jour", current)))
     return written(_volumes(tides, currents), "book-words")
 
 
@@ -96,8 +97,8 @@ BOOK_SQL = f"""e AS (SELECT *, 'vol' || (user_id // {STATIONS}) || '-' || strfti
 def station_readings(spark, sf_dir):
     """Readings with the names of their stations, from contents, headers and pages of volumes."""
     words = _books(spark, sf_dir)
-    pages, _ = yearbook.stations_of(words)
-    return yearbook.tide_readings(words, pages).select("doc", "name", "timezone", "utc_offset", "year", "month", "day", "time", r6(F.col("metres")).alias("metres"))
+    pages, _ = yearbook.stations_of(words, yearbook.TIDE)
+    return yearbook.tide_readings(words, written(pages, "headed-pages")).select("doc", "name", "timezone", "utc_offset", "year", "month", "day", "time", r6(F.col("metres")).alias("metres"))
 
 
 @query(f"WITH {BOOK_SQL} SELECT doc, name, CAST(user_id % 360 AS INTEGER) AS flood, year, month, day, time, {R6('(event_id % 97 - 40) / CAST(10 AS DOUBLE)')} AS knots FROM e WHERE n < 5 * {yearbook.CURRENT_PAGES}")
@@ -105,8 +106,8 @@ def station_events(spark, sf_dir):
     """The same for currents. A current station has four pages in a book, here of five events a day, and a day's later events
     would be on pages that are no longer its own."""
     words = _books(spark, sf_dir)
-    pages, _ = yearbook.stations_of(words)
-    return yearbook.current_events(words, pages).select("doc", "name", "flood", "year", "month", "day", "time", r6(F.col("knots")).alias("knots"))
+    pages, _ = yearbook.stations_of(words, yearbook.CURRENT)
+    return yearbook.current_events(words, written(pages, "headed-pages")).select("doc", "name", "flood", "year", "month", "day", "time", r6(F.col("knots")).alias("knots"))
 
 
 LINES, STATION_ROWS = 8, 20  # lines set for a row of the table; rows of a page

@@ -187,3 +187,24 @@ def test_empty_tables(spark, tmp_path):
     assert byte_bpe.round_trip_digests(none, P.path("byte_bpe_50k.tiktoken")).count() == 0
     token_files.write_token_files(none, P.path("word_bpe_49k.json"), str(tmp_path / "none"))
     assert token_files.read_token_files(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_ascii_words_are_learnt_by_arrays(monkeypatch):
+    """Chunks of an ASCII word and marks are not split one by one; ids are the library's."""
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from tidelane.llm.chunk_encoder import ChunkEncoder
+
+    texts = ["The tide, at noon... (Rises) to 3.5m!", "Don't stop\n\nnaïve café; end-of_line\n", "A\nB  c,", ""]
+    for name, spaces in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
+        path, split = public_tokenizers.path(name), []
+        one = ChunkEncoder(path, spaces)
+        parts = one._parts
+        monkeypatch.setattr(one, "_parts", lambda c: split.append(c) or parts(c))  # noqa: B023
+        ids, bounds = one.encode(pa.array(texts), 1)
+        library = Tokenizer.from_file(path)
+        want = [[*library.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == want
+        assert split and not any(c.strip(" ,.!;").isascii() and c.strip(" ,.!;").isalpha() and (c[0] == " ") == spaces for c in split)

@@ -74,6 +74,8 @@ class ChunkEncoder:
         # A token with the mark of a space begins a word, or one with the mark of an end closes it.
         self.marks = np.zeros(max(vocabulary.values()) + 1, bool)
         self.marks[[i for t, i in vocabulary.items() if (t.startswith("Ġ") if spaces else t.endswith("</w>"))]] = True
+        # A chunk of an ASCII word (behind one space, with ``spaces``) and marks behind it.
+        self.plain_chunk = ("^(?P<body> " if spaces else "^(?P<body>") + r"[A-Za-z]+)(?P<tail>[!-/:-@\[-`{-~]*)\z"
         self._clear()
 
     def _clear(self) -> None:
@@ -145,8 +147,36 @@ class ChunkEncoder:
             lead, body = body[: len(body) - len(word)], word
         return (lead, body, tail) if word.isalpha() and len(lead) < 3 else None
 
+    def _learn_plain(self, chunks: list[str]) -> list[str]:
+        """Put chunks of an ASCII word and marks behind it into the store, by arrays; returns the other chunks."""
+        known = self.rows
+        parts = pc.extract_regex(pa.array(chunks, pa.large_string()), self.plain_chunk)
+        at = np.flatnonzero(pc.is_valid(parts).to_numpy(zero_copy_only=False))
+        if not len(at):
+            return chunks
+        parts = parts.take(pa.array(at))
+        body, tail = parts.field(0), parts.field(1)
+        columns = []
+        for column, encode in ((body if self.spaces else pc.ascii_lower(body), lambda x: self._words(x, True)), (tail, self._library)):
+            coded = column.dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
+            new = [x for x in distinct if x not in known]
+            if new:
+                first = self._append(*encode(new))
+                known.update(zip(new, range(first, first + len(new))))
+            columns.append(np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()])
+        made = np.flatnonzero(np.fromiter((chunks[i] not in known for i in at.tolist()), bool, len(at)))
+        if len(made):
+            ids, sizes = self._gather(np.stack([c[made] for c in columns], 1).ravel())
+            first = self._append(ids, sizes.reshape(-1, 2).sum(1))
+            known.update(zip([chunks[i] for i in at[made].tolist()], range(first, first + len(made))))
+        other = np.ones(len(chunks), bool)
+        other[at] = False
+        return [chunks[i] for i in np.flatnonzero(other).tolist()]
+
     def _learn(self, chunks: list[str]) -> None:
         """Put the ids of chunks into the store and their rows into ``rows``."""
+        chunks = self._learn_plain(chunks)
         known, split = self.rows, list(map(self._parts, chunks))
         ascii_words, words, whole = {}, {}, {c: None for c, p in zip(chunks, split) if p is None}
         for p in split:

@@ -38,3 +38,13 @@ def test_pages_are_dealt_out_by_the_number_of_events(spark):
     words = spark.range(1_000).selectExpr("cast(id % 90 as string) as doc", "cast(id % 7 as int) as page", "id")
     many = text_queries._dealt_pages(spark, folder, words, events=-(-events // 10))
     assert many.rdd.getNumPartitions() == 10 and many.count() == 1_000
+
+
+def test_volumes_are_written_by_more_tasks_than_their_bytes_ask_for(spark, tmp_path):
+    """A file costs more than its bytes: partitions that adaptive execution merged were two tasks for any number of files."""
+    from tidelane.plans import file_queries
+
+    rows = spark.range(40).selectExpr("id AS volume", "0 AS n", "'text' AS text")
+    file_queries.write_texts(rows, str(tmp_path / "texts"))
+    names = [p.name for p in (tmp_path / "texts").rglob("part-*")]
+    assert len(names) == 40 and len({n.split("-")[1] for n in names}) > 1

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import catalog, coords, override_file
 from ..sources import published_files, readers, writers
 from ..sources.scratch import scratch_folder as folder
+from ..sources.scratch import written
 from . import adapters as A
 from . import dimension_queries as D
 
@@ -35,7 +36,8 @@ def write_texts(rows: DataFrame, path: str) -> None:
 
     Dealt out by a hash of the volume: by the volume itself, Spark leaves the exchange out where a union's sides are already
     dealt out by it, and then merges each side's partitions on its own, so a volume would be two files."""
-    rows = rows.select("volume", "n", "text").repartition(F.xxhash64("volume")).sortWithinPartitions("volume", "n")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, so that they are not merged: a file costs more than its bytes
+    rows = rows.select("volume", "n", "text").repartition(tasks, F.xxhash64("volume")).sortWithinPartitions("volume", "n")
     rows.select("volume", "text").write.partitionBy("volume").text(path)
 
 
@@ -137,14 +139,14 @@ def _override_entries(spark, sf_dir) -> DataFrame:
 
 
 def _override_lines(spark, sf_dir) -> DataFrame:
-    """Those files, written and read back as lines."""
+    """Those files, written and read back as lines, each file opened once however often the lines are used."""
     from pyspark.sql import Window
 
     rows = _override_entries(spark, sf_dir).withColumn("last", F.lead("at").over(Window.partitionBy("volume").orderBy("at")).isNull())
     rows = rows.select("volume", "at", F.concat(F.when(F.col("at") == -1, "{\n").otherwise(""), F.col("body"), F.when(F.col("last"), "\n}").otherwise(",")).alias("text"))
     path = folder(spark, "override-files")
     write_texts(rows.withColumnRenamed("at", "n"), path)
-    return override_file.read_lines(spark, path).withColumn("file", F.regexp_extract("file", r"volume=(\d+)", 1))
+    return written(override_file.read_lines(spark, path).withColumn("file", F.regexp_extract("file", r"volume=(\d+)", 1)), "override-lines")
 
 
 BLOCK_SQL = "CASE WHEN j < 20 THEN 'manual' WHEN j < 30 THEN 'csv_wrong' WHEN j < 40 THEN 'us' WHEN j < 70 THEN 'iwls' WHEN j < 75 AND f % 2 = 0 THEN 'manual' END"

@@ -3,8 +3,10 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 
 from tidelane.llm import language_id as lid
 
@@ -101,3 +103,18 @@ def test_extra_columns_of_any_name_pass(spark):
     docs = spark.createDataFrame([(i, t, lang, "a", 0.5) for i, t, lang, *_ in rows(60)], "doc_id long, text string, lang string, _language string, _LANGUAGE_score double")
     kept = lid.keep_identified(docs)
     assert kept.columns == docs.columns and {(r[3], r[4]) for r in kept.collect()} == {("a", 0.5)} and kept.count() == 60
+
+
+def test_few_texts_are_strings_at_once():
+    calls = []
+
+    def predict_all(texts):
+        calls.append(sum(len(t or "") for t in texts))
+        return [("en", 1.0)] * len(texts)
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(["the " * 75_000] * 6 + [None, "the " * 400_000])], names=["doc_id", "text"])
+    context = SimpleNamespace(broadcast=lambda model: SimpleNamespace(value=model))
+    docs = SimpleNamespace(columns=["doc_id", "text"], schema=SimpleNamespace(fields=[]), sparkSession=SimpleNamespace(sparkContext=context), mapInArrow=lambda run, schema: list(run([batch])))
+    (found,) = lid.predict(docs, SimpleNamespace(predict_all=predict_all))
+    assert found.num_rows == 8 and sum(calls) == 6 * 300_000 + 1_600_000
+    assert all(n <= 1_000_000 or n == 1_600_000 for n in calls)  # a longer text alone

@@ -210,3 +210,18 @@ def test_ascii_words_are_learnt_by_arrays(monkeypatch):
         want = [[*library.encode(t, add_special_tokens=False).ids, 1] for t in texts]
         assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == want
         assert split and not any(re.fullmatch((" " if spaces else "") + "[A-Za-z]+[,.!;]*", c) for c in split)
+
+
+def test_a_worker_keeps_no_chunks_behind_its_packing(frame):
+    path = P.path("byte_bpe_50k.json")
+    assert packing.pack(frame, path).count() > 400
+
+    def held(batches):
+        from tidelane.llm import chunk_encoder
+
+        list(batches)
+        own = chunk_encoder._encoders.get((path, True))
+        yield pa.RecordBatch.from_pydict({"n": pa.array([len(own.rows)] if own else [], pa.int64())})
+
+    found = [r.n for r in frame.sparkSession.range(16, numPartitions=16).mapInArrow(held, "n long").collect()]
+    assert found and set(found) == {1}  # the empty chunk alone

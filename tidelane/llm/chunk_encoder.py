@@ -253,6 +253,13 @@ def encoder(path: str, spaces: bool) -> ChunkEncoder:
     return _encoders[path, spaces]
 
 
+def forget(path: str, spaces: bool) -> None:
+    """The end of a task: its chunks go, so that a worker that waits or serves another stage does not hold them; the loaded
+    vocabulary stays."""
+    if (path, spaces) in _encoders:
+        _encoders[path, spaces]._clear()
+
+
 def slices(texts, size: int = 4_000_000):
     """Index ranges of a list or string array of at most ``size`` characters (bytes of an array) each, a longer text alone,
     which bounds what is in memory at once."""

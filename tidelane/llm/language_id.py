@@ -28,11 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .chunk_encoder import slices
-from .shared import fold_of, fresh, read_table, smallest
+from .shared import fold_of, fresh, give_back, read_table, smallest
 
 FOLDS = 5
 MAX_DOCS, MAX_CHARS, ORDERS, SMOOTH = 1_000, 50_000, 5, 0.5
 MAX_CACHED = 200_000
+SLICE = 1_000_000  # bytes of text that become Python strings and tokens at once
 UNKNOWN, LEAST_SCORE = "und", 0.5
 
 
@@ -191,9 +192,10 @@ def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred"
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(columns.index("text")).to_pylist()
-            found = [x for a, b in slices(texts) for x in shared.value.predict_all(texts[a:b])]
+            texts = batch.column(columns.index("text"))
+            found = [x for a, b in slices(texts, SLICE) for x in shared.value.predict_all(texts.slice(a, b - a).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*columns, *names])
+            give_back()
 
     schema = StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
     return docs.mapInArrow(run, schema)

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunk_encoder import encoder, slices
-from .shared import read_table
+from .chunk_encoder import encoder, forget, slices
+from .shared import give_back, read_table
 
 WINDOW = 2048
 END_ID = 1
@@ -119,20 +119,25 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = E
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], schema=schema)
 
         encode = encoder(vocabulary, True).encode
-        for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            for a, b in slices(texts):
-                rows = []
-                ids, bounds = encode(texts.slice(a, b - a), end_id)
-                ids, ends = memoryview(ids.astype("<u4", copy=False).tobytes()), (4 * bounds).tolist()
-                for key, start, stop in zip(keys[a:b], ends, ends[1:]):
-                    rows += packer.add(key, ids[start:stop])
-                if packer.held > pool:
-                    rows += packer.flush(pool // 4)
-                if rows:
-                    yield table(rows)
-        if rows := packer.flush(0):
-            yield table(rows)
+        try:
+            for batch in batches:
+                keys, texts = batch.column(0).to_pylist(), batch.column(1)
+                for a, b in slices(texts):
+                    rows = []
+                    ids, bounds = encode(texts.slice(a, b - a), end_id)
+                    ids, ends = memoryview(ids.astype("<u4", copy=False).tobytes()), (4 * bounds).tolist()
+                    for key, start, stop in zip(keys[a:b], ends, ends[1:]):
+                        rows += packer.add(key, ids[start:stop])
+                    if packer.held > pool:
+                        rows += packer.flush(pool // 4)
+                    if rows:
+                        yield table(rows)
+                give_back()
+            if rows := packer.flush(0):
+                yield table(rows)
+        finally:
+            forget(vocabulary, True)
+            give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
 

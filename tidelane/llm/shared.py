@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +48,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32 of the id's decimal text modulo ``folds``; a null id is in fold 0, so that it never trains."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(0))
+
+
+def give_back() -> None:
+    """Return what this Python worker has freed to the system. Arrow's pool and the C library keep it else, and a worker that
+    waits or serves the next stage holds it beside what that needs."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)

@@ -169,3 +169,25 @@ def test_spread_lookups_are_the_plain_ones(spark):
         assert canon(segments.spread_segments(e, width).drop("bucket")) == seg
         assert canon(segments.as_of_spread(e, q, width).select("station_id", "t_us", "n", *segments.SEGMENT)) == canon(segments.as_of(e, q).select("station_id", "t_us", "n", *segments.SEGMENT))
     assert want
+
+
+def test_many_secondaries_do_not_broadcast_the_events(spark, monkeypatch):
+    events = spark.createDataFrame([("1", 2024, 10 * i, i, float(i % 5), i % 2 == 0) for i in range(20)], "station_id string, year int, t_us long, ord long, v double, is_high boolean")
+    columns = "ref_id string, year int, sec_id long, hw_diff string, lw_diff string, hw_dh_mean double, hw_dh_large double, lw_dh_mean double, lw_dh_large double"
+    resolved = spark.createDataFrame([("1", 2024, k, "+00:10", "-00:10", 0.1, 0.2, 0.0, 0.1) for k in range(50)], columns)
+    heights = spark.createDataFrame([("1", 3.0, 4.0, 1.0, 0.5)], "ref_id string, hw_mean double, hw_large double, lw_mean double, lw_large double")
+    few = derive.secondary_tides(resolved, events, heights)
+    monkeypatch.setattr(derive, "BROADCAST_BYTES", 0)
+    many = derive.secondary_tides(resolved, events, heights)
+    assert sorted(few.collect()) == sorted(many.collect()) and many.count() == 1000
+    assert "SortMergeJoin" in many._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lookup_takes_known_sizes(spark):
+    events = spark.createDataFrame([("a", 10 * i, i, float(i), False) for i in range(9)] + [("b", 5, 0, 1.0, False), ("b", 50, 1, 2.0, False)], "station_id string, t_us long, ord long, v double, weak boolean")
+    asked = spark.createDataFrame([(s, t) for s in "ab" for t in (0, 7, 33, 99)], "station_id string, t_us long")
+    sizes = spark.createDataFrame([("a", 4), ("a", 5), ("b", 2)], "station_id string, n long")
+    plain = sorted(map(str, segments.lookup(events, asked).collect()))
+    assert sorted(map(str, segments.lookup(events, asked, sizes=sizes).collect())) == plain
+    assert sorted(map(str, segments.lookup(events, asked, sizes=sizes, limit=12).collect())) == plain
+    assert sorted(map(str, segments.lookup(events, asked, sizes=sizes, limit=13).collect())) == plain

@@ -16,10 +16,11 @@ BROADCAST_STATIONS, BROADCAST_BYTES = 200_000, 64 << 20
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_STATIONS) -> DataFrame:
     """Hint a broadcast of a station table of at most ``limit`` rows and ``BROADCAST_BYTES`` (by the width of its columns; 64
-    bytes a text); a larger one joins by shuffle. Counts up to that many rows."""
+    bytes a text); a larger one joins by shuffle, which takes a hint too: else Spark may broadcast the events, and the few tasks that
+    read the stations derive everything. Counts up to that many rows."""
     width = sum(64 if f.dataType.simpleString() == "string" else 16 for f in df.schema.fields)
     most = min(limit, BROADCAST_BYTES // width)
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("merge")
 
 
 def suffix_alias(name: Column) -> Column:

@@ -6,7 +6,7 @@ end too. Lookups never go beyond the first or last event.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SEGMENT = ("t1", "v1", "w1", "t2", "v2", "w2")
@@ -100,13 +100,20 @@ def as_of_spread(events: DataFrame, instants: DataFrame, bucket_us: int = BUCKET
     return found.select(key, "t_us", *(F.col(f"_extra.{c}") for c in extra), *(F.when(inside, F.col(f"_seg.{c}")).alias(c) for c in SEGMENT))
 
 
-def lookup(events: DataFrame, instants: DataFrame, key: str = "station_id", limit: int = RUN_ROWS, task_rows: int = TASK_ROWS) -> DataFrame:
+def tasks_for(rows: int | None, spark: SparkSession, task_rows: int = TASK_ROWS) -> int:
+    """A task for each ``task_rows``, and one a core at least."""
+    return max(spark.sparkContext.defaultParallelism, -(-(rows or 0) // task_rows))
+
+
+def lookup(events: DataFrame, instants: DataFrame, key: str = "station_id", limit: int = RUN_ROWS, task_rows: int = TASK_ROWS, sizes: DataFrame | None = None) -> DataFrame:
     """``as_of``, or ``as_of_spread`` where a station has more than ``limit`` events and instants, by a count of both that reads
-    nothing but the stations' names. ``as_of`` gets a task for each ``task_rows`` of them, which bounds the memory of a task."""
-    rows = events.select(key).unionByName(instants.select(key)).groupBy(key).count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).first()
+    nothing but the stations' names. ``as_of`` gets a task for each ``task_rows`` of them, which bounds the memory of a task.
+    ``sizes``: the events of each station (key, n; several rows of one add up), where they are known more cheaply than by a count."""
+    held = events.select(key, F.lit(1).alias("n")) if sizes is None else sizes.select(key, "n")
+    rows = held.unionByName(instants.select(key, F.lit(1).alias("n"))).groupBy(key).agg(F.sum("n").alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
     if (rows["most"] or 0) > limit:
         return as_of_spread(events, instants, key=key)
-    return as_of(events, instants, key=key, tasks=max(events.sparkSession.sparkContext.defaultParallelism, -(-(rows["all"] or 0) // task_rows)))
+    return as_of(events, instants, key=key, tasks=tasks_for(rows["all"], events.sparkSession, task_rows))
 
 
 def snapshot(events: DataFrame, instants: DataFrame, key: str = "station_id", limit: int = BROADCAST_INSTANTS) -> DataFrame:

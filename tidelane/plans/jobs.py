@@ -12,14 +12,21 @@ def tide_states(primary_events: DataFrame, primaries: DataFrame, secondaries: Da
     """value and state of primary and secondary tide stations at ``instants`` (station_id, t_us).
 
     References are classed year by year, secondaries derived from them by a broadcast of the small side, all series
-    merged, and instants looked up in one sorted pass by station."""
+    merged, and instants looked up in one sorted pass by station. References are dealt out to a task for each
+    ``segments.TASK_ROWS`` derived events, which are counted from the events of each reference, not derived for that."""
     resolved, _ = derive.resolve(secondaries, derive.reference_names(primaries))
     heights = primaries.select(F.col("station_id").alias("ref_id"), "hw_mean", "hw_large", "lw_mean", "lw_large")
     own = primary_events.select("station_id", "year", "t_us", "ord", "v")
-    made = derive.secondary_tides(resolved, classify.high_low(own, "station_id", "year"), heights)
-    made = made.select(merge.namespaced("sec", F.col("sec_id")).alias("station_id"), "year", "t_us", "ord", "v")
+    sec = merge.namespaced("sec", F.col("sec_id")).alias("station_id")
+    sizes = own.groupBy("station_id", "year").agg(F.count("*").alias("n"))
+    made_sizes = resolved.select("sec_id", "year", "ref_id").join(sizes.withColumnRenamed("station_id", "ref_id"), ["year", "ref_id"]).select(sec, "n")
+    tasks = segments.tasks_for(made_sizes.agg(F.sum("n")).first()[0], own.sparkSession)
+    # With a number, adaptive execution leaves these partitions as they are (their few bytes say nothing of the rows they make),
+    # and by the station alone they serve the classes and the join.
+    made = derive.secondary_tides(resolved, classify.high_low(own.repartition(tasks, "station_id"), "station_id", "year"), heights)
+    made = made.select(sec, "year", "t_us", "ord", "v")
     series = merge.merged(own, made).withColumn("weak", F.lit(False))
-    found = segments.lookup(series, instants)
+    found = segments.lookup(series, instants, sizes=sizes.select("station_id", "n").unionByName(made_sizes))
     return found.select("station_id", "t_us", interpolate.tide_value().alias("value"), interpolate.tide_state().alias("state"))
 
 

@@ -67,9 +67,10 @@ class ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.spaces, self.tokenizer, self.plain = spaces, Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.spaces, self.tokenizer = spaces, Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.plain.normalizer, self.plain.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        # One vocabulary in memory: its normaliser and split rule give way to these while ASCII words are encoded.
+        self.rules, self.plain_rules = (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer), (None, pre_tokenizers.WhitespaceSplit())
         vocabulary = self.tokenizer.get_vocab()
         # A token with the mark of a space begins a word, or one with the mark of an end closes it.
         self.marks = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -116,12 +117,19 @@ class ChunkEncoder:
     def _words(self, words: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words of letters alone (each behind a space, with ``spaces``), many to a library call."""
         if plain:
-            joint, made, call = " ", ["Ġ" + w[1:] for w in words] if self.spaces else words, self.plain
+            joint, made = " ", ["Ġ" + w[1:] for w in words] if self.spaces else words
         else:
-            joint, made, call = "" if self.spaces else " ", words, self.tokenizer
+            joint, made = "" if self.spaces else " ", words
         bounds = range(0, len(words), JOINED_WORDS)
         ids, sizes = [], []
-        for a, found in zip(bounds, call.encode_batch_fast([joint.join(made[a : a + JOINED_WORDS]) for a in bounds], add_special_tokens=False)):
+        try:
+            if plain:
+                self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.plain_rules
+            encoded = self.tokenizer.encode_batch_fast([joint.join(made[a : a + JOINED_WORDS]) for a in bounds], add_special_tokens=False)
+        finally:
+            if plain:
+                self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.rules
+        for a, found in zip(bounds, encoded):
             got = np.asarray(found.ids, np.uint32)
             cuts = np.flatnonzero(self.marks[got])
             cuts = np.append(cuts, len(got)) if self.spaces else np.append(0, cuts + 1)

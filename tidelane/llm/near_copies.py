@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .shared import written
+from .shared import pieces, written
 from .simhash import Groups, majority, stars
 
 SHINGLE, SIMILARITY, BANDS, ROWS, SEED, CHUNK = 5, 0.8, 20, 4, 42, 2_000
@@ -68,7 +68,7 @@ def with_classes(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("near_id"), F.xxhash64(*docs.columns).alias("near_row"))
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, lambda batch: batch.column(0).field("text")):
             own = [shingles(t) for t in batch.column(0).field("text").to_pylist()]
             hashes = pa.array([xxhash.xxh3_128_digest(x.tobytes(), SEED) for x in own], pa.binary())
             fps = pa.array(np.array([majority(x) if len(x) else 0 for x in own], np.uint64).view(np.int64))
@@ -83,7 +83,7 @@ def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     texts = rows.select(F.col("near_id").alias("near_class"), F.col("row.text").alias("text")).join(wanted, "near_class", "left_semi")
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, lambda batch: batch.column(1)):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["near_class", "own"])
 
     return texts.mapInArrow(run, "near_class long, own binary")

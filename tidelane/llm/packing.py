@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunk_encoder import encoder, forget, slices
-from .shared import give_back, read_table
+from .chunk_encoder import encoder, forget
+from .shared import give_back, pieces, read_table
 
 WINDOW = 2048
 END_ID = 1
@@ -120,19 +120,17 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = E
 
         encode = encoder(vocabulary, True).encode
         try:
-            for batch in batches:
-                keys, texts = batch.column(0).to_pylist(), batch.column(1)
-                for a, b in slices(texts):
-                    rows = []
-                    ids, bounds = encode(texts.slice(a, b - a), end_id)
-                    ids, ends = memoryview(ids.astype("<u4", copy=False).tobytes()), (4 * bounds).tolist()
-                    for key, start, stop in zip(keys[a:b], ends, ends[1:]):
-                        rows += packer.add(key, ids[start:stop])
-                    if packer.held > pool:
-                        rows += packer.flush(pool // 4)
-                    if rows:
-                        yield table(rows)
-                give_back()
+            for batch in pieces(batches, lambda batch: batch.column(1)):
+                rows = []
+                ids, bounds = encode(batch.column(1), end_id)
+                ids, ends = memoryview(ids.astype("<u4", copy=False).tobytes()), (4 * bounds).tolist()
+                for key, start, stop in zip(batch.column(0).to_pylist(), ends, ends[1:]):
+                    rows += packer.add(key, ids[start:stop])
+                del batch, ids
+                if packer.held > pool:
+                    rows += packer.flush(pool // 4)
+                if rows:
+                    yield table(rows)
             if rows := packer.flush(0):
                 yield table(rows)
         finally:

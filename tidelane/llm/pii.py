@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import distinct_sample, read_table
+from .shared import distinct_sample, pieces, read_table
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns (fixed values).
@@ -384,7 +384,7 @@ def detect(docs: DataFrame, model: SemiMarkov) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, lambda batch: batch.column(1)):
             found = [find(t, shared.value) for t in batch.column(1).to_pylist()]
             counts = [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in KINDS]
             digest = pa.array([hashlib.sha256(written_out(base).encode()).hexdigest() for base, _ in found])
@@ -409,7 +409,7 @@ def redact(docs: DataFrame, model: SemiMarkov) -> DataFrame:
         return "".join([*out, text[at:]]) if out else text
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, lambda batch: batch.column(columns.index("text"))):
             texts = pa.array([clean(t) for t in batch.column(columns.index("text")).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([texts if c == "text" else batch.column(i) for i, c in enumerate(columns)], names=columns)
 

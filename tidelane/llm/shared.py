@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import ctypes
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import scratch_folder
+from .chunk_encoder import slices
+
+SLICE = 1_000_000  # bytes of text that a worker turns into strings, numbers and answers at once
 
 
 def smallest(rows: DataFrame, content: list[str], size: int) -> DataFrame:
@@ -50,6 +54,16 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(0))
 
 
+def pieces(batches: Iterator[pa.RecordBatch], text: Callable[[pa.RecordBatch], pa.Array], size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in pieces of at most ``size`` bytes (``SLICE``) of ``text`` each, a longer text alone, so that a
+    worker's memory does not grow with the rows of a batch; behind each batch freed memory goes back."""
+    for batch in batches:
+        for a, b in slices(text(batch), size or SLICE):
+            yield batch.slice(a, b - a)
+        del batch
+        give_back()
+
+
 def give_back() -> None:
     """Return what this Python worker has freed to the system. Arrow's pool and the C library keep it else, and a worker that
     waits or serves the next stage holds it beside what that needs."""
